@@ -205,7 +205,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     distinct 5-word shingles, or the whole sequence for 1 to 4 words.  Documents with
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable,
     and the document with that id is kept.  Without words or text the set is empty and the document
-    stands alone, as does a row without doc_id (component_id null, kept false).  Rows that share a
+    stands alone, as does a row without doc_id (component_id null); both are kept.  Rows that share a
     doc_id are one document: the set whose digest sorts first decides its links for all of them.
     An empty table gives an empty result.  Other columns are ignored.  percent should be 80 or more:
     below, the signature distances would miss pairs.
@@ -242,4 +242,4 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = reps.drop("sig").join(label.withColumnRenamed("node", "rep"), "rep").select(*same, "label")
     placed = ids.drop("sig").join(placed, same).select("doc_id", "label")
     component = F.coalesce("label", "doc_id")
-    return signed.join(placed, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return signed.join(placed, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

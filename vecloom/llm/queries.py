@@ -39,6 +39,40 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op6_near_dedup)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.language_id import identify
+
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.kneser_ney import classify
+
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.bpe import tokenizer_path
+    from vecloom.llm.packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.bpe import digests, tokenizer_path
+
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.katz import score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op5_language_id, op6_near_dedup, op7_kneser_ney, op8_packing, op9_bpe, op10_katz)
+}
 
 SQL: dict[str, str] = {}
