@@ -159,7 +159,7 @@ def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(d == length))
 
 
-def build(nodes: DataFrame, k: int = 24, trees: int = 6, block: int = 192, rounds: int = 2, back: int = 16) -> DataFrame:
+def build(nodes: DataFrame, k: int = 24, trees: int = 4, block: int = 2048, rounds: int = 2, back: int = 16) -> DataFrame:
     """The neighbour graph (node, other, near): k others of each node.  nodes: node, d, unit."""
     n = nodes.count()
     graph = table(_merged(_blocks(nodes, trees, block, k, n), k), "graph")
@@ -168,7 +168,7 @@ def build(nodes: DataFrame, k: int = 24, trees: int = 6, block: int = 192, round
     return graph
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 24, width: int = 64, expand: int = 12, hops: int = 8, trees: int = 6, rounds: int = 2) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, back: int = 24, width: int = 96, expand: int = 16, hops: int = 8, trees: int = 4, rounds: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest others found, by cosine.
 
     Queries are the rows whose vec_id is divisible by ``every``; ties go to the smaller vec_id.
@@ -183,7 +183,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 24, wi
     same = table(good.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1), "same")
     first = same.where("r = 1").select(F.col("vec_id").alias("node"), "embedding")
     nodes = table(first.mapInArrow(_pack, "node long, d int, unit binary"), "nodes")
-    graph = build(nodes, degree, trees, rounds=rounds)
+    graph = build(nodes, degree, trees, rounds=rounds, back=back)
     ways = table(graph.select("node", "other").union(graph.select("other", "node")).distinct(), "ways")
     asked = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     # all queries of one vector are one search
