@@ -28,6 +28,7 @@ SIZE, KEYED, CHUNK, FAR, WIDE = 128, 32, 4, 15, 37
 ERRORS = FAR // (KEYED // CHUNK)
 VARIANTS = [tuple(c + i for i in left) for c in range(0, KEYED, CHUNK) for left in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
 TILE = 512
+LIST = 20_000
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 1 << 63, SIZE, dtype=np.uint64)
@@ -88,7 +89,7 @@ def _keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.full(len(sig), v + 1, np.uint64)
             for p in places:
                 key = mix(key * np.uint64(65537) + sig[:, p])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep)], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(sig), v, np.int32)), pa.array(rep)], ["key", "variant", "rep"])
 
 
 def split(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,34 +109,88 @@ def _close(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep)), pa.array(d[1][keep].astype(np.int32))], ["u", "v", "far"])
 
 
-def _tile(t: pa.Table) -> pa.Table:
-    """Matching pairs of a cell of one key's members that lie in different classes, each under the first key that they share."""
-    t = t.sort_by([("side", "ascending"), ("rep", "ascending")])
-    side, rep, label = t["side"].to_numpy(), t["rep"].to_numpy(), t["label"].to_numpy()
-    key = t["key"][0].as_py()
-    sig = split(t["sig"].to_pylist())
-    cut = int(np.searchsorted(side, 1))
-    own = cut == len(side)  # a block with itself
-    left, right = (slice(0, cut), slice(0, cut) if own else slice(cut, len(side)))
-    us, vs = [], []
-    for i in range(left.start, left.stop):
-        d = distances((sig[0][i], sig[1][i]), (sig[0][right], sig[1][right]))
-        hit = np.flatnonzero((d[0] <= FAR) & (d[1] <= WIDE) & (label[right] != label[i])) + right.start
-        for j in hit[hit > i] if own else hit:
-            if _first_key(sig[0][i], sig[0][j]) == key:
-                us.append(rep[i]), vs.append(rep[j])
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-
-def _first_key(a: np.ndarray, b: np.ndarray) -> int:
+def _first_variant(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first variant under which each two signatures share a key."""
     same = a == b
-    for v, places in enumerate(VARIANTS):
-        if all(same[p] for p in places):
-            key = np.array([v + 1], np.uint64)
-            for p in places:
-                key = mix(key * np.uint64(65537) + np.uint64(a[p]))
-            return int(key.view(np.int64)[0])
-    raise AssertionError("no key in common")
+    return np.stack([same[:, list(places)].all(1) for places in VARIANTS], 1).argmax(1)
+
+
+def _matches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Matching pairs within cells (key, x, y) that lie in different classes, each under its first key.
+
+    t: whole cells, one after the other, side 0 before side 1.  A cell with one side is a block with
+    itself, else the sides are two blocks of one key.
+    """
+    key, x, y, side = (t[c].to_numpy() for c in ("key", "x", "y", "side"))
+    rep, label, variant = (t[c].to_numpy() for c in ("rep", "label", "variant"))
+    near, rest = split(t["sig"].to_pylist())
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (label[i] != label[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 100_000):
+            p, q = i[at : at + 100_000], j[at : at + 100_000]
+            d = (near[p] != near[q]).sum(1)
+            ok = d <= FAR
+            p, q, d = p[ok], q[ok], d[ok]
+            ok = d + (rest[p] != rest[q]).sum(1) <= WIDE
+            p, q = p[ok], q[ok]
+            ok = _first_variant(near[p], near[q]) == variant[p]
+            us.append(rep[p[ok]]), vs.append(rep[q[ok]])
+
+    small = np.repeat(sizes <= 16, sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    for shift in range(1, 16):
+        i = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:])) if len(group) > shift else np.zeros(0, int)
+        keep(i, i + shift)
+    for at, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        step = max(1, 200_000 // int(n))
+        for i in range(at, at + n, step):
+            p, q = np.meshgrid(np.arange(i, min(i + step, at + n)), np.arange(at, at + n), indexing="ij")
+            later = q > p
+            keep(p[later], q[later])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _tiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of pairs to confirm, and the documents of each list, from cells in order."""
+    held: list[pa.Table] = []
+
+    def lists(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        u, v = _matches(t)
+        for at in range(0, len(u), LIST):
+            p, q = u[at : at + LIST], v[at : at + LIST]
+            docs = np.unique(np.concatenate([p, q]))
+            name = int(mix(np.array([p[0] * 31 + q[0], len(p)]).view(np.uint64))[:1].view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(docs) + 1, name)), pa.array([None, *docs.tolist()], pa.int64()), pa.array([p.tobytes(), *[None] * len(docs)], pa.binary()), pa.array([q.tobytes(), *[None] * len(docs)], pa.binary())],
+                ["list", "doc_id", "u", "v"],
+            )
+
+    for b in _with_end(rows):
+        if b is not None:
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) < 20_000:
+                continue
+        if not held:
+            continue
+        t = pa.concat_tables(held).combine_chunks()
+        key, x, y = (t[c].to_numpy() for c in ("key", "x", "y"))
+        cut = t.num_rows
+        if b is not None:  # the last cell may go on
+            same = (key == key[-1]) & (x == x[-1]) & (y == y[-1])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held = [t.slice(cut)] if cut < t.num_rows else []
+        if cut:
+            yield from lists(t.slice(0, cut))
+
+
+def _with_end(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from rows
+    yield None
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +203,45 @@ def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(has)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "low", "high", "set"])
 
 
+def _confirmed(us: list[int], vs: list[int], held: dict[int, bytes], percent: int) -> pa.Table:
+    """The pairs whose sets are similar enough; pairs that earlier ones have joined aren't tested."""
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while root.get(i, i) != i:
+            i = root[i]
+        return i
+
+    out_u, out_v = [], []
+    for u, v in zip(us, vs, strict=True):
+        a, b = top(u), top(v)
+        if a == b:
+            continue
+        x, y = np.frombuffer(held[u], np.uint64), np.frombuffer(held[v], np.uint64)
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            continue
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            out_u.append(u), out_v.append(v)
+            root[max(a, b)] = min(a, b)
+    return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, set) of the documents in ``wanted``; others are mostly left out before the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select("doc_id").distinct(), "doc_id"))  # 16 MB at most
+    n_bits = bits.value.size * 8
+
+    def maybe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            at = b.column("at").to_numpy()
+            yield b.filter(pa.array((bits.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1))
+
+    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_bits)).alias("at"))
+    sets = some.mapInArrow(maybe, "doc_id long, text string, at long").select("doc_id", "text").mapInArrow(_sets, "doc_id long, low long, high long, set binary")
+    return sets.groupBy("doc_id").agg(F.min_by("set", F.struct("low", "high")).alias("set"))
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union.
 
@@ -155,47 +249,29 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     many pairs is sent to a row and a column of cells rather than once a pair.
     """
     pairs = table(pairs.distinct(), "pairs")
-    many = pairs.count()
-    side = max(12, round((many / 400) ** 0.5))
+    side = max(12, round((pairs.count() / 400) ** 0.5))
     cut = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     pairs = pairs.withColumn("x", cut("u")).withColumn("y", cut("v"))
     wanted = pairs.select(F.col("u").alias("doc_id"), "x", "y").union(pairs.select("v", "x", "y")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select("doc_id").distinct(), "doc_id"))  # 16 MB at most
-    n_bits = bits.value.size * 8
+    dealt = sets_of(docs, wanted).join(wanted, "doc_id").select(F.col("x").alias("x"), F.col("y").alias("y"), F.col("doc_id").alias("doc_id"), "set")
 
-    def maybe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            at = b.column("at").to_numpy()
-            yield b.filter(pa.array((bits.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1))
+    def test(p: pa.Table, s: pa.Table) -> pa.Table:
+        return _confirmed(p["u"].to_pylist(), p["v"].to_pylist(), dict(zip(s["doc_id"].to_pylist(), s["set"].to_pylist(), strict=True)), percent)
+
+    return pairs.groupBy("x", "y").cogroup(dealt.groupBy("x", "y")).applyInArrow(test, "u long, v long")
 
-    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_bits)).alias("at"))
-    sets = some.mapInArrow(maybe, "doc_id long, text string, at long").select("doc_id", "text").mapInArrow(_sets, "doc_id long, low long, high long, set binary").groupBy("doc_id").agg(F.min_by("set", F.struct("low", "high")).alias("set"))
-    dealt = sets.join(wanted, "doc_id").select(F.col("x").alias("x"), F.col("y").alias("y"), F.col("doc_id").alias("doc_id"), "set")
+
+def confirm_lists(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """As confirm, for pairs that come as lists (see _tiles): each document is sent once to each list."""
+    wanted = lists.where("doc_id is not null").select("list", "doc_id").distinct()
+    dealt = sets_of(docs, wanted).join(wanted, "doc_id").select(F.col("list").alias("list"), F.col("doc_id").alias("doc_id"), "set")
+    pairs = lists.where("doc_id is null").select(F.col("list").alias("list"), F.col("u").alias("u"), F.col("v").alias("v"))
 
     def test(p: pa.Table, s: pa.Table) -> pa.Table:
-        held = dict(zip(s["doc_id"].to_pylist(), s["set"].to_pylist(), strict=True))
-        root: dict[int, int] = {}
-
-        def top(i: int) -> int:
-            while root.get(i, i) != i:
-                i = root[i]
-            return i
-
-        us, vs = [], []
-        for u, v in zip(p["u"].to_pylist(), p["v"].to_pylist(), strict=True):
-            a, b = top(u), top(v)
-            if a == b:  # joined already
-                continue
-            x, y = np.frombuffer(held[u], np.uint64), np.frombuffer(held[v], np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                us.append(u), vs.append(v)
-                root[max(a, b)] = min(a, b)
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        us, vs = (np.frombuffer(b"".join(p[c].to_pylist()), np.int64).tolist() for c in ("u", "v"))
+        return _confirmed(us, vs, dict(zip(s["doc_id"].to_pylist(), s["set"].to_pylist(), strict=True)), percent)
 
-    return pairs.groupBy("x", "y").cogroup(dealt.groupBy("x", "y")).applyInArrow(test, "u long, v long")
+    return pairs.groupBy("list").cogroup(dealt.groupBy("list")).applyInArrow(test, "u long, v long")
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -219,7 +295,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     one = real.groupBy("doc_id").agg(F.min(F.struct(*same, "sig")).alias("s")).select("doc_id", "s.*")
     ids = table(one, "ids")
     reps = table(ids.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "reps")
-    keys = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    keys = reps.select("rep", "sig").mapInArrow(_keys, "key long, variant int, rep long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = table(keys.join(shared, "key"), "members")
     fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
@@ -235,9 +311,11 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("key", "size")
     open_ = placed.drop("n").join(mixed, "key").join(reps.select("rep", "sig"), "rep").withColumn("blocks", F.expr(f"int((size + {TILE - 1}) div {TILE})"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = open_.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "label", "sig", F.least("block", "at").alias("x"), F.greatest("block", "at").alias("y"), (F.col("block") > F.col("at")).cast("int").alias("side"))
-    rest = cells.groupBy("key", "x", "y").applyInArrow(_tile, "u long, v long")
-    found = table(confirm(docs, rest, percent), "links")
+    cells = open_.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "at").alias("x"), F.greatest("block", "at").alias("y"), (F.col("block") > F.col("at")).cast("int").alias("side"), "variant", "rep", "label", "sig")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cells.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "rep")
+    lists = table(ordered.mapInArrow(_tiles, "list long, doc_id long, u binary, v binary"), "lists")
+    found = table(confirm_lists(docs, lists, percent), "links")
     label = table(components(nodes, links.unionByName(found)), "labels")
     placed = reps.drop("sig").join(label.withColumnRenamed("node", "rep"), "rep").select(*same, "label")
     placed = ids.drop("sig").join(placed, same).select("doc_id", "label")
