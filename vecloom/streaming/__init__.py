@@ -1,0 +1 @@
+"""Streams.  The engine designs codebooks from whole tables; nothing here is a stream."""
