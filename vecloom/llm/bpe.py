@@ -37,6 +37,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def newer_lower_case() -> dict[int, str]:
+    """Letters that the tokenizers library lower-cases otherwise than Python, whose Unicode tables are older."""
+    from tokenizers.normalizers import Lowercase
+
+    own, out = Lowercase(), {}
+    for at in [*range(0, 0xD800, 256), *range(0xE000, 0x110000, 256)]:
+        block = "".join(map(chr, range(at, at + 256))).replace("Σ", "σ")
+        if own.normalize_str(block) != block.lower():
+            out |= {ord(c): low for c in block if (low := own.normalize_str(c)) != c.lower()}
+    return out
+
+
 class Encoder:
     """For files of word-level BPE: lower case, white space dropped, an end-of-word suffix."""
 
@@ -55,7 +67,7 @@ class Encoder:
         # the last letter of a word, with the suffix, is one symbol
         self.ends = {c: chr(0xE000 + i) for i, c in enumerate(self.letters)}
         names = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for name, i in vocab.items():
+        for name, i in [*vocab.items(), *self.special.items()]:
             names[i] = name
         self.symbols = ["" if n in self.special else self._symbol(n) for n in names]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -87,6 +99,7 @@ class Encoder:
         text = [n.encode() for n in names]
         self.table, self.offsets = b"".join(text), np.concatenate([[0], np.cumsum([len(t) for t in text])]).tolist()
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.newer = newer_lower_case()
 
     def _symbol(self, name: str) -> str:
         if self.suffix and name.endswith(self.suffix) and len(name) > len(self.suffix):
@@ -159,7 +172,7 @@ class Encoder:
     def word(self, chunk: str) -> list[int]:
         """Ids of a run of normalised text without white space."""
         ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
+        for piece in self.pattern.findall(chunk.translate(self.newer)):
             letters = "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
             if self.suffix:
                 letters = letters[:-1] + self.ends[letters[-1]]

@@ -3,8 +3,8 @@
 Lengths are sorted into SLOTS classes.  All patterns of one to three classes that fill a sequence
 are columns of a least-squares problem whose rows are the classes; its non-negative solution says how
 often to use each pattern.  Counts are rounded down.  A pattern's first lengths are taken from its
-classes, the last is the best fit to what is left, and what still fits is added.  Lengths that no
-pattern used are packed by best fit, longest first.
+classes, the last is the best fit to what is left, and what still fits is added.  Lengths that
+patterns leave over are packed by best fit, longest first, each before shorter classes' patterns.
 
 The driver plans with one count per length, whatever the input; documents find their place by their
 rank among those of their length.
@@ -12,6 +12,7 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -114,14 +115,14 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000)
     return x
 
 
-def patterns(present: np.ndarray) -> list[tuple[int, ...]]:
-    """Classes of one, two or three lengths that fill a sequence; largest first."""
+def patterns(present: np.ndarray, full: int) -> list[tuple[int, ...]]:
+    """Classes of one, two or three lengths that sum to ``full`` classes; largest first."""
     on = set(np.flatnonzero(present).tolist())
-    out = [(SLOTS,)] if SLOTS in on else []
+    out = [(full,)] if full in on else []
     for a in sorted(on, reverse=True):
-        if SLOTS - a in on and SLOTS - a <= a:
-            out.append((a, SLOTS - a))
-        out += [(a, b, SLOTS - a - b) for b in on if b <= a and 1 <= SLOTS - a - b <= b and SLOTS - a - b in on]
+        if full - a in on and full - a <= a:
+            out.append((a, full - a))
+        out += [(a, b, full - a - b) for b in sorted(on) if b <= a and 1 <= full - a - b <= b and full - a - b in on]
     return out
 
 
@@ -163,28 +164,32 @@ def plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
 
     step = -(-most // SLOTS)
     slot = -(-np.arange(most + 1) // step)
-    classes = np.bincount(slot, counts, SLOTS + 1)
-    kinds = patterns(classes > 0)
+    classes = np.bincount(slot, counts)
+    kinds = patterns(classes > 0, most // step)
     if kinds:
-        a = np.zeros((SLOTS + 1, len(kinds)))
+        a = np.zeros((len(classes), len(kinds)))
         for j, kind in enumerate(kinds):
             for c in kind:
                 a[c, j] += 1
         repeats = np.floor(nonnegative_least_squares(a, classes) + 1e-6).astype(np.int64)
-        for kind, times in zip(kinds, repeats.tolist(), strict=True):
-            while times > 0:
-                lengths: list[int] = []
-                for c in kind[:-1] or kind:
-                    n = fit(most, c * step)
-                    while n and left[n] <= lengths.count(n):
-                        n = fit(n - 1, c * step)
-                    if not n or slot[n] != c:
-                        break
-                    lengths.append(n)
-                else:
-                    times -= use(lengths, times)
-                    continue
-                break
+        for c, own in itertools.groupby(zip(kinds, repeats.tolist(), strict=True), lambda x: x[0][0]):
+            # longer ones that the patterns leave over are packed before shorter classes use up what could join them
+            while (n := fit(most, most)) > c * step:
+                use([n], int(left[n]))
+            for kind, times in own:
+                while times > 0:
+                    lengths: list[int] = []
+                    for k in kind[:-1] or kind:
+                        n = fit(most, k * step)
+                        while n and left[n] <= lengths.count(n):
+                            n = fit(n - 1, k * step)
+                        if not n or slot[n] != k:
+                            break
+                        lengths.append(n)
+                    else:
+                        times -= use(lengths, times)
+                        continue
+                    break
     while n := fit(most, most):
         use([n], int(left[n]))
     return [x for x in out if x[1]]
