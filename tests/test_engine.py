@@ -83,12 +83,13 @@ def heap_allocation(curves, budget, true_n):
         c = k[d]
         return (-(curves[d][c - 1] - curves[d][c]) / (bits(c + 1) - bits(c)), -d)
 
-    heap = [head(d) for d in curves]
+    heap = [head(d) for d in curves]  # no curve has only one entry
     heapq.heapify(heap)
     while sum(curves[d][k[d] - 1] for d in curves) > budget:
         d = -heapq.heappop(heap)[1]
         k[d] += 1
-        heapq.heappush(heap, head(d))
+        if k[d] < len(curves[d]):
+            heapq.heappush(heap, head(d))
     return k
 
 
