@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import checkpoint, table
 
 ENTRIES = 16
+#: bytes of a join side, by its counted rows, up to which it is sent to all executors; beyond, both sides are shuffled
+SENT = 32 << 20
 LIST = "node long, other long, near float"
 
 
@@ -189,6 +191,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
     # all queries of one vector are one search
     asked = table(asked.join(first.select(F.col("node").alias("home"), F.col("embedding").alias("q")), "q"), "asked")
     homes = checkpoint(asked.groupBy("home").agg(F.first("q").alias("q")))
+    many, wide = homes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("q")), F.lit(0)) * 8).first()
+
+    def sent(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= SENT else df
+
     entries = [r.node for r in nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node").collect()]
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,22 +206,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
             s = np.array([cosine(a[i:j], c[i:j]) for i, j in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("home"), b.column("node"), pa.array(s, pa.float64())], ["home", "node", "score"])
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(first, "node").join(homes, "home").where(F.size("q") == F.size("embedding"))
+    def scored(pairs: DataFrame, rows: int) -> DataFrame:
+        full = first.join(sent(pairs, 32 * rows), "node").join(sent(homes, wide + 32 * many), "home").where(F.size("q") == F.size("embedding"))
         return full.select("home", "node", "q", "embedding").mapInArrow(score, "home long, node long, score double")
 
     start = homes.select("home", F.explode(F.array_distinct(F.concat(F.array("home"), F.array(*[F.lit(e) for e in entries]).cast("array<bigint>")))).alias("node"))
-    seen = checkpoint(scored(start).withColumn("open", F.lit(True)))
+    seen = checkpoint(scored(start, many * (ENTRIES + 1)).withColumn("open", F.lit(True)))
     for _ in range(hops):
         rank = F.row_number().over(Window.partitionBy("home").orderBy(F.desc("score"), "node"))
         ranked = seen.withColumn("rank", rank)
         turn = F.row_number().over(Window.partitionBy("home", "open").orderBy("rank"))
         marked = checkpoint(ranked.withColumn("now", F.col("open") & (F.col("rank") <= width) & (turn <= expand)).drop("rank"))
-        front = marked.where("now")
-        if front.limit(1).count() == 0:
+        front = marked.where("now").select("home", "node")
+        chosen = front.count()
+        if chosen == 0:
             break
-        fresh = front.select("home", "node").join(ways, "node").select("home", F.col("other").alias("node")).distinct().join(marked.select("home", "node"), ["home", "node"], "left_anti")
-        seen = checkpoint(marked.select("home", "node", "score", (F.col("open") & ~F.col("now")).alias("open")).unionByName(scored(fresh).withColumn("open", F.lit(True))))
+        fresh = checkpoint(ways.join(sent(front, 32 * chosen), "node").select("home", F.col("other").alias("node")).distinct().join(marked.select("home", "node"), ["home", "node"], "left_anti"))
+        seen = checkpoint(marked.select("home", "node", "score", (F.col("open") & ~F.col("now")).alias("open")).unionByName(scored(fresh, fresh.count()).withColumn("open", F.lit(True))))
     kept = seen.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= 3 * k + 1)
     members = same.select("vec_id", "embedding").join(first, "embedding").select("node", "vec_id")
     found = asked.select("query_id", "home").join(kept.select("home", "node", "score"), "home").join(members, "node").where("vec_id <> query_id")
