@@ -237,8 +237,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = b.column("at").to_numpy()
             yield b.filter(pa.array((bits.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1))
 
+    def held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sets(maybe(rows))  # in one Python worker
+
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_bits)).alias("at"))
-    sets = some.mapInArrow(maybe, "doc_id long, text string, at long").select("doc_id", "text").mapInArrow(_sets, "doc_id long, low long, high long, set binary")
+    sets = some.mapInArrow(held, "doc_id long, low long, high long, set binary")
     return sets.groupBy("doc_id").agg(F.min_by("set", F.struct("low", "high")).alias("set"))
 
 
