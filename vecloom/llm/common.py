@@ -79,7 +79,7 @@ def bloom(ids: DataFrame, column: str, bits: int = 1 << 27) -> np.ndarray:
 
 # ------------------------------------------------------------------ word hashing
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
@@ -126,7 +126,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     """Hash of each word, in order, and for each row the position of its first word (rows + 1 values).
 
     fold lower-cases A-Z.  Works through segments cut at spaces and row ends, so memory beyond the
-    result stays near 100 MB unless a single word is longer than a segment.
+    result stays near 30 MB unless a single word is longer than a segment.
     """
     values = _FOLDED if fold else _BYTES
     hashes, starts, at, end = [], [], 0, len(data)
