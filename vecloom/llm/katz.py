@@ -33,7 +33,7 @@ from vecloom.llm.common import batches, mix, table, utf8, word_hashes
 HEAD = 1 << 20
 K = 5
 SHARDS, SHARD_BYTES = 64, 16 << 20
-FLUSH = 4_000_000
+FLUSH, SLICE = 4_000_000, 1 << 18
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x269EC3B1F0E2D7A5)
 #: pairs keep 56 bits of a word's hash, so words do so everywhere
 _KEEP = np.uint64((1 << 56) - 1)
@@ -109,25 +109,41 @@ def _postings(shards: int, heavy: np.ndarray):  # noqa: ANN202
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            base = held[0][3][0]
-            h, w, train = (np.concatenate([x[i] for x in held]) for i in range(3))
-            ids = np.concatenate([x[3] for x in held])
-            text = np.repeat(np.arange(len(ids), dtype=np.uint32), np.concatenate([x[4] for x in held]))
+            # one array at a time, each freed as soon as it is replaced: a flush is the task's peak of memory
+            w, ids, sizes, learn = (np.concatenate([x[i] for x in held]) for i in range(4))
+            held.clear()
+            base = ids[0]
             if ids[-1] - base + 1 != len(ids):
                 raise AssertionError("row numbers of a task must follow each other")
-            spread = lookup(heavy, h)[1]
-            shard = (mix(np.where(spread, w, h) + np.uint64(99)) % np.uint64(shards)).astype(np.uint32)
+            h = np.empty_like(w)
+            h[1:] = w[:-1]
+            h[np.cumsum(sizes) - sizes] = START & _KEEP
+            text = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+            shard = np.empty(len(h), np.uint32)
+            for i in range(0, len(h), SLICE):
+                part = slice(i, i + SLICE)
+                spread = lookup(heavy, h[part])[1]
+                shard[part] = mix(np.where(spread, w[part], h[part]) + np.uint64(99)) % np.uint64(shards)
             order = np.lexsort((w, h, shard))  # stable: texts stay in turn
-            shard, h, w, text, train = shard[order], h[order], w[order], text[order], train[order]
-            one = np.concatenate([[True], (text[1:] != text[:-1]) | (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
-            at = np.flatnonzero(one)
-            n = np.diff(np.concatenate([at, [len(h)]]))
-            shard, h, w, text, train = shard[at], h[at], w[at], text[at], train[at] * n
-            two = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
-            at = np.flatnonzero(two)
-            m, total = np.diff(np.concatenate([at, [len(h)]])), np.add.reduceat(train, at)
-            ends = np.concatenate([at, [len(h)]])
-            pair_shard, h, w = shard[at], h[at], w[at]
+            shard = shard[order]
+            h = h[order]
+            w = w[order]
+            text = text[order]
+            del order
+            at = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
+            n = np.diff(at, append=len(h)).astype(np.uint32)
+            shard = shard[at]
+            h = h[at]
+            w = w[at]
+            text = text[at]
+            train = n * learn[text]
+            at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
+            ends = np.append(at, len(h))
+            m, total = np.diff(ends), np.add.reduceat(train, at)
+            del train
+            pair_shard = shard[at]
+            h = h[at]
+            w = w[at]
             cut = np.searchsorted(pair_shard, np.arange(shards + 1))
             for s in range(shards):
                 i, j = cut[s], cut[s + 1]
@@ -148,16 +164,11 @@ def _postings(shards: int, heavy: np.ndarray):  # noqa: ANN202
 
         for b in batches(rows):
             w, begin = tokens(b.column("text"))
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[begin[:-1]] = START & _KEEP
-            sizes = np.diff(begin)
-            learn = b.column("learn").to_numpy(zero_copy_only=False)
-            held.append((h, w, np.repeat(learn.astype(np.int64), sizes), b.column("row").to_numpy(), sizes))
+            held.append((w, b.column("row").to_numpy().copy(), np.diff(begin), b.column("learn").to_numpy(zero_copy_only=False).astype(np.uint32)))
             size += len(w)
             if size > FLUSH:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
 
@@ -183,7 +194,7 @@ def _answers(head: np.ndarray, head_p: np.ndarray, rarely: bool, heavy: np.ndarr
         parts = []
         for r in t.sort_by("base").to_pylist():
             h = np.repeat(np.cumsum(unplanes(r["h"], 8), dtype=np.uint64), unplanes(r["hn"], 4).astype(np.int64))
-            parts.append((h, unplanes(r["w"], 7), unplanes(r["train"], 4).astype(np.int64), unplanes(r["m"], 4).astype(np.int64), unplanes(r["text"], 4).astype(np.int64), unplanes(r["n"], 4).astype(np.int64), r["base"], r["rows"]))
+            parts.append((h, unplanes(r["w"], 7), *(unplanes(r[c], 4).astype(np.int32) for c in ("train", "m", "text", "n")), r["base"], r["rows"]))
         h, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         order = np.lexsort((w, h))
         hs, ws = h[order], w[order]
@@ -215,7 +226,7 @@ def _answers(head: np.ndarray, head_p: np.ndarray, rarely: bool, heavy: np.ndarr
             lows = [np.bincount(p[4], np.where(got == r, p[5], 0), p[7]).astype("<u4") for r in range(1, K + 1)]
             out.append(_rows(SUMS, 1, a=[p[6]], b=[p[7]], raw=[sums.astype("<f8").tobytes() + b"".join(planes(v, 4) for v in lows)]))
             miss = np.flatnonzero(got == 0)
-            out.append(_rows(UNSEEN, len(miss), a=p[6] + p[4][miss], b=hs[each[miss]].view(np.int64), n=p[5][miss], seen=ws[each[miss]].view(np.int64)[:, None]))
+            out.append(_rows(UNSEEN, len(miss), a=p[6] + p[4][miss].astype(np.int64), b=hs[each[miss]].view(np.int64), n=p[5][miss], seen=ws[each[miss]].view(np.int64)[:, None]))
         real = np.flatnonzero(of > 0)
         out.append(_rows(HISTORY, len(real), a=hs[first][real].view(np.int64), b=base[real], n=high[real], seen=low[real], x=p1[real]))
         if rarely:
