@@ -141,6 +141,35 @@ def test_nn_descent(spark):
     assert search(vectors_df(spark, [])).count() == 0
 
 
+def recall_at_5(spark, n, every, **how):
+    """Of isotropic vectors of 64 components."""
+    from vecloom.llm.nn_descent import search
+
+    x = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa_table(x))
+    got = {}
+    for r in search(df, every, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, every):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    return hits / (5 * len(range(0, n, every)))
+
+
+def pa_table(x):
+    import pyarrow as pa
+
+    return pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
+
+
+def test_nn_descent_widens_until_recall_is_enough(spark):
+    # lists and a width far too short, as fixed ones are for a larger table
+    assert recall_at_5(spark, 3000, 20, degree=10, back=8, trees=1, width=48) >= 0.9
+
+
 # ------------------------------------------------------------------ 3
 
 

@@ -2,9 +2,11 @@
 
 Equal vectors are one node.  The first lists come from random-hyperplane blocks; then rounds of
 NN-descent join each node's neighbours with each other (neighbours of neighbours) and keep every
-node's best.  A query starts at its own node and at a few fixed entries, and expands the best nodes
-found that it hasn't expanded yet, until none of its best ``width`` is left.  The graph is built
-from half-precision unit vectors; scores come from the original ones in double precision.
+node's best, until few entries change.  A query starts at its own node and at a few fixed entries,
+and expands the best nodes found that it hasn't expanded yet, until none of its best ``width`` is
+left.  Recall is then measured on a sample of queries against all vectors, and all searches go on
+with twice the width until it is high enough.  The graph is built from half-precision unit vectors;
+scores come from the original ones in double precision.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ ENTRIES = 16
 #: bytes of a join side, by its counted rows, up to which it is sent to all executors; beyond, both sides are shuffled
 SENT = 32 << 20
 LIST = "node long, other long, near float"
+#: queries whose true neighbours are looked up, and the recall that they must show, less two standard errors
+SAMPLE, RECALL = 512, 0.9
 
 
 def _matrix(column: pa.Array, d: int, kind: type) -> np.ndarray:
@@ -161,23 +165,70 @@ def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(d == length))
 
 
-def build(nodes: DataFrame, k: int = 24, trees: int = 4, block: int = 2048, rounds: int = 2, back: int = 16) -> DataFrame:
-    """The neighbour graph (node, other, near): k others of each node.  nodes: node, d, unit."""
+def build(nodes: DataFrame, k: int = 24, trees: int = 4, block: int = 2048, settled: float = 0.1, back: int = 16) -> DataFrame:
+    """The neighbour graph (node, other, near): k others of each node.  nodes: node, d, unit.
+
+    Rounds go on until at most the share ``settled`` of the entries is new.
+    """
     n = nodes.count()
     graph = table(_merged(_blocks(nodes, trees, block, k, n), k), "graph")
-    for _ in range(rounds):
-        graph = table(_merged(graph.unionByName(_descend(graph, nodes, k, back)), k), "graph")
-    return graph
+    while True:
+        last, graph = graph, table(_merged(graph.unionByName(_descend(graph, nodes, k, back)), k), "graph")
+        if graph.join(last, ["node", "other"], "left_anti").count() <= settled * graph.count():
+            return graph
+
 
+def _truth(first: DataFrame, picked: DataFrame, k: int) -> DataFrame:
+    """home, edge, most: the score of each picked home's k-th nearest other node, of all of its length; how many that are.
+
+    first: node, embedding.  picked: home, q, so few that they are sent to all executors.
+    """
+    asked: dict[int, list] = {}
+    for r in picked.select("home", "q").collect():
+        asked.setdefault(len(r.q), []).append(r)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    shared = first.sparkSession.sparkContext.broadcast({d: (np.array([r.home for r in rows]), unit(np.array([r.q for r in rows]))) for d, rows in asked.items()})
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, back: int = 24, width: int = 96, expand: int = 16, hops: int = 8, trees: int = 4, rounds: int = 3) -> DataFrame:
+    def tops(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            v = b.column("embedding")
+            d = np.diff(v.offsets.to_numpy())
+            for length in np.unique(d):
+                if int(length) not in shared.value:
+                    continue
+                own = b.filter(pa.array(d == length))
+                home, q = shared.value[int(length)]
+                x = unit(own.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, int(length)))
+                s = q @ x.T
+                s[home[:, None] == own.column("node").to_numpy()] = -2  # no neighbour of itself
+                m = min(k, s.shape[1])
+                near = -np.partition(-s, m - 1, axis=1)[:, :m]
+                keep = near > -2
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(home, keep.sum(1))), pa.array(near[keep])], ["home", "near"])
+
+    near = first.select("node", "embedding").mapInArrow(tops, "home long, near double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("home").orderBy(F.desc("near")))).where(F.col("r") <= k)
+    return checkpoint(best.groupBy("home").agg(F.min("near").alias("edge"), F.count(F.lit(1)).alias("most")))
+
+
+def _recall(seen: DataFrame, truth: DataFrame, of: int) -> float:
+    """The mean share of true neighbours that were seen, less two standard errors.  of: queries that truth is a sample of."""
+    hit = seen.join(F.broadcast(truth), "home").where((F.col("node") != F.col("home")) & (F.col("score") >= F.col("edge") - 1e-9))
+    hits = hit.groupBy("home").agg(F.count(F.lit(1)).alias("hits"))
+    rows = truth.join(hits, "home", "left").select((F.least(F.coalesce("hits", F.lit(0)), "most") / F.col("most")).alias("share")).collect()  # SAMPLE at most
+    share = np.array([r.share for r in rows])
+    return 1.0 if not len(share) else float(share.mean() - 2 * share.std() * np.sqrt(max(0, 1 - len(share) / of) / len(share)))
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, back: int = 24, width: int = 96, expand: int = 16, trees: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest others found, by cosine.
 
     Queries are the rows whose vec_id is divisible by ``every``; ties go to the smaller vec_id.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
     with a null vec_id.  Only vectors of the same length are compared.  Rows that share a vec_id
     count once, by the vector that sorts first.  Without queries or candidates the result is empty.
-    Other columns are ignored.
+    Other columns are ignored.  ``width`` and ``expand`` are doubled until a sample of queries shows
+    a recall of RECALL, or all nodes are in reach.
     """
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     good = good.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").cast("array<double>").alias("embedding"))
@@ -185,7 +236,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
     same = table(good.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1), "same")
     first = same.where("r = 1").select(F.col("vec_id").alias("node"), "embedding")
     nodes = table(first.mapInArrow(_pack, "node long, d int, unit binary"), "nodes")
-    graph = build(nodes, degree, trees, rounds=rounds, back=back)
+    graph = build(nodes, degree, trees, back=back)
+    n = nodes.count()
     ways = table(graph.select("node", "other").union(graph.select("other", "node")).distinct(), "ways")
     asked = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     # all queries of one vector are one search
@@ -212,7 +264,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
 
     start = homes.select("home", F.explode(F.array_distinct(F.concat(F.array("home"), F.array(*[F.lit(e) for e in entries]).cast("array<bigint>")))).alias("node"))
     seen = checkpoint(scored(start, many * (ENTRIES + 1)).withColumn("open", F.lit(True)))
-    for _ in range(hops):
+    truth = None
+    while True:
         rank = F.row_number().over(Window.partitionBy("home").orderBy(F.desc("score"), "node"))
         ranked = seen.withColumn("rank", rank)
         turn = F.row_number().over(Window.partitionBy("home", "open").orderBy("rank"))
@@ -220,7 +273,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
         front = marked.where("now").select("home", "node")
         chosen = front.count()
         if chosen == 0:
-            break
+            if width >= n:
+                break
+            truth = _truth(first, homes.orderBy(F.xxhash64("home"), "home").limit(SAMPLE), k) if truth is None else truth
+            if _recall(seen, truth, many) >= RECALL:
+                break
+            width, expand = 2 * width, 2 * expand
+            continue
         fresh = checkpoint(ways.join(sent(front, 32 * chosen), "node").select("home", F.col("other").alias("node")).distinct().join(marked.select("home", "node"), ["home", "node"], "left_anti"))
         seen = checkpoint(marked.select("home", "node", "score", (F.col("open") & ~F.col("now")).alias("open")).unionByName(scored(fresh, fresh.count()).withColumn("open", F.lit(True))))
     kept = seen.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= 3 * k + 1)
