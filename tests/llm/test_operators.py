@@ -292,6 +292,31 @@ def _known(model, word):
     return bool(_find(model.word_key, bigrams(pa.array([word]))[1][:1])[1][0])
 
 
+def test_kneser_ney_thresholds_rest_on_all_trusted_texts(spark):
+    import pyarrow as pa
+
+    from vecloom.llm.kneser_ney import EVERY, Sample, fit, counted_ids, trusted_ids
+
+    rows = [(i, t, "aa") for i, t in enumerate(prose(400, seed=5))] + [(400, "zz yy " * 30, "aa")]  # the last is longer than chars
+    docs = docs_df(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(401) if i % 7], "doc_id long, quality int, toxic int")
+    sample = Sample(per_lang=20, chars=170)
+    model = fit(docs, labels, sample, quantile=0.99)
+    counted = {r.doc_id for r in counted_ids(docs, trusted_ids(labels), sample).collect()}
+    assert 0 < len(counted) <= 20
+    loss, n = model.losses(pa.array([t for i, t, _ in rows if i % 7 and i not in counted]))
+    mean = loss.sum() / n.sum()
+    assert model.limits["aa"] == pytest.approx((np.quantile((loss + 16 * mean) / (n + 16), 0.99), mean)) and model.limits[EVERY] == pytest.approx(model.limits["aa"])
+
+
+def test_kneser_ney_quantile_of_many(spark):
+    from vecloom.llm.kneser_ney import _limits
+
+    x = np.random.default_rng(3).gamma(3, size=30000)
+    held = spark.createDataFrame([("aa", float(v), 1) for v in x], "lang string, loss double, n long")
+    assert _limits(held, 0.998, 0.0)["aa"][0] == pytest.approx(np.quantile(x, 0.998))
+
+
 # ------------------------------------------------------------------ 6
 
 
