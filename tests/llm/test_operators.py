@@ -391,6 +391,19 @@ def test_word_hashes_of_long_and_cut_texts(monkeypatch):
     assert len(whole) == len(words) and len(set(zip(words, whole.tolist(), strict=True))) == len(set(words)) == len(set(whole.tolist()))
 
 
+def test_distances_follow_the_threshold():
+    from vecloom.llm.near_dedup import CHUNK, form, missed
+
+    rng = np.random.default_rng(1)
+    for percent in (80, 82, 85, 95):
+        f = form(percent)
+        assert missed(percent / 100, f) < 1e-5
+        for _ in range(300):
+            wrong = set(rng.choice(f.keyed, f.far, replace=False).tolist())
+            assert any(not wrong & set(v) for v in f.variants)
+        assert {len(v) for v in f.variants} == {CHUNK - 1}
+
+
 # ------------------------------------------------------------------ 8, 9
 
 

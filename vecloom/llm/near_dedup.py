@@ -1,11 +1,12 @@
 """Near-duplicate classes: b-bit MinHash signatures, a multi-index Hamming join, exact confirmation.
 
-A document's signature has SIZE components of 8 bits; the first KEYED have 16 bits.  Signatures
-match if at most FAR of the keyed components differ and at most WIDE of all.  The join splits the
-keyed components into chunks of CHUNK; FAR errors over KEYED / CHUNK chunks leave some chunk with at
-most FAR // chunks errors (pigeonhole), so each chunk is indexed once for every way to leave out that
-many of its components: every pair under the distance shares a key.  At the threshold of 0.85 a pair
-exceeds the distances with a probability below 1e-5.  Matches are links if their full sets confirm it.
+A document's signature has SIZE components of 8 bits; the first ``keyed`` have 16 bits.  Signatures
+match if at most ``far`` of the keyed components differ and at most ``wide`` of all.  The join splits
+the keyed components into chunks of CHUNK, and ``far`` errors leave some chunk with at most one
+(pigeonhole), so each chunk is indexed once for every way to leave out a component: every pair under
+the distance shares a key.  All three follow from the threshold (see form): a pair that just reaches
+it exceeds the distances with a probability below MISSED.  Matches are links if their full sets
+confirm it.
 
 Only links between classes not joined already change the result, so the join first tests every
 document against the most connected document under each of its keys, joins what is confirmed, and
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,45 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import batches, bloom, components, mix, table, utf8, word_hashes
 
-SIZE, KEYED, CHUNK, FAR, WIDE = 128, 32, 4, 15, 37
-ERRORS = FAR // (KEYED // CHUNK)
-VARIANTS = [tuple(c + i for i in left) for c in range(0, KEYED, CHUNK) for left in itertools.combinations(range(CHUNK), CHUNK - ERRORS)]
+SIZE, CHUNK, MISSED = 128, 4, 1e-5
+
+
+@dataclass(frozen=True)
+class Form:
+    """Keyed components, and how many of them and of all may differ."""
+
+    keyed: int
+    far: int
+    wide: int
+
+    @property
+    def variants(self) -> list[tuple[int, ...]]:
+        errors = self.far // (self.keyed // CHUNK)
+        return [tuple(c + i for i in left) for c in range(0, self.keyed, CHUNK) for left in itertools.combinations(range(CHUNK), CHUNK - errors)]
+
+
+def missed(share: float, form: Form) -> float:
+    """The probability that two sets of this similarity exceed the distances; components are independent."""
+
+    def chances(n: int, bits: int) -> np.ndarray:
+        p = (1 - share) * (1 - 2.0**-bits)
+        return np.array([comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
+
+    keyed, rest = chances(form.keyed, 16), chances(SIZE - form.keyed, 8)
+    # sums of the small tails, which 1 - (the rest) would lose
+    return float(keyed[form.far + 1 :].sum() + sum(keyed[i] * rest[max(0, form.wide - i + 1) :].sum() for i in range(form.far + 1)))
+
+
+def form(percent: int) -> Form:
+    """The fewest keyed components, 32 at least, and then the least ``wide`` that miss a pair at the threshold with less than MISSED."""
+    for keyed in range(32, SIZE + 1, CHUNK):
+        far = 2 * keyed // CHUNK - 1
+        if missed(percent / 100, Form(keyed, far, SIZE)) < MISSED:
+            return next(f for w in range(SIZE + 1) if missed(percent / 100, f := Form(keyed, far, w)) < MISSED)
+    raise ValueError(f"signatures are too short for {percent} percent")
+
+
+KEYED, FAR, VARIANTS = form(85).keyed, form(85).far, form(85).variants
 TILE = 512
 LIST = 20_000
 _rng = np.random.default_rng(77)
@@ -61,7 +100,7 @@ def digests(every: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(mix(every ^ np.uint64(0x1234567)), at), np.add.reduceat(mix(every * np.uint64(0xD6E8FEB86659FD93)), at)
 
 
-def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(rows: Iterator[pa.RecordBatch], form: Form) -> Iterator[pa.RecordBatch]:
     for b in batches(rows):
         sets = shingle_sets(b.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
@@ -75,26 +114,26 @@ def _signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(SIZE):
                 least[:, k] = np.minimum.reduceat((every ^ _XOR[k]) * _MUL[k], at)
             bits = mix(least)
-            wide, rest = (bits[:, :KEYED] & np.uint64(0xFFFF)).astype("<u2"), (bits[:, KEYED:] & np.uint64(0xFF)).astype(np.uint8)
+            wide, rest = (bits[:, : form.keyed] & np.uint64(0xFFFF)).astype("<u2"), (bits[:, form.keyed :] & np.uint64(0xFF)).astype(np.uint8)
             for i, w, r in zip(has, wide, rest, strict=True):
                 sigs[i] = w.tobytes() + r.tobytes()
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "low", "high", "sig"])
 
 
-def _keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(rows: Iterator[pa.RecordBatch], form: Form) -> Iterator[pa.RecordBatch]:
     for b in rows:
-        sig = np.frombuffer(b"".join(x[: 2 * KEYED] for x in b.column("sig").to_pylist()), "<u2").reshape(-1, KEYED).astype(np.uint64)
+        sig = np.frombuffer(b"".join(x[: 2 * form.keyed] for x in b.column("sig").to_pylist()), "<u2").reshape(-1, form.keyed).astype(np.uint64)
         rep = b.column("rep").to_numpy()
-        for v, places in enumerate(VARIANTS):
+        for v, places in enumerate(form.variants):
             key = np.full(len(sig), v + 1, np.uint64)
             for p in places:
                 key = mix(key * np.uint64(65537) + sig[:, p])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(sig), v, np.int32)), pa.array(rep)], ["key", "variant", "rep"])
 
 
-def split(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 2 * KEYED + SIZE - KEYED)
-    return np.ascontiguousarray(raw[:, : 2 * KEYED]).view("<u2"), raw[:, 2 * KEYED :]
+def split(sigs: list[bytes], form: Form) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, form.keyed + SIZE)
+    return np.ascontiguousarray(raw[:, : 2 * form.keyed]).view("<u2"), raw[:, 2 * form.keyed :]
 
 
 def distances(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,20 +141,20 @@ def distances(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return near, near + (a[1] != b[1]).sum(-1)
 
 
-def _close(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(rows: Iterator[pa.RecordBatch], form: Form) -> Iterator[pa.RecordBatch]:
     for b in rows:
-        d = distances(split(b.column("sig_u").to_pylist()), split(b.column("sig_v").to_pylist()))
-        keep = (d[0] <= FAR) & (d[1] <= WIDE)
+        d = distances(split(b.column("sig_u").to_pylist(), form), split(b.column("sig_v").to_pylist(), form))
+        keep = (d[0] <= form.far) & (d[1] <= form.wide)
         yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep)), pa.array(d[1][keep].astype(np.int32))], ["u", "v", "far"])
 
 
-def _first_variant(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _first_variant(a: np.ndarray, b: np.ndarray, variants: list[tuple[int, ...]]) -> np.ndarray:
     """The first variant under which each two signatures share a key."""
     same = a == b
-    return np.stack([same[:, list(places)].all(1) for places in VARIANTS], 1).argmax(1)
+    return np.stack([same[:, list(places)].all(1) for places in variants], 1).argmax(1)
 
 
-def _matches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matches(t: pa.Table, form: Form) -> tuple[np.ndarray, np.ndarray]:
     """Matching pairs within cells (key, x, y) that lie in different classes, each under its first key.
 
     t: whole cells, one after the other, side 0 before side 1.  A cell with one side is a block with
@@ -123,7 +162,7 @@ def _matches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """
     key, x, y, side = (t[c].to_numpy() for c in ("key", "x", "y", "side"))
     rep, label, variant = (t[c].to_numpy() for c in ("rep", "label", "variant"))
-    near, rest = split(t["sig"].to_pylist())
+    near, rest = split(t["sig"].to_pylist(), form)
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -134,11 +173,11 @@ def _matches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(i), 100_000):
             p, q = i[at : at + 100_000], j[at : at + 100_000]
             d = (near[p] != near[q]).sum(1)
-            ok = d <= FAR
+            ok = d <= form.far
             p, q, d = p[ok], q[ok], d[ok]
-            ok = d + (rest[p] != rest[q]).sum(1) <= WIDE
+            ok = d + (rest[p] != rest[q]).sum(1) <= form.wide
             p, q = p[ok], q[ok]
-            ok = _first_variant(near[p], near[q]) == variant[p]
+            ok = _first_variant(near[p], near[q], form.variants) == variant[p]
             us.append(rep[p[ok]]), vs.append(rep[q[ok]])
 
     small = np.repeat(sizes <= 16, sizes)
@@ -155,12 +194,12 @@ def _matches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _tiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(rows: Iterator[pa.RecordBatch], form: Form) -> Iterator[pa.RecordBatch]:
     """Lists of pairs to confirm, and the documents of each list, from cells in order."""
     held: list[pa.Table] = []
 
     def lists(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        u, v = _matches(t)
+        u, v = _matches(t, form)
         for at in range(0, len(u), LIST):
             p, q = u[at : at + LIST], v[at : at + LIST]
             docs = np.unique(np.concatenate([p, q]))
@@ -286,26 +325,27 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     and the document with that id is kept.  Without words or text the set is empty and the document
     stands alone, as does a row without doc_id (component_id null); both are kept.  Rows that share a
     doc_id are one document: the set whose digest sorts first decides its links for all of them.
-    An empty table gives an empty result.  Other columns are ignored.  percent should be 80 or more:
-    below, the signature distances would miss pairs.
+    An empty table gives an empty result.  Other columns are ignored.  Signatures and distances follow
+    from percent, 80 at least.
     """
     if percent < 80:
-        raise ValueError("the signature distances are made for 80 percent or more")
+        raise ValueError("percent must be 80 or more")
+    own = form(percent)
     docs = docs.select("doc_id", "text")
-    signed = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, SIGNATURE), "signatures")
+    signed = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda rows: _signatures(rows, own), SIGNATURE), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["low", "high", "n_shingles"]
     one = real.groupBy("doc_id").agg(F.min(F.struct(*same, "sig")).alias("s")).select("doc_id", "s.*")
     ids = table(one, "ids")
     reps = table(ids.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "reps")
-    keys = reps.select("rep", "sig").mapInArrow(_keys, "key long, variant int, rep long")
+    keys = reps.select("rep", "sig").mapInArrow(lambda rows: _keys(rows, own), "key long, variant int, rep long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = table(keys.join(shared, "key"), "members")
     fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
     hubs = members.join(fame, "rep").groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("minus"))).alias("hub")).select("key", (-F.col("hub.minus")).alias("v"))
     tries = members.join(hubs, "key").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     u, v = reps.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), reps.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v"))
-    close = tries.join(u, "u").join(v, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_close, "u long, v long, far int")
+    close = tries.join(u, "u").join(v, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(lambda rows: _close(rows, own), "u long, v long, far int")
     best = close.groupBy("u").agg(F.min(F.struct("far", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
     links = table(confirm(docs, best, percent), "links")
     nodes = reps.select(F.col("rep").alias("node"))
@@ -317,7 +357,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     cells = open_.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "at").alias("x"), F.greatest("block", "at").alias("y"), (F.col("block") > F.col("at")).cast("int").alias("side"), "variant", "rep", "label", "sig")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cells.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "rep")
-    lists = table(ordered.mapInArrow(_tiles, "list long, doc_id long, u binary, v binary"), "lists")
+    lists = table(ordered.mapInArrow(lambda rows: _tiles(rows, own), "list long, doc_id long, u binary, v binary"), "lists")
     found = table(confirm_lists(docs, lists, percent), "links")
     label = table(components(nodes, links.unionByName(found)), "labels")
     placed = reps.drop("sig").join(label.withColumnRenamed("node", "rep"), "rep").select(*same, "label")
