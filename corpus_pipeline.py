@@ -15,6 +15,8 @@ from vecloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 SURE = 0.9
+#: percent of similarity from which documents are near-duplicates; op6's query has a limit of its own
+LINKED = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class, once; rows without doc_id stay."""
-    kept = near_dedup.classes(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup.classes(docs, LINKED).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     one = one.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

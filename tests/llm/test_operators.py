@@ -579,3 +579,19 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert not kept & {300, 301, 302, 303} and len(kept) >= 110
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept
+
+
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    rows, rng = [], random.Random(6)
+    for k in range(80):  # pairs of 0.75 to 0.88
+        w = [f"w{k}x{i}" for i in range(100)]
+        w2 = w[: 100 - rng.randint(8, 20)] + [f"new{k}"] * 5
+        rows += [(2 * k, " ".join(w), "aa"), (2 * k + 1, " ".join(w2), "aa")]
+    sets = {i: shingles(t) for i, t, _ in rows}
+    alike = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(80)]
+    assert any(x < 0.8 for x in alike) and sum(0.8 <= x < 0.85 for x in alike) >= 10
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {2 * k for k in range(80)} | {2 * k + 1 for k in range(80) if alike[k] < 0.8}
