@@ -13,6 +13,8 @@ rank among those of their length.
 from __future__ import annotations
 
 import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,59 +24,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches, table
+from vecloom.llm.common import batches, small_batches, table, utf8, word_spans
 
 SLOTS = 128
-CACHE = 500_000
+CACHE = 1 << 19
+#: shares of the fitted repeats that are tried; what a share leaves is packed as a residual
+SHARES = (1.0, 0.75, 0.5, 0.25, 1 / 8, 1 / 16, 1 / 64, 1 / 256)
 #: what makes cutting at single spaces and line breaks unsafe: runs of white space, and any at the ends
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
-
-
-class _Words(dict):
-    """Little-endian ids of a piece of text, made when first asked for."""
-
-    def __init__(self, tokenizer, before: str) -> None:  # noqa: ANN001
-        self.tokenizer, self.before = tokenizer, before
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 48:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
+_LINED = np.uint64(0xA0761D6478BD642F)
 
 
 class Tokens:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
     That library splits text before a single space between other characters, and around a single
-    line break, so ids of such pieces can be kept and joined.  Texts with other white space go to it
-    as a whole.
+    line break, so a text's ids are those of its words in turn, each with the space or line break
+    before it.  A batch's different words are found by 64-bit hashes and length; the library encodes
+    those that aren't known yet, some hundred at a time, and the rest is gathering.  Texts with other
+    white space or with special tokens go to the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec["model"]["type"] != "BPE":
+            raise ValueError("the file must be byte-level BPE that splits at spaces and changes no text")
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.spaced = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
-        self.line = self.first["\n"]
-
-    def ids(self, column: pa.Array) -> Iterator[bytes]:
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        names = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(names.values()) + 1, np.int64)  # of each token: a letter stands for a byte
+        for name, i in names.items():
+            self.bytes[i] = len(name)
+        self.line = len(self._encode("\n"))
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.count, self.chars = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(1, np.uint32)  # ids of all known words; the first is the end's
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _words(self, words: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with ``before`` before it, and how many each has."""
+        texts = [(before + before.join(words[at : at + 100])).decode() for at in range(0, len(words), 100)]
+        ids = np.concatenate([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]).astype(np.uint32)
+        until = np.cumsum([len(w) + 1 for w in words])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), until, "right"), prepend=0)
+
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> None:
+        ids, count, order = [], [], []
+        for kind, before in ((True, b" "), (False, b"\n")):
+            own = np.flatnonzero(spaced == kind)
+            if len(own):
+                got = self._words([raw[i:j].tobytes() for i, j in zip(start[own], end[own], strict=True)], before)
+                ids.append(got[0]), count.append(got[1]), order.append(own)
+        count, order = np.concatenate(count), np.concatenate(order)
+        first = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *ids])
+        every = [np.concatenate(x) for x in ((self.keys, keys[order]), (self.start, first), (self.count, count), (self.chars, (end - start)[order]))]
+        turn = np.argsort(every[0], kind="stable")
+        self.keys, self.start, self.count, self.chars = (x[turn] for x in every)
+
+    def plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without odd white space, an end (id 0) after each, and where each begins (rows + 1 values)."""
+        raw, offsets = utf8(column)
+        h, start, end, at = word_spans(raw, offsets, fold=False)
+        spaced = np.zeros(len(h), bool)
+        spaced[1:] = raw[start[1:] - 1] == 0x20
+        opening = at[:-1][at[1:] > at[:-1]]  # a row's first word is as after a line break, without the break
+        spaced[opening] = False
+        key = h ^ np.where(spaced, np.uint64(0), _LINED) ^ (end - start).astype(np.uint64)
+        kinds = pa.array(key).dictionary_encode()
+        code, keys = kinds.indices.to_numpy(), kinds.dictionary.to_numpy()
+        place = np.zeros(len(keys), np.int64)
+        place[code[::-1]] = np.arange(len(code))[::-1]
+        if len(self.keys) > CACHE:
+            self.forget()
+        known = self._find(keys)[1]
+        new = place[~known]
+        if len(new):
+            self._learn(raw, keys[~known], start[new], end[new], spaced[new])
+        found, known = self._find(keys)
+        if not known.all() or (self.chars[found] != (end - start)[place]).any():
+            raise AssertionError("two words of one hash")
+        first, count = self.start[found][code], self.count[found][code]
+        first[opening] += self.line
+        count[opening] -= self.line
+        first, count = np.insert(first, at[1:], 0), np.insert(count, at[1:], 1)
+        until = np.cumsum(count)
+        ids = self.pool[np.arange(until[-1]) + np.repeat(first - until + count, count)] if len(until) else np.zeros(0, np.uint32)
+        return ids, np.concatenate([[0], until])[at + np.arange(len(at))]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def ids(self, column: pa.Array) -> Iterator[memoryview]:
+        """Little-endian ids of each text, an end after each."""
         import pyarrow.compute as pc
 
-        odd = pc.fill_null(pc.match_substring_regex(column, _ODD), False).to_numpy(zero_copy_only=False)
-        for text, whole in zip(column.to_pylist(), odd, strict=True):
-            if not text:
-                yield b""
-            elif whole:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        column = column.fill_null("")
+        odd = pc.match_substring_regex(column, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        ids, at = self.plain(column.filter(pa.array(~odd)))
+        raw, k = memoryview(ids.astype("<u4").tobytes()), 0
+        for i, whole in enumerate(odd):
+            if whole:
+                yield memoryview(np.append(self._encode(column[i].as_py()), 0).astype("<u4").tobytes())
             else:
-                lines = []
-                for line in text.split("\n"):
-                    head, *rest = line.split(" ")
-                    lines.append(self.first[head] + b"".join(map(self.spaced.__getitem__, rest)))
-                yield self.line.join(lines)
+                yield raw[4 * at[k] : 4 * at[k + 1]]
+                k += 1
 
 
 _tokens: dict[str, Tokens] = {}
@@ -126,8 +195,34 @@ def patterns(present: np.ndarray, full: int) -> list[tuple[int, ...]]:
     return out
 
 
+def fitted(counts: np.ndarray, most: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Patterns of classes, and how often each is to be used."""
+    step = -(-most // SLOTS)
+    classes = np.bincount(-(-np.arange(most + 1) // step), counts)
+    kinds = patterns(classes > 0, most // step)
+    if not kinds:
+        return [], np.zeros(0)
+    a = np.zeros((len(classes), len(kinds)))
+    for j, kind in enumerate(kinds):
+        for c in kind:
+            a[c, j] += 1
+    return kinds, nonnegative_least_squares(a, classes)
+
+
 def plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of sequences that hold exactly counts[length] documents of each length."""
+    """(lengths, repeats) of sequences that hold exactly counts[length] documents of each length.
+
+    Of the shares of the fitted repeats, the one that needs the fewest sequences is taken.
+    """
+    kinds, x = fitted(counts, most)
+    if not kinds:
+        return packed(counts, most, kinds, x.astype(np.int64))
+    tried = [packed(counts, most, kinds, np.floor(share * x + 1e-6).astype(np.int64)) for share in SHARES]
+    return min(tried, key=lambda p: sum(times for _, times in p))
+
+
+def packed(counts: np.ndarray, most: int, kinds: list[tuple[int, ...]], repeats: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences by patterns as often as ``repeats`` says and lengths allow, and then by best fit."""
     left = counts.copy()
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -164,14 +259,7 @@ def plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
 
     step = -(-most // SLOTS)
     slot = -(-np.arange(most + 1) // step)
-    classes = np.bincount(slot, counts)
-    kinds = patterns(classes > 0, most // step)
     if kinds:
-        a = np.zeros((len(classes), len(kinds)))
-        for j, kind in enumerate(kinds):
-            for c in kind:
-                a[c, j] += 1
-        repeats = np.floor(nonnegative_least_squares(a, classes) + 1e-6).astype(np.int64)
         for c, own in itertools.groupby(zip(kinds, repeats.tolist(), strict=True), lambda x: x[0][0]):
             # longer ones that the patterns leave over are packed before shorter classes use up what could join them
             while (n := fit(most, most)) > c * step:
@@ -200,11 +288,9 @@ def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, seen = tokens(path), TaskContext.get().partitionId(), [0] * (most + 1)
-        end = np.array([0], "<u4").tobytes()
-        for b in batches(rows):
+        for b in batches(rows, 1 << 21):
             out: list[tuple] = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), own.ids(b.column("text")), strict=True):
-                raw += end
                 n = len(raw) // 4
                 at, k = 0, 0
                 while at < n:
@@ -227,6 +313,7 @@ def pack(docs: DataFrame, path: str, most: int = 2048) -> DataFrame:
     An empty table gives an empty result.  Other columns are ignored.  path: the tokenizer's file, at
     the same place on every executor.
     """
+    small_batches(docs.sparkSession)
     cut = table(pieces(docs, path, most), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
