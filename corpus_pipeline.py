@@ -6,12 +6,12 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import kneser_ney, language_id, near_dedup, packing
 from vecloom.llm.bpe import tokenizer_path
-from vecloom.llm.common import table
+from vecloom.llm.common import columns_of, free_names, numbered, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SURE = 0.9
@@ -20,25 +20,39 @@ LINKED = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts whose perplexity under the model of trusted texts is above their language's quantile."""
-    model = kneser_ney.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return kneser_ney.measure(docs, model).where("quality_kept").select(*docs.columns)
+    """Drops texts whose perplexity under the model of trusted texts is above their language's quantile.
+
+    Null texts are kept, as is everything if no text is trusted.  Repeated rows are judged each;
+    extra columns stay, whatever their names; an empty table stays empty.
+    """
+    return kneser_ney.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and those that are surely of another language than they are said to be."""
-    model = language_id.fit(docs)
-    seen = language_id.predict(docs, model)
-    wrong = (F.col("lang_pred") != F.col("lang")) & ~F.col("ambiguous") & (F.col("score") >= SURE)
-    return seen.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.coalesce(wrong, F.lit(False))).select(*docs.columns)
+    """Drops texts without a letter, and those that are surely of another language than they are said to be.
+
+    Null and empty texts have no letter.  A null lang is no statement to hold a text against.  Repeated
+    rows are judged each; extra columns stay, whatever their names; an empty table stays empty.
+    """
+    names = free_names(docs, "lang_pred", "score", "ambiguous")
+    seen = language_id.predict(docs, language_id.fit(docs), names)
+    found, score, close = (F.col(x) for x in names)
+    wrong = (found != F.col("lang")) & ~close & (score >= SURE)
+    return seen.where((found != language_id.UNKNOWN) & ~F.coalesce(wrong, F.lit(False))).select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class, once; rows without doc_id stay."""
-    kept = near_dedup.classes(docs, LINKED).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = one.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each class of near-duplicates: the smallest doc_id, the first row of several.
+
+    Every row is a document of its own here, also if rows share a doc_id or have none.  Texts without
+    words, null ones included, are near to nothing and stay.  Extra columns stay, whatever their names;
+    an empty table stays empty.
+    """
+    full, row = numbered(docs, "numbered")
+    found = near_dedup.classes(full.select(F.col(row).alias("doc_id"), "text"), LINKED).select(F.col("doc_id").alias(row), F.col("component_id").alias("class"))
+    ids = full.select(row, F.col("doc_id").alias("id")).join(found, row)
+    first = ids.groupBy("class").agg(F.min_by(F.col(row), F.struct(F.col("id").isNull(), "id", row)).alias(row)).select(row)
+    return full.join(first, row, "left_semi").select(*columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -243,78 +244,90 @@ def test_language_id(spark):
         assert len({tuple(r) for r in m.tolist()}) == n
 
 
-def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
-    import pyarrow as pa
+def kneser_ney(texts):
+    """log p(word | history) of an interpolated modified Kneser-Ney model of these texts, counted in plain Python."""
+    pairs = Counter()
+    for t in texts:
+        x = [*re.findall(r"[^\x20\x09-\x0D]+", t), None]
+        pairs.update(zip(["<s>", *x[:-1]], x, strict=True))
+    after, follows = Counter(w for _, w in pairs), {}
+    for (h, w), n in pairs.items():
+        follows.setdefault(h, {})[w] = n
 
-    from vecloom.llm.kneser_ney import Sample, classify, fit
+    def discounts(counts):
+        n = Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] else 0.5 for k in (1, 2, 3)]
+        return lambda c: d[min(c, 3) - 1]
 
-    texts = prose(300, words=80)
-    noise = ["%%" + hashlib.md5(str(i).encode()).hexdigest() for i in range(40)]
-    rows = [(i, t, "aa") for i, t in enumerate(texts)] + [(900, " ".join(noise), "aa"), (901, None, None), (902, "", "zz"), (3, texts[3], "aa")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)] + [(250, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    docs = docs_df(spark, rows)
-    got = classify(docs, labels).collect()
-    assert len(got) == len(rows)
-    kept = {r.doc_id: r.quality_kept for r in got}
-    assert not kept[900] and kept[901] and kept[902] and sum(kept[i] for i in range(300)) >= 290
-    model = fit(docs, labels, Sample(per_lang=200))
-    words = sorted({w for t in texts for w in t.split()})
-    history = words[5]
-    one = lambda text: model.losses(pa.array([text]))[0][0]
-    after = [math.exp(-(one(f"{history} {w}") - one(history) + one_end(model, history) - one_end(model, w))) for w in words]
-    known = len(model.word_key) - 1  # without the end
-    unseen = known - sum(1 for w in words if _known(model, w))
-    total = sum(p for p, w in zip(after, words, strict=True) if _known(model, w)) + math.exp(-one_end(model, history))
-    unknown = math.exp(-(one(f"{history} %%") - one(history) + one_end(model, history) - one_end(model, "%%")))
-    assert unseen == 0 and total + unknown == pytest.approx(1, abs=1e-4)
-    assert {r.quality_kept for r in classify(docs, labels.where("false")).collect()} == {True}
-    assert classify(docs_df(spark, []), labels).count() == 0
+    d, e = discounts(pairs.values()), discounts(after.values())
+    lowest = sum(e(n) for n in after.values()) / len(pairs) / (len(after) + 1)
 
+    def log_p(h, w):
+        low = lowest + ((after[w] - e(after[w])) / len(pairs) if w in after else 0)
+        if h not in follows:
+            return math.log(low)
+        of = sum(follows[h].values())
+        c = follows[h].get(w, 0)
+        return math.log((c - d(c) if c else 0) / of + sum(map(d, follows[h].values())) / of * low)
 
-def one_end(model, word):
-    """-log p(end | word), from one text of the word less the same text's start."""
-    import pyarrow as pa
+    return log_p, after
 
-    from vecloom.llm.kneser_ney import _find, bigrams, pair
 
-    h, w, _ = bigrams(pa.array([word]))
-    i, seen = _find(model.pair_key, pair(h[1:], w[1:]))
-    k, after = _find(model.history_key, h[1:])
-    j, _ = _find(model.word_key, w[1:])
-    return -float(model.pair_log[i][0] if seen[0] else model.word_log[j][0] + (model.history_log[k][0] if after[0] else 0))
+def loss_of(log_p, text):
+    x = [*re.findall(r"[^\x20\x09-\x0D]+", text), None]
+    return -sum(log_p(h, w) for h, w in zip(["<s>", *x[:-1]], x, strict=True)), len(x)
 
 
-def _known(model, word):
-    import pyarrow as pa
-
-    from vecloom.llm.kneser_ney import _find, bigrams
-
-    return bool(_find(model.word_key, bigrams(pa.array([word]))[1][:1])[1][0])
+@pytest.mark.parametrize(("head", "flush", "meets"), [(1 << 20, 1 << 20, 64 << 20), (30, 500, 400), (0, 200, 100)])
+def test_kneser_ney_agrees_with_counting(spark, monkeypatch, head, flush, meets):
+    from vecloom.llm import kneser_ney as module
 
+    for name, value in (("HEAD", head), ("FLUSH", flush), ("MEETS", meets)):  # few common n-grams, many packets, many slices
+        monkeypatch.setattr(module, name, value)
+    texts = prose(300, words=80)
+    noise = ["%%" + hashlib.md5(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, t, "aa") for i, t in enumerate(texts)] + [(900, " ".join(noise), "aa"), (901, None, None), (902, "", "zz"), (3, texts[3], "aa"), (3, "another text", "aa"), (None, texts[4] + " unheard", None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)] + [(250, 0, 0), (None, 1, 1), (17, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = docs_df(spark, rows)
+    model = module.fit(docs.select("doc_id", "lang", "text"), labels)
+    counted = {r.doc_id for r in model.counted.collect()}
+    assert 60 < len(counted) < 190
+    log_p, after = kneser_ney([min(t for i, t, _ in rows if i == c) for c in sorted(counted)])
+    for h in ["<s>", *list(after)[:10]]:  # every history's probabilities sum to one
+        assert sum(math.exp(log_p(h, w)) for w in after) + math.exp(log_p(h, "unheard")) == pytest.approx(1)
+    held = [loss_of(log_p, t) for i, t, _ in rows if i is not None and i < 250 and i not in counted]
+    mean = sum(x for x, _ in held) / sum(n for _, n in held)
+    limit = float(np.quantile([(x + 16 * mean) / (n + 16) for x, n in held], 0.998, method="inverted_cdf"))
+    got = module.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    want = sorted([(-1 if i is None else i, None if t is None else math.exp(loss_of(log_p, t)[0] / loss_of(log_p, t)[1]), None if t is None else (loss_of(log_p, t)[0] + 16 * mean) / (loss_of(log_p, t)[1] + 16) <= limit + 1e-7) for i, t, _ in rows], key=str)
+    for r, (i, perplexity, kept) in zip(sorted(got, key=lambda r: str((-1 if r.doc_id is None else r.doc_id, r.perplexity, r.quality_kept))), sorted(want, key=str), strict=True):
+        assert (r.doc_id if r.doc_id is not None else -1) == i
+        assert r.perplexity == (None if perplexity is None else pytest.approx(perplexity, rel=1e-5))
+        assert math.log(r.quality_limit) == pytest.approx(limit, abs=1e-6) and r.quality_kept is (True if kept is None else kept)
+    assert not next(r.quality_kept for r in got if r.doc_id == 900)
 
-def test_kneser_ney_thresholds_rest_on_all_trusted_texts(spark):
-    import pyarrow as pa
 
-    from vecloom.llm.kneser_ney import EVERY, Sample, fit, counted_ids, trusted_ids
+def test_kneser_ney_of_little(spark):
+    from vecloom.llm.kneser_ney import classify
 
-    rows = [(i, t, "aa") for i, t in enumerate(prose(400, seed=5))] + [(400, "zz yy " * 30, "aa")]  # the last is longer than chars
-    docs = docs_df(spark, rows)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(401) if i % 7], "doc_id long, quality int, toxic int")
-    sample = Sample(per_lang=20, chars=170)
-    model = fit(docs, labels, sample, quantile=0.99)
-    counted = {r.doc_id for r in counted_ids(docs, trusted_ids(labels), sample).collect()}
-    assert 0 < len(counted) <= 20
-    loss, n = model.losses(pa.array([t for i, t, _ in rows if i % 7 and i not in counted]))
-    mean = loss.sum() / n.sum()
-    assert model.limits["aa"] == pytest.approx((np.quantile((loss + 16 * mean) / (n + 16), 0.99), mean)) and model.limits[EVERY] == pytest.approx(model.limits["aa"])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    docs = docs_df(spark, [(i, t, "aa") for i, t in enumerate(prose(20))])
+    assert {(r.quality_kept, r.perplexity) for r in classify(docs, labels.where("false")).collect()} == {(True, None)}
+    assert classify(docs_df(spark, []), labels).count() == 0
+    assert {r.quality_kept for r in classify(docs_df(spark, [(1, None, None)] * 3), labels).collect()} == {True}
 
 
 def test_kneser_ney_quantile_of_many(spark):
-    from vecloom.llm.kneser_ney import _limits
+    from vecloom.llm.kneser_ney import limits
 
     x = np.random.default_rng(3).gamma(3, size=30000)
-    held = spark.createDataFrame([("aa", float(v), 1) for v in x], "lang string, loss double, n long")
-    assert _limits(held, 0.998, 0.0)["aa"][0] == pytest.approx(np.quantile(x, 0.998))
+    held = spark.createDataFrame([("aa" if k % 3 else None, float(v), 1) for k, v in enumerate(x)], "lang string, loss double, tokens long")
+    got = {r.lang: r for r in limits(held, 0.998, 0.0).collect()}
+    assert got[None].limit == pytest.approx(np.quantile(x, 0.998, method="inverted_cdf")) and got[None].docs == 30000
+    own = x[np.arange(30000) % 3 > 0]
+    assert got["aa"].limit == pytest.approx(np.quantile(own, 0.998, method="inverted_cdf")) and got["aa"].docs == 20000
 
 
 # ------------------------------------------------------------------ 6
@@ -500,7 +513,7 @@ def test_bpe_is_exact(spark):
 # ------------------------------------------------------------------ 10
 
 
-def katz(rows, head, shards=64):
+def katz(rows):
     from vecloom.llm.katz import K, discounts
 
     tok = lambda t: [*(t or "").encode().lower().split(), None]
@@ -514,12 +527,10 @@ def katz(rows, head, shards=64):
     cut = lambda c, d: c * (d[c] if c <= K else 1)
     unknown = 1 - sum(cut(c, d1) for c in u.values()) / n
     p1 = lambda w: cut(u[w], d1) / n if w in u else unknown
-    least = min((c for c in u.values() if sum(x >= c for x in u.values()) <= head), default=n + 1)
-    heavy = {w for w in u if u[w] >= least and u[w] * 4 * shards > n} | {"<s>"}  # only common words are spread
     next_ = {}
     for (h, w), c in b.items():
         next_.setdefault(h, []).append((w, c))
-    of = {h: follows[h] + (h in heavy or all(c > 2 for _, c in x)) for h, x in next_.items()}
+    of = {h: follows[h] + all(c > 2 for _, c in x) for h, x in next_.items()}
     alpha = {h: (1 - sum(cut(c, d2) for _, c in x) / of[h]) / (1 - sum(p1(w) for w, _ in x)) for h, x in next_.items()}
     p = lambda h, w: cut(b[h, w], d2) / of[h] if (h, w) in b else alpha.get(h, 1) * p1(w)
     for h in list(next_)[:20]:
@@ -532,14 +543,17 @@ def katz(rows, head, shards=64):
     return out
 
 
-@pytest.mark.parametrize("head", [1 << 20, 5])
-def test_katz(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "shards", "flush"), [(1 << 20, None, 4_000_000), (5, 512, 300), (1 << 20, 3, 50)])
+def test_katz(spark, monkeypatch, head, shards, flush):
+    """Against counting in plain Python, which knows no shards, common words or packets."""
     from vecloom.llm import katz as module
 
     monkeypatch.setattr(module, "HEAD", head)  # few common words: rare ones take the joins
-    rows = corpus() + [(3000 + i, t, None) for i, t in enumerate(prose(80, seed=5, words=200))]
-    want = katz(rows, head)
-    got = {r.doc_id: r for r in module.score(docs_df(spark, rows)).collect()}
+    monkeypatch.setattr(module, "FLUSH", flush)
+    rows = corpus() + [(3000 + i, t, None) for i, t in enumerate(prose(80, seed=5, words=200))] + [(4000 + i, "once more unto the breach", None) for i in range(40)]
+    rows += [(5000 + i, "always same always same always new" + str(i % 3), None) for i in range(30)]  # histories of high counts alone
+    want = katz(rows)
+    got = {r.doc_id: r for r in module.score(docs_df(spark, rows).repartition(1 if shards else 5), shards=shards).collect()}
     assert len(got) == len(rows)
     for i, (n, known, total, base, score) in want.items():
         r = got[i]
@@ -548,6 +562,30 @@ def test_katz(spark, monkeypatch, head):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
 
 
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    """A text of several parts counts as one, in both language models."""
+    import pyarrow as pa
+
+    from vecloom.llm import common
+
+    text = " ".join(prose(60, seed=9)) + " " + "x" * 5000 + " end"
+    whole = list(common.bigrams(pa.array([text]), True))
+    parts = list(common.word_parts(pa.array([text]), True, most=700))
+    assert len(whole) == 1 and len(parts) > 5 and [p[2] for p in parts] == [True] + [False] * (len(parts) - 1) and parts[-1][3]
+    assert np.concatenate([p[0] for p in parts]).tolist() == whole[0][1][:-1].tolist()
+    from vecloom.llm import katz as module
+
+    rows = [(i, t, None) for i, t in enumerate(prose(30, seed=5, words=60))] + [(100, text, None), (101, text, None)]
+    want = katz(rows)
+    cut = common.word_parts
+    monkeypatch.setattr(common, "word_parts", lambda column, fold: cut(column, fold, 700))
+    run = module._postings(4, np.array([common.START]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    b = pa.record_batch([pa.array([7]), pa.array([1]), pa.array([False]), pa.array([True]), pa.array([text])], ["row", "doc_id", "held_out", "learn", "text"])
+    out = pa.Table.from_batches(list(run(iter([b]))))
+    assert sum(x for x in out["tokens"].to_pylist() if x) == len(whole[0][1]) == want[100][0]
+    assert sum(int(common.unplanes(r, 4).sum()) for r in out["n"].to_pylist() if r) == len(whole[0][1])
+
+
 def test_katz_of_little(spark):
     from vecloom.llm.katz import score
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches
+from vecloom.llm.common import batches, small_batches
 
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE = 400_000
@@ -242,6 +242,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     ignored.  path: the tokenizer's file, at the same place on every executor.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches(rows):

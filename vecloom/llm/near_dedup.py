@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches, bloom, components, mix, table, utf8, word_hashes
+from vecloom.llm.common import batches, bloom, components, mix, small_batches, table, utf8, word_hashes
 
 SIZE, CHUNK, MISSED = 128, 4, 1e-5
 
@@ -331,6 +331,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     if percent < 80:
         raise ValueError("percent must be 80 or more")
     own = form(percent)
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda rows: _signatures(rows, own), SIGNATURE), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
