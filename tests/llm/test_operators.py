@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, label string, rep long"
 
@@ -166,6 +167,26 @@ def pa_table(x):
     return pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
 
 
+@pytest.mark.parametrize("tasks", ["1", "3"])
+def test_nn_descent_keeps_lengths_apart(spark, tasks):
+    """Vectors of several lengths share tasks, in numbers whose floats divide and don't divide by each other's length."""
+    from vecloom.llm.nn_descent import search
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        for n in (105, 103):
+            rng = np.random.default_rng(n)
+            rows = [(2 * i, rng.standard_normal(3).tolist()) for i in range(100)] + [(2 * i + 1, rng.standard_normal(5).tolist()) for i in range(n)]
+            want = best([(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows], 5, 5, lambda a, b: round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 9))
+            got = {}
+            for r in sorted(search(vectors_df(spark, rows), 5).collect()):
+                got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_nn_descent_widens_until_recall_is_enough(spark):
     # lists and a width far too short, as fixed ones are for a larger table
     assert recall_at_5(spark, 3000, 20, degree=10, back=8, trees=1, width=48) >= 0.9
@@ -174,16 +195,15 @@ def test_nn_descent_widens_until_recall_is_enough(spark):
 # ------------------------------------------------------------------ 3
 
 
-def walk(ids, shards, replicas):
-    """Rows one by one, in turns."""
+def walk(ids, shards, replicas, turn_of):
+    """Rows one by one, in turns; turn_of: their order within an arc."""
     from vecloom.llm.ring_sharding import ring
 
     points = ring(shards, replicas)
     room = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)]
     place = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
     arc = lambda i: next((k for k, p in enumerate(points) if p[0] >= place(i)), 0)
-    waiting, out = [(arc(i), i) for i in ids], {}
-    waiting.sort()
+    waiting, out = sorted([(arc(i), i) for i in ids], key=lambda x: (x[0], turn_of[x[1]])), {}
     turn = 0
     while waiting:
         rest = []
@@ -202,8 +222,27 @@ def test_ring_agrees_with_walking(spark):
     from vecloom.llm.ring_sharding import assign
 
     rows = [(i * 7, f"t{i}", None) for i in range(203)]
-    got = assign(docs_df(spark, rows), 5, 16).collect()
-    assert {r.doc_id: r.shard for r in got} == walk([r[0] for r in rows], 5, 16)
+    df = docs_df(spark, rows)
+    turn = F.xxhash64("doc_id", F.crc32("text"), (F.length("text") + 8).cast("long"), F.lit(0).cast("long"))
+    turn_of = {r.doc_id: (r.high, r.turn) for r in df.select("doc_id", turn.alias("turn"), F.shiftrightunsigned(turn, 33).alias("high")).collect()}
+    got = assign(df, 5, 16).collect()
+    assert {r.doc_id: r.shard for r in got} == walk([r[0] for r in rows], 5, 16, turn_of)
+
+
+def test_ring_depends_on_rows_alone(spark, monkeypatch):
+    """Not on files, tasks or the size of a part of an arc; one shard more moves few rows between old ones."""
+    from vecloom.llm import ring_sharding as module
+
+    rows = [(5, "copy", None)] * 300 + [(5, f"other {i}", None) for i in range(200)] + [(None, "x", None)] * 50 + [(i, f"t{i}", None) for i in range(3000)]
+    one = sorted(module.assign(docs_df(spark, rows).repartition(1), 6).select("doc_id", "text_crc32", "shard", "slot").collect(), key=str)
+    monkeypatch.setattr(module, "RANKED", 20)
+    other = sorted(module.assign(docs_df(spark, rows[::-1]).repartition(7), 6).select("doc_id", "text_crc32", "shard", "slot").collect(), key=str)
+    assert one == other
+    rows = [(i, "", None) for i in range(6000)]
+    before, after = ({r.doc_id: r.shard for r in module.assign(docs_df(spark, rows), n).collect()} for n in (24, 25))
+    moved = [i for i in before if before[i] != after[i]]
+    # a 25th of all must move; bounded loads push some on between old shards
+    assert 6000 / 25 <= len(moved) <= 0.15 * 6000 and sum(after[i] != 24 for i in moved) <= 0.1 * 6000
 
 
 def test_ring_balances_hot_and_odd_rows(spark):

@@ -124,38 +124,38 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, back: int) -> DataFrame
     known = nodes.join(last, "node", "left").select(F.col("node").alias("other"), "d", "unit", F.coalesce("last", F.lit(-2.0)).cast("float").alias("last"))
     held = around.join(known, "other").select("node", "other", "d", "unit", "last")
 
+    def found(t: pa.Table) -> pa.RecordBatch:
+        """The better pairs of whole neighbourhoods, all of vectors of one length."""
+        node, ids, last = (t[c].to_numpy() for c in ("node", "other", "last"))
+        x = _matrix(t["unit"], t["d"][0].as_py(), np.float16).astype(np.float32)
+        out = []
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
+            s = x[i:j] @ x[i:j].T
+            np.fill_diagonal(s, -2)
+            r, c = np.nonzero(s > last[i:j, None])
+            out.append((ids[i + r], ids[i + c], s[r, c]))
+        a, o, s = _best(*(np.concatenate(v) for v in zip(*out, strict=True)), k)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(o), pa.array(s.astype(np.float32))], ["node", "other", "near"])
+
     def joined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _with_end(rows):
-            t = pa.Table.from_batches([b]) if b is not None else None
-            t = rest if t is None else t if rest is None else pa.concat_tables([rest, t])
-            if t is None or t.num_rows == 0:
-                continue
+        rest: pa.Table | None = None
+        for b in _by_length(rows):
+            t = pa.Table.from_batches([b])
+            if rest is not None and rest["d"][0] != t["d"][0]:  # no node has vectors of two lengths
+                yield found(rest)
+                rest = None
+            t = t if rest is None else pa.concat_tables([rest, t])
             node = t["node"].to_numpy()
-            cut = len(node) if b is None else int(np.searchsorted(node, node[-1]))  # the last node may go on
-            rest, t, node = t.slice(cut), t.slice(0, cut), node[:cut]
-            if not cut:
-                continue
-            ids, last, d = t["other"].to_numpy(), t["last"].to_numpy(), int(t["d"][0].as_py())
-            x = _matrix(t["unit"], d, np.float16).astype(np.float32)
-            out = []
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
-                s = x[i:j] @ x[i:j].T
-                np.fill_diagonal(s, -2)
-                r, c = np.nonzero(s > last[i:j, None])
-                out.append((ids[i + r], ids[i + c], s[r, c]))
-            a, o, s = (np.concatenate(v) for v in zip(*out, strict=True))
-            a, o, s = _best(a, o, s, k)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(o), pa.array(s.astype(np.float32))], ["node", "other", "near"])
+            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
+            if cut:
+                yield found(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None:
+            yield found(rest)
 
     # graphs of vectors of one length never meet those of another, but may share a task
-    return held.repartition("d", "node").sortWithinPartitions("d", "node").mapInArrow(lambda rows: joined(_by_length(rows)), LIST)
-
-
-def _with_end(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from rows
-    yield None
+    return held.repartition("d", "node").sortWithinPartitions("d", "node").mapInArrow(joined, LIST)
 
 
 def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,9 @@ stands before the t-th point clockwise from its own, and the shard takes those b
 then by rank within the arc, as far as it has room.  All others walk on.
 
 Rows of one arc walk the same way, so only their number matters: the driver plans with one count per
-arc (shards * replicas, whatever the input), and rows find their shard by their rank in the arc.
+arc (shards * replicas, whatever the input), and rows find their shard by their rank in the arc.  Ranks
+follow a hash of what a row says and of its place among equal rows, so the same rows get the same
+shards in whatever files or order they come.
 """
 
 from __future__ import annotations
@@ -56,9 +58,9 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 128) -> DataFrame:
 
     Law ``rows``.  size: UTF-8 bytes of the text plus 8 (null text: 8, and crc32 of nothing, 0).
     Rows with a null doc_id stand at one place of the ring together.  A doc_id that many rows share
-    fills its shard and then walks on clockwise.  Ranks within an arc are taken in parts of about
-    RANKED rows, dealt by the row's place in the input files, so that such a doc_id doesn't end up
-    in one task.  An empty table gives an empty result.  Other columns are ignored.
+    fills its shard and then walks on clockwise.  Ranks within an arc are taken in ranges of hashes of
+    about RANKED rows, so that such a doc_id doesn't end up in one task, and neither do equal rows,
+    whose places among each other are counted per task of the scan.  An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
     points = ring(shards, replicas)
@@ -91,10 +93,19 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 128) -> DataFrame:
     plans = [{"arc": a, "parts": counts[a] // RANKED + 1, "segments": x} for a, x in by_arc.items()]
     plans = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plans)), "array<struct<arc:int,parts:int,segments:array<struct<start:bigint,rows:bigint,shard:int,slot:bigint>>>>")))
     rows = rows.join(F.broadcast(plans), "arc")  # a row per arc, and a segment more each time that a shard fills
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    # equal rows: their numbers follow each other, over the tasks that wrote them
+    same, task = ["doc_id", "text_crc32", "size"], F.shiftright("row", 33).alias("task")
+    rows = rows.withColumn("task", task).withColumn("nth", F.row_number().over(Window.partitionBy(*same, "task").orderBy("row")) - 1)
+    held = rows.groupBy(*same, "task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*same).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    held = held.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("from") > 0).select(*(F.col(c).alias(f"of_{c}") for c in (*same, "task")), "from")
+    alike = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*same, "task")]
+    rows = rows.join(held, alike, "left").withColumn("nth", F.col("nth") + F.coalesce("from", F.lit(0)))
+    rows = rows.withColumn("turn", F.xxhash64(*same, "nth")).withColumn("high", F.shiftrightunsigned("turn", 33))
+    rows = rows.withColumn("part", F.shiftright(F.col("high") * F.col("parts"), 31))
     before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n")).select("arc", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("arc", "part").orderBy("doc_id", "text_crc32", "size", "row")) - 1)
+    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("arc", "part").orderBy("high", "turn", *same, "nth")) - 1)
     ranked = ranked.join(parts, ["arc", "part"]).withColumn("rank", F.col("base") + F.col("own"))
     home = F.filter("segments", lambda x: (x["start"] <= F.col("rank")) & (F.col("rank") < x["start"] + x["rows"]))[0]
     return ranked.withColumn("home", home).select(
