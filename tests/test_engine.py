@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecloom.functions.cost import codewords_of, corrected_of
 from vecloom.operators import codebook, entropy_graph, kmeans1d, partition, search
@@ -172,6 +173,53 @@ def test_correction_and_codewords():
     assert codewords_of(3.0000000000001, 100) == 8 and codewords_of(3.1, 10) == 10 and codewords_of(0.0, 1) == 1
 
 
+def test_correction_uses_numbers_of_blocks(spark):
+    """Blocks of 6/2/2 and 8/2 of ten vectors, extrapolated to 100: each dimension alone, and both."""
+    codes = [(a, b) for a, b in zip([0] * 6 + [1] * 2 + [2] * 2, [0] * 8 + [1] * 2, strict=True)]
+    coded = spark.createDataFrame([(i, list(c)) for i, c in enumerate(codes)], "vec_id long, codes array<int>")
+    for local in (True, False):
+        ev = search.Evaluator(coded, 100, correct=True, local=local)
+        h = [-sum(p * math.log2(p) for p in ps) for ps in ((0.6, 0.2, 0.2), (0.8, 0.2), (0.6, 0.2, 0.2))]
+        for dims, e, product in (((0,), h[0], 3), ((1,), h[1], 2), ((0, 1), h[2], 6)):
+            assert ev.clusters(dims) == pytest.approx(math.sqrt(2**e * product))
+        assert [round(ev.clusters(d), 2) for d in ((0,), (1,), (0, 1))] == [2.79, 1.82, 3.94]
+        ev.close()
+
+
+def test_repeated_ids_count_each(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 2.0]), (2, [9.0, 1.0])], "vec_id long, embedding array<float>")
+    coded = rows.select("vec_id", "embedding", F.transform("embedding", lambda x: (x > 5).cast("int")).alias("codes"))
+    subspaces = spark.createDataFrame([(0, [0, 1], 4)], codebook.SUMMARY)
+    got = {(tuple(r.codeword), r.block_size) for r in codebook.centroids(coded, subspaces).collect()}
+    assert got == {((0.0, 1.0), 2), ((9.0, 1.0), 1)}
+
+
+@pytest.mark.parametrize("odd", [None, [1.0, None], [1.0, float("nan")], [1.0]])
+def test_odd_vectors_are_refused(spark, odd):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 3.0]), (2, odd)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        pipelines.fit_allpairs(rows, Params(100, 1))
+
+
+def test_csv_files_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,1\n2,2\n")
+    (tmp_path / "b.csv").write_text("".join(f"{i},{i}\n" for i in range(3, 400)))
+    (tmp_path / "c.csv").write_text("400,400")
+    got = vectors.read_csv(spark, str(tmp_path)).orderBy("vec_id").collect()
+    assert [(r.vec_id, r.embedding[0]) for r in got] == [(i, i + 1.0) for i in range(400)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from vecloom.__main__ import main
+
+    (tmp_path / "v.csv").write_text("\n".join(",".join([str(r % 10)] * 10) for r in range(100)))
+    main([str(tmp_path / "v.csv"), "40000", "30", "--fit", "hybrid", "--out", str(tmp_path / "out")])
+    text = capsys.readouterr().out.splitlines()
+    assert text[:3] == ["Data size: 1000", "Number of vectors: 100", "Dimensionality: 10"]
+    assert "Dimensions: 1 2 3 4 5 6 7 8 9" in text and "Number of codewords: 2" in text
+    assert spark.read.text(str(tmp_path / "out" / "report")).count() == 7 and spark.read.parquet(str(tmp_path / "out" / "trace")).count() > 1
+
+
 def test_csv_round_trip_and_ragged_lines(spark, tmp_path):
     (tmp_path / "v.csv").write_text("".join(f"{i},{i * 2}.5\n" for i in range(50)))
     got = sorted(vectors.read_csv(spark, str(tmp_path / "v.csv")).collect())

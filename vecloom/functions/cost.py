@@ -21,7 +21,7 @@ def subspace_bits_of(k: float, dims: int, true_n: int) -> float:
 
 def corrected_of(e: float, product: float, n: int, true_n: int) -> float:
     """Clusters expected among true_n vectors, from the 2**entropy seen in a sample of n and the
-    product of the dimensions' own: e**r * product**(1 - r), r = log n / log true_n."""
+    product of the dimensions' numbers of blocks: e**r * product**(1 - r), r = log n / log true_n."""
     if true_n <= 1 or n > true_n or n < 2:
         raise ValueError("the correction needs 2 <= n <= true_n")
     if e > product * (1 + 1e-9):

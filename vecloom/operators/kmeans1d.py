@@ -159,13 +159,13 @@ def blocks(vectors: DataFrame, ks: dict[int, int]) -> DataFrame:
 
 
 def codes(vectors: DataFrame, found: DataFrame) -> DataFrame:
-    """vec_id, codes: the block of each component.  found: from blocks(); dims * clusters rows."""
+    """vec_id, embedding, codes: the block of each component.  found: from blocks(); dims * clusters rows."""
     bounds: dict[int, list[float]] = {}
     for r in found.select("dim", "lo", "block_id").orderBy("dim", "block_id").collect():
         bounds.setdefault(r.dim, []).append(r.lo)
     table = F.array(*[F.array(*[F.lit(v).cast("float") for v in bounds[i]]) for i in sorted(bounds)])
     code = F.transform("embedding", lambda x, i: (F.size(F.filter(F.element_at(table, i + 1), lambda b: b <= x)) - 1).cast("int"))
-    return vectors.select("vec_id", code.alias("codes"))
+    return vectors.select("vec_id", "embedding", code.alias("codes"))
 
 
 def assignments(coded: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Search for the cheapest grouping of dimensions: merging over all pairs, or along a tree.
 
 The loop runs on the driver over one row per candidate; the sizes of joint partitions come from an
-Evaluator: one Spark job for all candidates of a step, or NumPy where the codes are few.  Both give
-the same numbers up to rounding, and changes within rounding of 0 are no improvement.
+Evaluator: Spark jobs for all candidates of a step, or NumPy where there are few different codes.
+Both give the same numbers up to rounding, and changes within rounding of 0 are no improvement.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -19,7 +20,10 @@ from vecloom.operators.decomposition import Decomposition
 from vecloom.operators.entropy_graph import Edge
 from vecloom.operators.partition import set_entropies
 
-LOCAL_CELLS = 50_000_000
+#: numbers that the driver holds at most (80 MB); more different codes stay distributed
+LOCAL_CELLS = 20_000_000
+#: sets of dimensions that one Spark job evaluates
+SETS = 1024
 Dims = tuple[int, ...]
 
 
@@ -35,15 +39,21 @@ class Evaluator:
     known: dict[Dims, tuple[float, int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.coded = self.coded.select("codes").persist()
-        size = self.coded.agg(F.count(F.lit(1)), F.max(F.size("codes"))).first()
-        self.n, self.d = size[0], size[1] or 0
+        # equal codes are one row; what depends on them needs only their number
+        self.coded = self.coded.groupBy("codes").agg(F.count(F.lit(1)).alias("n")).persist()
+        size = self.coded.agg(F.sum("n"), F.max(F.size("codes")), F.count(F.lit(1))).first()
+        self.n, self.d = size[0] or 0, size[1] or 0
         if not self.n or not self.d:
+            self.close()
             raise ValueError("there are no vectors")
         if self.local is None:
-            self.local = self.n * self.d <= LOCAL_CELLS
-        # no more than LOCAL_CELLS numbers
-        self.matrix = np.array([r.codes for r in self.coded.collect()], np.int32) if self.local else None
+            self.local = size[2] * self.d <= LOCAL_CELLS
+        self.matrix = None
+        if self.local:
+            t = self.coded.toArrow()  # no more than LOCAL_CELLS numbers
+            self.matrix = t["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.d)
+            self.weight = t["n"].to_numpy().astype(np.float64)
+            self.close()
 
     def close(self) -> None:
         self.coded.unpersist()
@@ -54,14 +64,16 @@ class Evaluator:
             return
         if self.matrix is not None:
             for s in new:
-                key = np.zeros(self.n, np.int64)
+                key = np.zeros(len(self.matrix), np.int64)
                 for i in s:
                     _, key = np.unique(key * (int(self.matrix[:, i].max()) + 1) + self.matrix[:, i], return_inverse=True)
-                p = np.bincount(key) / self.n
+                p = np.bincount(key, self.weight) / self.n
                 self.known[s] = float(-(p * np.log2(p)).sum()) + 0.0, len(p)
         else:
-            for r in set_entropies(self.coded, new).collect():
-                self.known[new[r.set_id]] = r.h, r.blocks
+            for at in range(0, len(new), SETS):
+                some = new[at : at + SETS]
+                for r in set_entropies(self.coded, some).collect():  # a row per set
+                    self.known[some[r.set_id]] = r.h, r.blocks
 
     def entropy(self, dims: Sequence[int]) -> float:
         self.look([tuple(dims)])
@@ -73,10 +85,10 @@ class Evaluator:
 
     def clusters(self, dims: Sequence[int]) -> float:
         e = 2.0 ** self.entropy(dims)
-        if not self.correct or len(dims) == 1:
+        if not self.correct:
             return e
         self.look((i,) for i in dims)
-        product = float(np.prod([2.0 ** self.known[i,][0] for i in dims]))
+        product = math.prod(float(self.known[i,][1]) for i in dims)
         return corrected_of(min(e, product), product, self.n, self.true_n)
 
     def cost(self, dims: Sequence[int]) -> float:
@@ -90,8 +102,12 @@ def better(delta: float, scale: float) -> bool:
 Trace = list[tuple[int, str, int, float]]  # round, phase, step, cost
 
 
-def merge_all_pairs(ev: Evaluator) -> tuple[Decomposition, Trace]:
-    """Merges the pair of subspaces that saves most bits (ties to the smaller names) while one saves any."""
+def merge_all_pairs(ev: Evaluator, steps: list[list[Dims]] | None = None) -> tuple[Decomposition, Trace]:
+    """Merges the pair of subspaces that saves most bits (ties to the smaller names) while one saves any.
+
+    steps: takes up the subspaces before the first and after each merge.
+    """
+    steps = [] if steps is None else steps
     parts = {i: (i,) for i in range(ev.d)}
     found = Decomposition.singletons(ev.d)
     names = sorted(parts)
@@ -100,6 +116,7 @@ def merge_all_pairs(ev: Evaluator) -> tuple[Decomposition, Trace]:
     gain = {(i, j): ev.cost(parts[i] + parts[j]) - cost[i] - cost[j] for i in names for j in names if i < j}
     total = sum(cost.values())
     trace: Trace = [(0, "merge", 0, total)]
+    steps.append(list(parts.values()))
     while gain:
         (i, j), delta = min(gain.items(), key=lambda x: (x[1], x[0]))
         if not better(delta, cost[i] + cost[j]):
@@ -110,6 +127,7 @@ def merge_all_pairs(ev: Evaluator) -> tuple[Decomposition, Trace]:
         del cost[j]
         total += delta
         trace.append((0, "merge", len(trace), total))
+        steps.append(list(parts.values()))
         gain = {p: v for p, v in gain.items() if j not in p}
         ev.look([parts[i] + parts[k] for k in parts if k != i])
         for k in parts:

@@ -1,11 +1,14 @@
 """Registered queries of the engine, each with its SQL where SQL can express it.
 
-Queries that shouldn't depend on the k-means kernel use quartiles of each dimension as clusters.
+Queries that shouldn't depend on the k-means kernel cut each dimension into blocks of unequal sizes,
+four in even and three in odd dimensions, so that 2**entropy differs from the number of blocks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 _LONG = "l AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, unnest(embedding) AS x FROM embeddings)"
-_QUART = f"{_LONG}, q AS (SELECT vec_id, dim, x, CAST(ntile(4) OVER (PARTITION BY dim ORDER BY x, vec_id) - 1 AS INTEGER) AS b FROM l), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)"
-_PAIRS = f"{_QUART}, ps AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y, count(*) AS c FROM q a JOIN q c ON a.vec_id = c.vec_id AND a.dim < c.dim GROUP BY ALL), h2 AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM ps, n GROUP BY i, j), h1 AS (SELECT dim, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM (SELECT dim, b, count(*) AS c FROM q GROUP BY ALL), n GROUP BY dim)"
+#: of twenty equal parts of a dimension, the last of each block but the last
+CUTS = ((9, 14, 18), (12, 17))
+
+
+def _cut_sql(t: str, cuts: tuple[int, ...]) -> str:
+    return " + ".join(f"CAST({t} > {c} AS INTEGER)" for c in cuts)
+
+
+_CUT = f"{_LONG}, tw AS (SELECT vec_id, dim, x, ntile(20) OVER (PARTITION BY dim ORDER BY x, vec_id) AS t FROM l), q AS (SELECT vec_id, dim, x, CASE dim % 2 WHEN 0 THEN {_cut_sql('t', CUTS[0])} ELSE {_cut_sql('t', CUTS[1])} END AS b FROM tw), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)"
+_PAIRS = f"{_CUT}, ps AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y, count(*) AS c FROM q a JOIN q c ON a.vec_id = c.vec_id AND a.dim < c.dim GROUP BY ALL), h2 AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM ps, n GROUP BY i, j), h1 AS (SELECT dim, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM (SELECT dim, b, count(*) AS c FROM q GROUP BY ALL), n GROUP BY dim)"
 _BITS = f"({TRUE_N}.0 * log2({{k}}) + {{k}} * {{d}} * 32)"
 
 
@@ -45,6 +56,17 @@ def _curve_sql(most: int) -> str:
     return ", ".join(out) + f", curve AS ({rows})"
 
 
+def _three_sql() -> str:
+    """Where the second and third of three clusters begin: ``lo`` and ``hi`` values come before them."""
+    cost = "d.c + greatest(0.0, b.s2 - a.s2 - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.n - a.n))"
+    return (
+        f"{_curve_sql(3)}, c3 AS (SELECT b.dim, arg_min(a.m, {cost}) AS hi FROM z a JOIN d2 d ON d.dim = a.dim AND d.m = a.m JOIN z b ON b.dim = a.dim AND b.m > a.m JOIN last ON last.dim = b.dim AND last.m = b.m GROUP BY b.dim), "
+        f"c2 AS (SELECT b.dim, arg_min(a.m, {cost}) AS lo FROM z a JOIN d1 d ON d.dim = a.dim AND d.m = a.m JOIN c3 ON c3.dim = a.dim JOIN z b ON b.dim = a.dim AND b.m > a.m AND b.m = c3.hi GROUP BY b.dim), "
+        "o AS (SELECT dim, x, n, row_number() OVER (PARTITION BY dim ORDER BY x) AS m FROM v), "
+        "g AS (SELECT dim, x, n, CAST(m > lo AS INTEGER) + CAST(m > hi AS INTEGER) AS block_id FROM o JOIN c2 USING (dim) JOIN c3 USING (dim))"
+    )
+
+
 def query(sql: str | None = None):  # noqa: ANN201
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -59,10 +81,26 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-def quartiles(vectors: DataFrame) -> DataFrame:
-    """vec_id, codes with four equal clusters of each dimension."""
-    q = V.components(vectors).select("vec_id", "dim", (F.ntile(4).over(Window.partitionBy("dim").orderBy("x", "vec_id")) - 1).alias("b"))
-    return q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dim", "b"))).alias("c")).select("vec_id", F.col("c.b").alias("codes"))
+def _cut(t: Column, cuts: tuple[int, ...]) -> Column:
+    return sum(((t > c).cast("int") for c in cuts), F.lit(0))
+
+
+def uneven(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding, codes with unequal blocks of each dimension (CUTS)."""
+    t = F.ntile(20).over(Window.partitionBy("dim").orderBy("x", "vec_id"))
+    q = V.components(vectors).withColumn("t", t).select("vec_id", "dim", "x", F.when(F.col("dim") % 2 == 0, _cut(F.col("t"), CUTS[0])).otherwise(_cut(F.col("t"), CUTS[1])).alias("b"))
+    return q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dim", "b", "x"))).alias("c")).select("vec_id", F.col("c.x").alias("embedding"), F.col("c.b").alias("codes"))
+
+
+#: the first dimensions, each cut in both ways: two columns of codes that share much
+TWICE = 4
+
+
+def twice_cut(vectors: DataFrame) -> DataFrame:
+    t = F.ntile(20).over(Window.partitionBy("dim").orderBy("x", "vec_id"))
+    q = V.components(vectors).where(F.col("dim") < TWICE).withColumn("t", t)
+    q = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dim", _cut(F.col("t"), CUTS[0]).alias("a"), _cut(F.col("t"), CUTS[1]).alias("b")))).alias("c"))
+    return q.select("vec_id", F.flatten(F.transform("c", lambda x: F.array(x["a"], x["b"]))).alias("codes"))
 
 
 def paired(d: int) -> Decomposition:
@@ -71,7 +109,7 @@ def paired(d: int) -> Decomposition:
 
 def _setup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     v = V.read_parquet(spark, sf_dir)
-    return v, quartiles(v), v.select(F.max(F.size("embedding"))).first()[0] or 0
+    return v, uneven(v), v.select(F.max(F.size("embedding"))).first()[0] or 0
 
 
 @query("SELECT CAST(sum(len(embedding)) AS BIGINT) AS n_values, count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS d FROM embeddings")
@@ -79,6 +117,15 @@ def vec_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.shape(V.read_parquet(spark, sf_dir))
 
 
+@query("SELECT vec_id, embedding FROM embeddings")
+def vec_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV in the shared folder, and read again with numbered lines; vec_id is 0 to n - 1 here."""
+    V._checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/csv-{uuid.uuid4().hex}"
+    V.write_csv(V.read_parquet(spark, sf_dir), path)
+    return V.read_csv(spark, path)
+
+
 @query(f"WITH {_LONG} SELECT vec_id, dim, x FROM l")
 def vec_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.components(V.read_parquet(spark, sf_dir))
@@ -122,19 +169,26 @@ def kmeans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans1d.blocks(v, dict.fromkeys(range(d), 2)).select("dim", "block_id", "lo", "hi", "n", r6("mean").alias("mean"))
 
 
-@query()
+@query(f"{_three_sql()} SELECT l.vec_id, l.dim, g.block_id FROM l JOIN g ON g.dim = l.dim AND g.x = l.x")
 def kmeans_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _, d = _setup(spark, sf_dir)
-    return kmeans1d.assignments(pipelines.cluster(v, dict.fromkeys(range(d), 4)))
+    return kmeans1d.assignments(pipelines.cluster(v, dict.fromkeys(range(d), 3)))
 
 
-@query()
+@query(f"{_three_sql()}, k AS (SELECT dim, block_id, CAST(sum(n) AS DOUBLE) AS n FROM g GROUP BY ALL) SELECT dim, CAST(count(*) AS INTEGER) AS k, round(count(*) * sum(n * n) / pow(sum(n), 2), 9) AS imbalance FROM k GROUP BY dim")
 def kmeans_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _, d = _setup(spark, sf_dir)
-    return kmeans1d.quality(kmeans1d.blocks(v, dict.fromkeys(range(d), 4)))
+    return kmeans1d.quality(kmeans1d.blocks(v, dict.fromkeys(range(d), 3))).select("dim", "k", F.round("imbalance", 9).alias("imbalance"))
 
 
-@query()
+@query(f"{_three_sql()} SELECT dim, block_id, min(x) AS lo, max(x) AS hi, CAST(sum(n) AS BIGINT) AS n, round(sum(n * x::DOUBLE) / sum(n), 6) AS centroid FROM g GROUP BY ALL")
+def kmeans_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and centroids in ascending order of three clusters per dimension."""
+    v, _, d = _setup(spark, sf_dir)
+    return kmeans1d.blocks(v, dict.fromkeys(range(d), 3)).select("dim", "block_id", "lo", "hi", "n", r6("mean").alias("centroid"))
+
+
+@query(f"{_curve_sql(12)}, one AS (SELECT dim, sse / 100 AS penalty FROM curve WHERE k = 1) SELECT dim, CAST(arg_min(k, sse + k * penalty) AS INTEGER) AS k FROM curve JOIN one USING (dim) GROUP BY dim")
 def kmeans_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters per dimension if each costs a hundredth of the dimension's error."""
     import pyarrow as pa
@@ -163,32 +217,34 @@ def partition_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_graph.dim_entropies(coded).select("dim", r6("h").alias("h"), r6(F.pow(F.lit(2.0), "h")).alias("exp_h"))
 
 
-@query(f"WITH {_QUART}, s AS (SELECT a.b AS x, c.b AS y, e.b AS z, count(*) AS c FROM q a JOIN q c USING (vec_id) JOIN q e USING (vec_id) WHERE a.dim = 0 AND c.dim = 1 AND e.dim = 2 GROUP BY ALL) SELECT round(-sum(c / n * log2(c / n)), 6) AS h, round(pow(2, -sum(c / n * log2(c / n))), 6) AS exp_h, count(*) AS blocks FROM s, n")
+@query(f"WITH {_CUT}, s AS (SELECT a.dim AS i, a.b AS x, c.b AS y, e.b AS z, count(*) AS c FROM q a JOIN q c ON a.vec_id = c.vec_id AND c.dim = a.dim + 1 JOIN q e ON a.vec_id = e.vec_id AND e.dim = a.dim + 2 GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, round(-sum(c / n * log2(c / n)), 6) AS h, round(pow(2, -sum(c / n * log2(c / n))), 6) AS exp_h, count(*) AS blocks FROM s, n GROUP BY i")
 def joint_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, coded, _ = _setup(spark, sf_dir)
-    return partition.block_entropy(partition.joint_blocks(coded, [0, 1, 2])).select(r6("h").alias("h"), r6("exp_h").alias("exp_h"), "blocks")
+    """Of every three dimensions that follow each other."""
+    _, coded, d = _setup(spark, sf_dir)
+    found = partition.set_entropies(coded, [(i, i + 1, i + 2) for i in range(d - 2)])
+    return found.select(F.col("set_id").alias("i"), r6("h").alias("h"), r6(F.pow(F.lit(2.0), "h")).alias("exp_h"), "blocks")
 
 
-@query("SELECT true AS same, false AS different")
+@query(f"WITH {_CUT}, p AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y FROM q a JOIN q c ON a.vec_id = c.vec_id AND a.dim IN (0, 31) AND c.dim IN (a.dim, a.dim + 1, a.dim + 2) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS is_equal FROM p GROUP BY i, j")
 def partition_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A partition equals itself under other labels, and differs from the next dimension's."""
+    """A dimension's partition under other labels against itself, the next dimension, and the one after it, with blocks of the same sizes."""
     _, coded, _ = _setup(spark, sf_dir)
     of = lambda i: coded.select("vec_id", F.element_at("codes", i + 1).alias("block_id"))
-    same = partition.equal(of(0), of(0).withColumn("block_id", 9 - F.col("block_id"))).select(F.col("is_equal").alias("same"))
-    return same.crossJoin(partition.equal(of(0), of(1)).select(F.col("is_equal").alias("different")))
+    rows = [partition.equal(of(i).withColumn("block_id", 9 - F.col("block_id")), of(j)).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "is_equal") for i in (0, 31) for j in (i, i + 1, i + 2)]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@query(f"WITH {_QUART} SELECT a.b AS x, c.b AS y, count(*) AS n FROM q a JOIN q c USING (vec_id) WHERE a.dim = 0 AND c.dim = 1 GROUP BY ALL")
+@query(f"WITH {_CUT} SELECT CAST(a.dim AS INTEGER) AS i, a.b AS x, c.b AS y, count(*) AS n FROM q a JOIN q c ON a.vec_id = c.vec_id AND c.dim = a.dim + 1 WHERE a.dim IN (0, 31, 62) GROUP BY ALL")
 def joint_pair_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, coded, _ = _setup(spark, sf_dir)
     of = lambda i: coded.select("vec_id", F.element_at("codes", i + 1).alias("block_id"))
-    return partition.joint(of(0), of(1)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, [partition.joint(of(i), of(i + 1)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "x", "y", "n") for i in (0, 31, 62)])
 
 
-@query(f"WITH {_QUART}, s AS (SELECT a.b AS x, c.b AS y, e.b AS z, count(*) AS n FROM q a JOIN q c USING (vec_id) JOIN q e USING (vec_id) WHERE a.dim = 0 AND c.dim = 1 AND e.dim = 2 GROUP BY ALL) SELECT x || '-' || y || '-' || z AS key, n FROM s")
+@query(f"WITH {_CUT}, s AS (SELECT a.b AS x, c.b AS y, e.b AS z, count(*) AS n FROM q a JOIN q c USING (vec_id) JOIN q e USING (vec_id) WHERE a.dim = 5 AND c.dim = 30 AND e.dim = 63 GROUP BY ALL) SELECT x || '-' || y || '-' || z AS key, n FROM s")
 def joint_subset_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, coded, _ = _setup(spark, sf_dir)
-    return partition.joint_blocks(coded, [0, 1, 2]).select(F.concat_ws("-", F.transform("key", lambda x: x.cast("string"))).alias("key"), "n")
+    return partition.joint_blocks(coded, [5, 30, 63]).select(F.concat_ws("-", F.transform("key", lambda x: x.cast("string"))).alias("key"), "n")
 
 
 @query(f"WITH {_PAIRS} SELECT i, j, round(2 * h2.h - a.h - c.h, 6) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j")
@@ -201,7 +257,9 @@ def _edges(spark: SparkSession, around: list[list[int]]) -> DataFrame:
     return spark.createDataFrame(entropy_graph.edge_list(around), "i int, j int")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PAIRS}, e AS (SELECT i, j, round(2 * h2.h - a.h - c.h, 12) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j), t AS (SELECT [0] AS seen, -1 AS i, -1 AS j UNION ALL SELECT * FROM (SELECT list_append(seen, CASE WHEN list_contains(seen, e.i) THEN e.j ELSE e.i END) AS seen, e.i, e.j FROM t, e WHERE list_contains(seen, e.i) <> list_contains(seen, e.j) QUALIFY row_number() OVER (ORDER BY w, e.i, e.j) = 1)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM t WHERE i >= 0"
+)
 def vi_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, coded, d = _setup(spark, sf_dir)
     return _edges(spark, entropy_graph.dimension_tree(coded, d, None))
@@ -226,14 +284,70 @@ def _pair_entropies(coded: DataFrame, d: int) -> DataFrame:
     return partition.set_entropies(coded, pairs).join(names, "set_id").select("i", "j", "h", "blocks")
 
 
-@query(f"WITH {_PAIRS} SELECT i, j, round(pow(pow(2, h2.h), ln(n) / ln({TRUE_N}.0)) * pow(pow(2, a.h) * pow(2, c.h), 1 - ln(n) / ln({TRUE_N}.0)), 6) AS clusters FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j, n")
-def corrected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+_R = f"(ln(n) / ln({TRUE_N}.0))"
+_CORRECTED = f"cc AS (SELECT i, j, pow(pow(2, h2.h), {_R}) * pow(CAST(a.k * c.k AS DOUBLE), 1 - {_R}) AS clusters, h2.k AS blocks FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j, n UNION ALL SELECT dim, dim, pow(pow(2, h), {_R}) * pow(CAST(k AS DOUBLE), 1 - {_R}), k FROM h1, n)"
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, j, clusters, blocks of every pair of dimensions, and of each alone (i = j)."""
     _, coded, d = _setup(spark, sf_dir)
     n = coded.count()
-    h = entropy_graph.dim_entropies(coded)
-    both = _pair_entropies(coded, d).join(h.select(F.col("dim").alias("i"), F.col("h").alias("a")), "i").join(h.select(F.col("dim").alias("j"), F.col("h").alias("b")), "j")
+    alone = partition.set_entropies(coded, [(i,) for i in range(d)]).select(F.col("set_id").alias("dim"), "h", "blocks")
+    k = lambda of, name: alone.select(F.col("dim").alias(of), F.col("blocks").cast("double").alias(name))
     two = lambda c: F.pow(F.lit(2.0), c)
-    return both.select("i", "j", r6(cost.corrected(two("h"), two("a") * two("b"), n, TRUE_N)).alias("clusters"))
+    both = _pair_entropies(coded, d).join(k("i", "a"), "i").join(k("j", "b"), "j")
+    both = both.select("i", "j", cost.corrected(two("h"), F.col("a") * F.col("b"), n, TRUE_N).alias("clusters"), "blocks")
+    return both.unionByName(alone.select(F.col("dim").alias("i"), F.col("dim").alias("j"), cost.corrected(two("h"), F.col("blocks").cast("double"), n, TRUE_N).alias("clusters"), "blocks"))
+
+
+@query(f"WITH {_PAIRS}, {_CORRECTED} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(clusters, 6) AS clusters FROM cc")
+def corrected_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrected(spark, sf_dir).select("i", "j", r6("clusters").alias("clusters"))
+
+
+@query(f"WITH {_PAIRS}, {_CORRECTED} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(least(pow(2, ceil(log2(clusters) - 1e-9)), blocks) AS BIGINT) AS num_codewords FROM cc")
+def corrected_codewords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corrected(spark, sf_dir).select("i", "j", cost.codewords(F.log2("clusters"), F.col("blocks")).alias("num_codewords"))
+
+
+def _merge_sql(correct: bool) -> str:
+    """Greedy merging of the twice-cut columns: costs of all their sets, then a step at a time."""
+    d = 2 * TWICE
+    codes = ", ".join(f"max(CASE WHEN dim = {i} THEN {_cut_sql('t', c)} END)" for i in range(TWICE) for c in CUTS)
+    k = f"pow(pow(2, s.h), {_R}) * pow(p.product, 1 - {_R})" if correct else "pow(2, s.h)"
+    bits = f"{TRUE_N}.0 * log2({k}) + {k} * bit_count(s.mask) * 32"
+    return (
+        f"WITH RECURSIVE {_CUT}, v AS (SELECT [{codes}] AS codes FROM tw WHERE dim < {TWICE} GROUP BY vec_id), "
+        f"c AS (SELECT mask, list_transform(range(0, {d}), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN codes[i + 1] ELSE -1 END) AS key, count(*) AS c FROM v, range(1, {2**d}) m(mask) GROUP BY ALL), "
+        "s AS (SELECT mask, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM c, n GROUP BY mask), "
+        f"p AS (SELECT s.mask, exp(sum(ln(o.k))) AS product FROM s JOIN s o ON bit_count(o.mask) = 1 AND s.mask & o.mask > 0 GROUP BY s.mask), "
+        f"e AS (SELECT s.mask, {bits} AS bits FROM s JOIN p USING (mask), n), "
+        f"r AS (SELECT 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS parts UNION ALL "
+        "SELECT * FROM (SELECT r.step + 1 AS step, list_append(list_filter(r.parts, lambda x: x <> a.mask AND x <> b.mask), a.mask | b.mask) AS parts "
+        "FROM r, e a, e b, e ab WHERE list_contains(r.parts, a.mask) AND list_contains(r.parts, b.mask) AND (a.mask & -a.mask) < (b.mask & -b.mask) AND ab.mask = a.mask | b.mask "
+        "AND ab.bits - a.bits - b.bits < -1e-9 * (a.bits + b.bits) QUALIFY row_number() OVER (ORDER BY ab.bits - a.bits - b.bits, a.mask & -a.mask, b.mask & -b.mask) = 1)) "
+        "SELECT CAST(step AS INTEGER) AS step, round(sum(e.bits), 3) AS cost, list_aggregate(list_sort(list_transform(list_distinct(list(e.mask)), lambda x: lpad(CAST(x AS VARCHAR), 3, '0'))), 'string_agg', ' ') AS parts "
+        "FROM r, e WHERE list_contains(r.parts, e.mask) GROUP BY step"
+    )
+
+
+def _merged(spark: SparkSession, sf_dir: str, correct: bool) -> DataFrame:
+    """step, cost, parts (each a number with a bit for every column) of a search over the twice-cut columns."""
+    ev = search.Evaluator(twice_cut(V.read_parquet(spark, sf_dir)), TRUE_N, correct)
+    steps: list[list[tuple[int, ...]]] = []
+    _, trace = search.merge_all_pairs(ev, steps)
+    rows = [(k, round(c, 3), " ".join(sorted(f"{sum(1 << i for i in s):03d}" for s in parts))) for (_, _, k, c), parts in zip(trace, steps, strict=True)]
+    return spark.createDataFrame(rows, "step int, cost double, parts string")
+
+
+@query(_merge_sql(False))
+def merge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, False)
+
+
+@query(_merge_sql(True))
+def merge_steps_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, True)
 
 
 _GAIN = f"g AS (SELECT i, j, {_BITS.format(k='pow(2, h2.h)', d=2)} - {_BITS.format(k='pow(2, a.h)', d=1)} - {_BITS.format(k='pow(2, c.h)', d=1)} AS delta FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j)"
@@ -306,8 +420,8 @@ def codebook_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paired_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, coded, d = _setup(spark, sf_dir)
-    return codebook.centroids(v, coded, codebook.counts(spark, search.Evaluator(coded, TRUE_N), paired(d)))
+    _, coded, d = _setup(spark, sf_dir)
+    return codebook.centroids(coded, codebook.counts(spark, search.Evaluator(coded, TRUE_N), paired(d)))
 
 
 @query(f"WITH {_PAIRS} SELECT subspace_id, line_no, line FROM (SELECT i AS subspace_id, 0 AS line_no, 'Subspace ' || i || ':' AS line FROM h2 WHERE i % 2 = 0 AND j = i + 1 UNION ALL SELECT i, 1, 'Dimensions: ' || i || ' ' || j FROM h2 WHERE i % 2 = 0 AND j = i + 1 UNION ALL SELECT i, 2, 'Number of codewords: ' || CAST(least(pow(2, ceil(h - 1e-9)), k) AS INTEGER) FROM h2 WHERE i % 2 = 0 AND j = i + 1)")
