@@ -12,6 +12,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -274,6 +275,7 @@ def bigrams(column: pa.Array, fold: bool) -> Iterator[tuple[np.ndarray, np.ndarr
 
 def batches(rows: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes, at least a row each; what the work on them leaves unused goes back to the system."""
+    map_large()
     for batch in rows:
         if batch.num_rows == 0:
             continue
@@ -283,6 +285,17 @@ def batches(rows: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[pa.
     trim()
 
 
+@cache
+def map_large(size: int = 1 << 20) -> None:
+    """Lets this process take memory for larger arrays from the system and give it back at once.
+
+    By default such blocks are soon kept in a heap, whose gaps add up to several times what is in use.
+    """
+    adjust = getattr(ctypes.CDLL(None), "mallopt", None)
+    if adjust is not None:  # glibc has it; -3 is M_MMAP_THRESHOLD
+        adjust(-3, size)
+
+
 def trim() -> None:
     """Gives memory that this process has freed back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

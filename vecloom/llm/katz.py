@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import END, START, batches, bigrams, mix, planes, small_batches, table, unplanes
+from vecloom.llm.common import END, START, batches, bigrams, map_large, mix, planes, small_batches, table, trim, unplanes
 
 HEAD = 1 << 20
 K = 5
-SHARDS, SHARD_BYTES = 64, 16 << 20
-FLUSH, SLICE = 4_000_000, 1 << 18
+SHARDS, SHARD_BYTES = 64, 8 << 20
+FLUSH, SLICE = 1 << 20, 1 << 18
 def discounts(of: dict[int, int]) -> list[float]:
     """d(1) to d(K) from how many n-grams have each count, by Katz's rule for counts up to k, the
     largest of K, K - 1, ... for which all lie between 0 and 1 (1 above k); if none, as in tiny
@@ -101,12 +101,17 @@ def _postings(shards: int, heavy: np.ndarray, head: np.ndarray, head_n: np.ndarr
     """Rows of one task's pairs for each shard, and of its texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: tuple[list, ...] = ([], [], [], [], [])
+        size = 0
+
+        def taken(own: list) -> np.ndarray:
+            out = np.concatenate(own)
+            own.clear()
+            return out
 
         def flush() -> Iterator[pa.RecordBatch]:
             # one array at a time, each freed as soon as it is replaced: a flush is the task's peak of memory
-            h, w, ids, sizes, learn = (np.concatenate([x[i] for x in held]) for i in range(5))
-            held.clear()
+            h, w, ids, sizes, learn = map(taken, held)
             base, many = ids[0], len(ids)
             if ids[-1] - base + 1 != many:
                 raise AssertionError("row numbers of a task must follow each other")
@@ -152,19 +157,20 @@ def _postings(shards: int, heavy: np.ndarray, head: np.ndarray, head_n: np.ndarr
             ids, learn = b.column("row").to_numpy().copy(), b.column("learn").to_numpy(zero_copy_only=False).astype(np.uint32)
             for h, w, count, opens, closes in bigrams(b.column("text"), fold=True):
                 whole = opens and closes
-                if held and not whole:  # parts of a long text are packed by themselves
+                if held[0] and not whole:  # parts of a long text are packed by themselves
                     yield from flush()
                     size = 0
                 texts = _text_rows(b, w, count, head, head_n)
                 where = pa.array((mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([where, *(pa.nulls(len(ids), f.type) for f in list(PACKED)[1:]), *texts], schema=WHOLE)
                 if len(w):
-                    held.append((h, w, ids, count, learn))
+                    for own, x in zip(held, (h, w, ids, count, learn), strict=True):
+                        own.append(x)
                 size += len(w)
-                if size > FLUSH or held and not whole:
+                if size > FLUSH or held[0] and not whole:
                     yield from flush()
                     size = 0
-        if held:
+        if held[0]:
             yield from flush()
 
     return run
@@ -188,24 +194,27 @@ def _answers(head: np.ndarray, head_p: np.ndarray, rarely: bool, heavy: np.ndarr
     """One shard: counts its pairs and answers for all texts that hold them."""
 
     def run(t: pa.Table) -> pa.Table:
-        texts = t.filter(t["row"].is_valid())
+        packed = np.flatnonzero(t["row"].is_null().to_numpy())
+        texts = t.select(TEXTS.names).filter(t["row"].is_valid())
         out = [_rows(TEXT, texts.num_rows, a=texts["row"], b=texts["doc_id"], n=texts["tokens"], known=texts["known"], held=texts["held_out"], seen=texts["others"], x=texts["logs"])]
-        parts = []
-        packed = t.filter(t["row"].is_null()).select(PACKED.names).sort_by("base")
-        for b in packed.to_batches(max_chunksize=1):
-            r = b.to_pylist()[0]
-            h = np.repeat(np.cumsum(unplanes(r["h"], 8), dtype=np.uint64), unplanes(r["hn"], 4).astype(np.int64))
-            parts.append((h, unplanes(r["w"], 8), *(unplanes(r[c], 4).astype(np.int32) for c in ("train", "m", "text", "n")), r["base"], r["rows"]))
-        del t, packed
-        if not parts:
+        if not len(packed):
             return pa.concat_tables(out)
-        h, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        packed = packed[np.argsort(t["base"].to_numpy()[packed], kind="stable")]
+        parts, hs, ws = [], [], []
+        for i in packed.tolist():  # rows are read one at a time, in place
+            r = {c: t[c][i].as_py() for c in PACKED.names}
+            hs.append(np.repeat(np.cumsum(unplanes(r["h"], 8), dtype=np.uint64), unplanes(r["hn"], 4).astype(np.int64)))
+            ws.append(unplanes(r["w"], 8))
+            parts.append((len(ws[-1]), None, *(unplanes(r[c], 4).astype(np.int32) for c in ("train", "m", "text", "n")), r["base"], r["rows"]))
+        h, w = np.concatenate(hs), np.concatenate(ws)
+        del hs, ws
         order = np.lexsort((w, h))
         hs, ws = h[order], w[order]
         new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])
         pair = np.empty(len(h), np.int64)
         pair[order] = np.cumsum(new) - 1
         hs, ws = hs[new], ws[new]
+        del h, w, order, new
         c = np.bincount(pair, np.concatenate([p[2] for p in parts]), len(hs)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
         history = np.repeat(np.arange(len(first)), np.diff(first, append=len(hs)))
@@ -223,8 +232,8 @@ def _answers(head: np.ndarray, head_p: np.ndarray, rarely: bool, heavy: np.ndarr
         maybe = (spare & spread)[history]
         start = 0
         for p in parts:
-            own = pair[start : start + len(p[0])]
-            start += len(own)
+            own = pair[start : start + p[0]]
+            start += p[0]
             each = np.repeat(own, p[3])  # the pair of each (text, n)
             got = c[each]
             sums = np.bincount(p[4], np.where(got > 0, value[each] * p[5], 0.0), p[7])
@@ -312,8 +321,11 @@ def score(docs: DataFrame, folds: int = 10, shards: int | None = None) -> DataFr
     send = spark.sparkContext.broadcast((head, head_n, head_p, heavy, heavy_n))
 
     def answer(t: pa.Table) -> pa.Table:
+        map_large()
         a, _, p, h, n = send.value
-        return _answers(a, p, least > 1, h, n)(t)
+        out = _answers(a, p, least > 1, h, n)(t)
+        trim()
+        return out
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, _, h, _ = send.value
