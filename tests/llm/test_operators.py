@@ -64,6 +64,51 @@ def test_url_graph_spreads_trust_and_blame(spark):
     assert judge(pages_df(spark, []), rules).count() == 0
 
 
+def linked_pages(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">y</a>' for u in urls)
+    rows = [
+        (1, "http://a.com/1", link("http://x.net/q", "//Y.org/fr/z", "/here//there")),
+        (2, "http://b.com/2", link("//x.net:80/", "https://y.org/fr/?q")),
+        (3, "http://c.com/3", link("//w.net")),
+        (4, "http://d.com/4", link("http://www.example.com/de/1", "http://www.example.com/de/2", "http://v.org/fr/#")),
+        (4, "http://d.com/4", link("http://www.example.com/de/1")),
+        (5, "http://y.org/other", link("http://e.com", "//v.org/fr/")),
+        (6, "http://e.com", None), (7, None, link("//z.net/")), (8, "http://x.net:80/en/", link("//a.com/#", "//c.com?")),
+    ]
+    return pages_df(spark, rows)
+
+
+def test_url_graph_agrees_with_its_sql_on_links(spark):
+    import duckdb
+
+    from vecloom.llm.queries import RULES, SQL
+    from vecloom.llm.url_graph import judge
+
+    pages = linked_pages(spark)
+    names = ["page_id", "host", "path", "rule", "verdict", "trust", "distrust"]
+    got = [tuple(r) for r in judge(pages, RULES).select(*names).collect()]
+    with duckdb.connect() as db:
+        db.register("pages", pages.select("page_id", "url", "html").toArrow())
+        want = db.sql(f"SELECT {', '.join(names)} FROM ({SQL['op1_url_graph']})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    by = {r[0]: r for r in got}
+    assert by[1][4] == "block" and by[1][6] > 0  # x.net has no page, but a rule blocks the target
+    assert by[6][6] == 0 and by[7][1:] == ("", "", None, "allow", 0, 0)
+
+
+def test_many_rules_decide_as_few_do(spark, monkeypatch):
+    from vecloom.llm import url_graph
+    from vecloom.llm.queries import RULES
+
+    rules = [*RULES, ("allow", "com", "/2"), ("block", "b.com", "/"), ("allow", "b.com", "/"), ("block", "com", "b"), ("block", "", "/")]
+    pages = linked_pages(spark)
+    rows = lambda: sorted(str(r) for r in url_graph.judge(pages, rules).collect())
+    few = rows()
+    monkeypatch.setattr(url_graph, "COMPILED", 0)
+    assert rows() == few
+
+
 # ------------------------------------------------------------------ 2, 4
 
 

@@ -90,10 +90,12 @@ def _url_sql(rounds: int = 16) -> str:
     out = [
         f"p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {low}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages)",
         f"j AS (SELECT page_id, host, path, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS verdict FROM p)",
-        f"e AS (SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {low}) AS dst FROM p)",
-        "f AS (SELECT src, dst, 0 AS kind FROM e WHERE src <> dst AND src <> '' AND dst <> ''), g AS (SELECT * FROM f UNION ALL SELECT dst, src, 1 FROM f)",
+        f"l AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS target FROM p), k AS (SELECT src, translate(regexp_extract(target, '^[^/?#]*', 0), {low}) AS host, regexp_extract(target, '^[^/?#]*([^?#]*)', 1) AS path FROM l)",
+        f"e AS (SELECT src, host AS dst, CAST(sign(sum(CASE {_rule_sql('verdict')} WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END)) AS INTEGER) AS vote FROM k WHERE src <> host AND src <> '' AND host <> '' GROUP BY src, host)",
+        "g AS (SELECT src, dst, 0 AS kind FROM e UNION ALL SELECT dst, src, 1 FROM e)",
         "w AS (SELECT *, count(*) OVER (PARTITION BY src, kind) AS degree FROM g)",
-        "lean AS (SELECT host, sum(CASE verdict WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END) AS l FROM j WHERE host <> '' GROUP BY host)",
+        "own AS (SELECT host, sum(CASE verdict WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END) AS l FROM j WHERE host <> '' GROUP BY host)",
+        "lean AS (SELECT host, coalesce(own.l, v.l) AS l FROM own FULL JOIN (SELECT dst AS host, sum(vote) AS l FROM e GROUP BY dst) v USING (host))",
         "s AS (SELECT host, CASE WHEN l > 0 THEN 0 ELSE 1 END AS kind FROM lean WHERE l <> 0)",
         f"m0 AS (SELECT host, kind, {TOTAL}::BIGINT // count(*) OVER (PARTITION BY kind) AS mass FROM s)",
         "st AS (SELECT host, kind, mass // 20 * 3 AS mass FROM m0)",
@@ -109,7 +111,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL: dict[str, str] = {
     "op1_url_graph": _url_sql(),
     "op4_exact_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(min(embedding), lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 10""",

@@ -17,7 +17,11 @@ from vecloom.llm.common import checkpoint, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOTAL = 1 << 60
-LINK = r"""(?i)\shref\s*=\s*["']?[a-z][a-z0-9+.\-]*://([^/?#"'<>\s]+)"""
+#: what follows ``//`` in links that name a host, with or without a scheme
+LINK = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^"'<>\s]+)"""
+#: rules up to which they are compiled into the plan; more are joined by host, with the same results
+COMPILED = 1000
+Rules = Sequence[tuple[str, str, str]]
 
 
 def host_of(url: Column) -> Column:
@@ -30,29 +34,50 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """Struct(rule, verdict) of the longest fitting rule, or null.
+def _ordered(rules: Rules) -> list[tuple[str, str, str]]:
+    """Longest first; of rules as long as each other, the one first in text order; one verdict for each."""
+    return list({(h, p): (verdict, h, p) for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r), reverse=True)}.values())[::-1]
 
-    rules: (verdict, host, path), a short list that is compiled into the plan (1000 at most).
-    Of fitting rules as long as each other, the one first in text order counts.
-    """
-    if len(rules) > 1000:
-        raise ValueError("at most 1000 rules are compiled into a plan")
+
+def best_rule(host: Column, path: Column, rules: Rules) -> Column:
+    """Struct(rule, verdict) of the longest fitting rule, or null, as one expression.  rules: (verdict, host, path)."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]), reverse=True):
+    for verdict, h, p in reversed(_ordered(rules)):
         fits = ((host == F.lit(h)) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) hosts of absolute links in ``html``; links within a host don't count."""
-    return (
-        pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("dst"))
-        .select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
-        .where("src <> dst and src <> '' and dst <> ''")
-        .distinct()
-    )
+def with_rule(urls: DataFrame, rules: Rules) -> DataFrame:
+    """urls(host, path, ...) with ``best``, the longest fitting rule.
+
+    Many rules are a table that meets each host and its parent domains by key; whether it is sent to
+    executors or shuffled follows from its size.  Each different host and path is looked up once.
+    """
+    if len(rules) <= COMPILED:
+        return urls.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    listed = urls.sparkSession.createDataFrame([(i, h, p, h + p, verdict) for i, (verdict, h, p) in enumerate(_ordered(rules))], "turn long, domain string, start string, rule string, verdict string")
+    parts = F.split("host", r"\.", -1)
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = urls.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("domain"))
+    fits = each.join(listed, "domain").where(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "turn").alias("best"))
+    return urls.join(best, ["host", "path"], "left")
+
+
+def host_edges(pages: DataFrame, rules: Rules = ()) -> DataFrame:
+    """(src, dst, vote): each pair of hosts that a link in ``html`` joins; links within a host don't count.
+
+    vote: 1 if of the links' targets the rules allow more than they block, -1 if they block more, else 0.
+    """
+    target = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"))
+    links = target.select("src", F.translate(F.regexp_extract("target", "^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("target", "^[^/?#]*([^?#]*)", 1).alias("path"))
+    ruled = with_rule(links.where("src <> host and src <> '' and host <> ''"), rules)
+    return ruled.groupBy("src", F.col("host").alias("dst")).agg(F.signum(F.sum(weight())).cast("int").alias("vote"))
+
+
+def weight() -> Column:
+    return F.when(F.col("best.verdict") == "allow", 1).when(F.col("best.verdict") == "block", -1).otherwise(0)
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 16, every: int = 4) -> DataFrame:
@@ -77,22 +102,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 16, every: int =
     return mass
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds: int = 16, ratio: int = 1) -> DataFrame:
+def judge(pages: DataFrame, rules: Rules, rounds: int = 16, ratio: int = 1) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
-    The verdict is the longest fitting rule's; without one the page's host is blocked if its
-    distrust exceeds ``ratio`` times its trust, else allowed.  Hosts that most rules on their pages
-    block are seeds of distrust, those that most allow are seeds of trust, ties are neither.
+    rules: (verdict, host, path).  The verdict is the longest fitting rule's; without one the page's
+    host is blocked if its distrust exceeds ``ratio`` times its trust, else allowed.  Hosts that most
+    rules on their pages block are seeds of distrust, those that most allow are seeds of trust, ties
+    are neither.  For a host without pages of its own, each host that links to it has one vote, by
+    the rules on the targets of its links.
 
     Null or malformed urls have an empty host and path, no rule, no edges and are allowed.  Null
     html has no links.  Repeated pages are judged each, and add to no edge twice.  An empty table
     gives an empty result.  Other columns are ignored.
     """
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.expr("html"))
-    named = seen.select("page_id", "host", "path", best_rule(F.col("host"), F.col("path"), rules).alias("best"))
-    edges = table(host_edges(seen), "edges")
-    weight = F.when(F.col("best.verdict") == "allow", 1).when(F.col("best.verdict") == "block", -1).otherwise(0)
-    lean = named.where("host <> ''").groupBy("host").agg(F.sum(weight).alias("lean"))
+    named = with_rule(seen.select("page_id", "host", "path"), rules)
+    edges = table(host_edges(seen, rules), "edges")
+    own = named.where("host <> ''").groupBy("host").agg(F.sum(weight()).alias("lean"))
+    linked = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("vote").alias("votes"))
+    lean = own.join(linked, "host", "full").select("host", F.coalesce("lean", "votes").alias("lean"))
     seeds = table(lean.where("lean <> 0").select("host", F.when(F.col("lean") > 0, 0).otherwise(1).alias("kind")), "seeds")
     mass = propagate(edges, seeds, rounds)
     scores = mass.groupBy("host").agg(
