@@ -368,14 +368,24 @@ def best_first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_candidates(spark, sf_dir).orderBy("delta", "i", "j").limit(1)
 
 
-@query()
+def _cut_costs_sql() -> str:
+    """The cost of each beginning ``p`` and each end ``s`` of the dimensions, as a subspace."""
+    h = "SELECT dim, -sum(c / n * log2(c / n)) AS h FROM (SELECT dim, {key}, count(*) AS c FROM runs GROUP BY ALL), n GROUP BY dim"
+    return (
+        "runs AS (SELECT dim, string_agg(b, ',') OVER (PARTITION BY vec_id ORDER BY dim) AS p, string_agg(b, ',') OVER (PARTITION BY vec_id ORDER BY dim DESC) AS s FROM q), w AS (SELECT max(dim) + 1 AS d FROM q), "
+        f"head AS (SELECT dim + 1 AS size, {_BITS.format(k='pow(2, h)', d='(dim + 1)')} AS bits FROM ({h.format(key='p')})), "
+        f"tail AS (SELECT dim AS start, {_BITS.format(k='pow(2, h)', d='(d - dim)')} AS bits FROM ({h.format(key='s')}), w)"
+    )
+
+
+@query(f"WITH {_CUT}, {_cut_costs_sql()} SELECT CAST(start AS INTEGER) AS cut_before, round(head.bits + tail.bits - whole.bits, 4) AS delta FROM tail JOIN head ON head.size = tail.start JOIN (SELECT bits FROM tail WHERE start = 0) whole ON true")
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of cost for cutting each edge of a path through the dimensions."""
     _, coded, d = _setup(spark, sf_dir)
     around = [[j for j in (i - 1, i + 1) if 0 <= j < d] for i in range(d)]
     ev = search.Evaluator(coded, TRUE_N)
     splitter = search.TreeSplitter(ev, Decomposition.whole(d), around)
-    return spark.createDataFrame([(min(b) if 0 in a else min(a), float(delta)) for delta, _, a, b in splitter.queue], "cut_before int, delta double")
+    return spark.createDataFrame([(min(b) if 0 in a else min(a), round(float(delta), 4)) for delta, _, a, b in splitter.queue], "cut_before int, delta double")
 
 
 @query()
