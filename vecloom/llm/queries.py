@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.llm.phrases import sql as phrases_sql
 from vecloom.llm.sale_enrichment import SQL as SALES
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -73,14 +74,21 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vecloom.llm.sale_enrichment import enrich
+    from vecloom.llm.phrases import sql as phrases_sql
+from vecloom.llm.sale_enrichment import enrich
 
     return enrich(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.phrases import mine
+
+    return mine(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op5_language_id, op6_near_dedup, op7_kneser_ney, op8_packing, op9_bpe, op10_katz, op11_sale_enrichment)
+    for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op5_language_id, op6_near_dedup, op7_kneser_ney, op8_packing, op9_bpe, op10_katz, op11_sale_enrichment, op13_collocations)
 }
 
 
@@ -133,4 +141,5 @@ SQL: dict[str, str] = {
         t AS (SELECT node, min(label) AS label FROM r GROUP BY node)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, label AS component_id, d.doc_id = label AS kept FROM documents d JOIN t ON t.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op11_sale_enrichment": SALES,
+    "op13_collocations": phrases_sql(),
 }
