@@ -12,9 +12,11 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,28 +26,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches, small_batches, table, utf8, word_spans
+from vecloom.llm.common import _SPACE, batches, mix, small_batches, table, utf8, word_spans
 
 SLOTS = 128
 CACHE = 1 << 19
 #: shares of the fitted repeats that are tried; what a share leaves is packed as a residual
 SHARES = (1.0, 0.75, 0.5, 0.25, 1 / 8, 1 / 16, 1 / 64, 1 / 256)
-#: what makes cutting at single spaces and line breaks unsafe: runs of white space, and any at the ends
-_ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
-_LINED = np.uint64(0xA0761D6478BD642F)
+#: wide spaces beside other white space or at the ends of a text: those texts aren't cut at white space
+_WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"[\t-\r ][{_WIDE}]|[{_WIDE}][\t-\r ]|\A[{_WIDE}]|[{_WIDE}]\z"
+#: longer texts are encoded in parts of about this many bytes
+PART = 1 << 22
+_TAIL = np.uint64(0xA0761D6478BD642F)
 
 
 class Tokens:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    That library splits text before a single space between other characters, and around a single
-    line break, so a text's ids are those of its words in turn, each with the space or line break
-    before it.  A batch's different words are found by 64-bit hashes and length; the library encodes
-    those that aren't known yet, some hundred at a time, and the rest is gathering.  Texts with other
-    white space or with special tokens go to the library as a whole.
+    Where white space follows something else, that library always splits, so a text's ids are those of
+    its units in turn: each word with the white space before it, however long, and what is left at the
+    end.  A batch's different units are found by 64-bit hashes and length; the library encodes those
+    that aren't known yet, some hundred at a time, and the rest is gathering.  Long texts come in parts
+    of whole units.  Special tokens are cut out first.  Texts with wide spaces beside other white space
+    are encoded by the library in parts of 64 KB.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end: int = 0) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         from tokenizers import Tokenizer
 
@@ -55,7 +61,10 @@ class Tokens:
         if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec["model"]["type"] != "BPE":
             raise ValueError("the file must be byte-level BPE that splits at spaces and changes no text")
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.end = end
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens must not take in what is around them")
         names = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(names.values()) + 1, np.int64)  # of each token: a letter stands for a byte
         for name, i in names.items():
@@ -65,41 +74,66 @@ class Tokens:
 
     def forget(self) -> None:
         self.keys, self.start, self.count, self.chars = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(1, np.uint32)  # ids of all known words; the first is the end's
+        self.pool = np.full(1, self.end, np.uint32)  # ids of all known units; the first is the end's
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _words(self, words: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, each with ``before`` before it, and how many each has."""
-        texts = [(before + before.join(words[at : at + 100])).decode() for at in range(0, len(words), 100)]
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, and how many each has."""
+        texts = [b"".join(units[at : at + 100]).decode() for at in range(0, len(units), 100)]
         ids = np.concatenate([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]).astype(np.uint32)
-        until = np.cumsum([len(w) + 1 for w in words])
+        until = np.cumsum([len(w) for w in units])
         return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), until, "right"), prepend=0)
 
-    def _learn(self, raw: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> None:
-        ids, count, order = [], [], []
-        for kind, before in ((True, b" "), (False, b"\n")):
-            own = np.flatnonzero(spaced == kind)
-            if len(own):
-                got = self._words([raw[i:j].tobytes() for i, j in zip(start[own], end[own], strict=True)], before)
-                ids.append(got[0]), count.append(got[1]), order.append(own)
-        count, order = np.concatenate(count), np.concatenate(order)
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bare: np.ndarray, tail: np.ndarray) -> None:
+        inner = np.flatnonzero(~tail)
+        ids, count, order = [], [], [inner, np.flatnonzero(tail)]
+        if len(inner):
+            got = self._units([(b"\n" if b else b"") + raw[i:j].tobytes() for i, j, b in zip(lo[inner], hi[inner], bare[inner], strict=True)])
+            ids.append(got[0]), count.append(got[1])
+        for k in order[1]:  # white space at the end of a text must not meet another unit's
+            ids.append(self._encode(raw[lo[k] : hi[k]].tobytes().decode()))
+            count.append([len(ids[-1])])
+        count, order = np.concatenate(count).astype(np.int64), np.concatenate(order)
         first = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, *ids])
-        every = [np.concatenate(x) for x in ((self.keys, keys[order]), (self.start, first), (self.count, count), (self.chars, (end - start)[order]))]
+        every = [np.concatenate(x) for x in ((self.keys, keys[order]), (self.start, first), (self.count, count), (self.chars, (hi - lo + bare)[order]))]
         turn = np.argsort(every[0], kind="stable")
         self.keys, self.start, self.count, self.chars = (x[turn] for x in every)
 
+    @staticmethod
+    def _gaps(raw: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of the white space that begins at each place."""
+        out = np.full(len(lo), 10, np.uint64)  # none counts as a line break
+        some = np.flatnonzero(size > 0)
+        out[some] = raw[lo[some]]
+        for j in range(1, 8):
+            some = some[size[some] > j]
+            out[some] |= raw[lo[some] + j].astype(np.uint64) << np.uint64(8 * j)
+        for k in some[size[some] > 8].tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(raw[lo[k] : lo[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+        return mix(out)
+
     def plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts without odd white space, an end (id 0) after each, and where each begins (rows + 1 values)."""
+        """Ids of texts, an end after each, and where each begins (rows + 1 values)."""
         raw, offsets = utf8(column)
-        h, start, end, at = word_spans(raw, offsets, fold=False)
-        spaced = np.zeros(len(h), bool)
-        spaced[1:] = raw[start[1:] - 1] == 0x20
-        opening = at[:-1][at[1:] > at[:-1]]  # a row's first word is as after a line break, without the break
-        spaced[opening] = False
-        key = h ^ np.where(spaced, np.uint64(0), _LINED) ^ (end - start).astype(np.uint64)
+        h, start, hi, at = word_spans(raw, offsets, fold=False)
+        lo = np.concatenate([[0], hi[:-1]]) if len(hi) else hi
+        some = at[1:] > at[:-1]
+        lo[at[:-1][some]] = offsets[:-1][some]
+        bare = start == lo
+        key = h ^ self._gaps(raw, lo, start - lo)
+        # what is left at the end of a row is a unit too
+        rest = offsets[:-1].copy()
+        rest[some] = hi[at[1:][some] - 1]
+        tail = rest < offsets[1:]
+        own = at[1:][tail]
+        key = np.insert(key, own, self._gaps(raw, rest[tail], (offsets[1:] - rest)[tail]) ^ _TAIL)
+        lo, hi, bare, tails = np.insert(lo, own, rest[tail]), np.insert(hi, own, offsets[1:][tail]), np.insert(bare, own, False), np.insert(np.zeros(len(h), bool), own, True)
+        at = at + np.concatenate([[0], np.cumsum(tail)])
+        size = hi - lo + bare
+        key ^= size.astype(np.uint64)
         kinds = pa.array(key).dictionary_encode()
         code, keys = kinds.indices.to_numpy(), kinds.dictionary.to_numpy()
         place = np.zeros(len(keys), np.int64)
@@ -109,18 +143,48 @@ class Tokens:
         known = self._find(keys)[1]
         new = place[~known]
         if len(new):
-            self._learn(raw, keys[~known], start[new], end[new], spaced[new])
+            self._learn(raw, keys[~known], lo[new], hi[new], bare[new], tails[new])
         found, known = self._find(keys)
-        if not known.all() or (self.chars[found] != (end - start)[place]).any():
-            raise AssertionError("two words of one hash")
+        if not known.all() or (self.chars[found] != size[place]).any():
+            raise AssertionError("two units of one hash")
         first, count = self.start[found][code], self.count[found][code]
-        first[opening] += self.line
-        count[opening] -= self.line
+        first[bare] += self.line
+        count[bare] -= self.line
         first, count = np.insert(first, at[1:], 0), np.insert(count, at[1:], 1)
         until = np.cumsum(count)
         ids = self.pool[np.arange(until[-1]) + np.repeat(first - until + count, count)] if len(until) else np.zeros(0, np.uint32)
         return ids, np.concatenate([[0], until])[at + np.arange(len(at))]
 
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one long text and its end, a part at a time; parts end before white space."""
+        out, at = [], 0
+        while at < len(raw):
+            stop = min(len(raw), at + PART)
+            while stop < len(raw):
+                edge = np.flatnonzero(_SPACE[raw[stop : stop + PART]] & ~_SPACE[raw[stop - 1 : stop + PART - 1]][: len(raw) - stop])
+                if len(edge):
+                    stop += int(edge[0])
+                    break
+                stop = min(len(raw), stop + PART)
+            out.append(self.plain(pa.array([raw[at:stop].tobytes().decode()], pa.large_string()))[0][:-1])
+            at = stop
+        return np.append(np.concatenate(out), np.uint32(self.end))
+
+    def _apart(self, text: str) -> np.ndarray:
+        """Ids of a text with special tokens or odd white space, and its end."""
+        out = []
+        for part in re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text) if self.special else [text]:
+            if part in self.special:
+                out.append(np.array([self.special[part]], np.uint32))
+            elif part:
+                at = 0
+                while at < len(part):
+                    edge = _EDGE.search(part, at + (1 << 16))
+                    stop = edge.start() if edge else len(part)
+                    out.append(self._encode(part[at:stop]))
+                    at = stop
+        return np.append(np.concatenate(out), np.uint32(self.end)) if out else np.array([self.end], np.uint32)
+
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -133,27 +197,32 @@ class Tokens:
 
         column = column.fill_null("")
         odd = pc.match_substring_regex(column, _ODD)
-        for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(column, s))
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, name))
         odd = odd.to_numpy(zero_copy_only=False)
-        ids, at = self.plain(column.filter(pa.array(~odd)))
+        long = pc.binary_length(column).to_numpy(zero_copy_only=False) > 2 * PART
+        ids, at = self.plain(column.filter(pa.array(~odd & ~long)))
         raw, k = memoryview(ids.astype("<u4").tobytes()), 0
-        for i, whole in enumerate(odd):
-            if whole:
-                yield memoryview(np.append(self._encode(column[i].as_py()), 0).astype("<u4").tobytes())
+        for i in range(len(column)):
+            if odd[i]:
+                yield memoryview(self._apart(column[i].as_py()).astype("<u4").tobytes())
+            elif long[i]:
+                yield memoryview(self._long(utf8(column.slice(i, 1))[0]).astype("<u4").tobytes())
             else:
                 yield raw[4 * at[k] : 4 * at[k + 1]]
                 k += 1
 
 
-_tokens: dict[str, Tokens] = {}
+#: where one of the library's spaces follows something else
+_EDGE = re.compile("(?<=[^SPACES])[SPACES]".replace("SPACES", "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"))
+_tokens: dict[tuple[str, int], Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
-    """One for each Python worker and file."""
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+def tokens(path: str, end: int = 0) -> Tokens:
+    """One for each Python worker, file and id of the end."""
+    if (path, end) not in _tokens:
+        _tokens[path, end] = Tokens(path, end)
+    return _tokens[path, end]
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:

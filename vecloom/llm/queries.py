@@ -80,6 +80,13 @@ from vecloom.llm.sale_enrichment import enrich
     return enrich(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
 
 
+def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecloom.llm.bpe import tokenizer_path
+    from vecloom.llm.tiered_packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecloom.llm.phrases import mine
 
@@ -88,7 +95,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op5_language_id, op6_near_dedup, op7_kneser_ney, op8_packing, op9_bpe, op10_katz, op11_sale_enrichment, op13_collocations)
+    for f in (op1_url_graph, op2_nn_descent, op3_ring_sharding, op4_exact_topk, op5_language_id, op6_near_dedup, op7_kneser_ney, op8_packing, op9_bpe, op10_katz, op11_sale_enrichment, op12_tiered_packing, op13_collocations)
 }
 
 
