@@ -218,15 +218,18 @@ def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred",
     """Adds lang_pred, score and ambiguous, under ``names``, to all columns of docs; only ``text`` is looked at.
 
     A null text, a text without a letter, or a model without languages gives ``und`` and score 0.
-    Columns of docs with these names are replaced.  Rows are judged each, repeated or not; an empty
+    Columns of docs with these names are replaced; others may have any names.  Texts are read a segment
+    at a time, so their length doesn't matter.  Rows are judged each, repeated or not; an empty
     table gives an empty result.
     """
     own = {x.lower() for x in names}
     docs = docs.select(*[c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name.lower() not in own or name.lower() == "text"])
-    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(False).alias(names[2])).schema
-    (letters,) = free_names(docs, "letters")
-    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letters)
-    text = docs.columns.index(next(c for c in docs.columns if c.lower() == "text"))
+    text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    final = [*docs.columns, *names]
+    # Python looks columns up by name, so they go there under names without dots and the like
+    docs = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = docs.select("*", F.lit("").alias("found"), F.lit(0.0).alias("sure"), F.lit(False).alias("close")).schema
+    has = F.coalesce(F.col(f"c{text}").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +244,7 @@ def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred",
             extra = [pa.array(np.where(known, found, UNKNOWN).tolist(), pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(close & known)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], schema.names)
 
-    return docs.select("*", has).mapInArrow(run, schema)
+    return docs.select("*", has).mapInArrow(run, schema).toDF(*final)
 
 
 def remainder(n: int) -> Column:
