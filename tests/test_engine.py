@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecloom.functions.cost import codewords_of, corrected_of
-from vecloom.operators import codebook, entropy_graph, kmeans1d, partition, search
+from vecloom.operators import codebook, contingency, entropy_graph, kmeans1d, partition, ranges, search
 from vecloom.operators.decomposition import Decomposition
 from vecloom.params import Params
 from vecloom.plans import pipelines
@@ -74,6 +74,90 @@ def test_penalised_trades_clusters_for_error():
         assert len(kmeans1d.penalised(v, n, penalty)) == int(curve.argmin()) + 1
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=25), st.sampled_from([0.0, 0.5, 3.0, 20.0, 200.0]))
+def test_penalised_agrees_with_every_start(x, penalty):
+    v, n = np.unique(np.array(x, np.float32), return_counts=True)
+    cost, m = kmeans1d.Intervals(v, n), len(v)
+    best, back = [0.0], [0]
+    for j in range(1, m + 1):
+        got = [best[i] + float(cost(np.array([i]), np.array([j - 1]))[0]) + penalty for i in range(j)]
+        best.append(min(got)), back.append(got.index(min(got)))
+    start = kmeans1d.penalised(v, n, penalty)
+    total = float(cost(start, np.append(start[1:], m) - 1).sum()) + penalty * len(start)
+    assert start[0] == 0 and total == pytest.approx(best[m], abs=1e-6)
+
+
+def test_penalised_of_a_million_values():
+    x = np.sort(np.random.default_rng(2).normal(size=1_000_000)).astype(np.float32)
+    v, n = np.unique(x, return_counts=True)
+    start = kmeans1d.penalised(v, n, 300.0)
+    by_count = kmeans1d.curve(v, n, len(start) + 1) + 300.0 * np.arange(1, len(start) + 2)
+    assert int(by_count.argmin()) + 1 == len(start)
+
+
+def test_bins_keep_their_promise(spark):
+    """Ten dimensions of values and repeated values in bins: errors lie between the best and the stated bound."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(4000, 8)), rng.integers(0, 5, (4000, 1)), np.zeros((4000, 1))], 1).astype(np.float32)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>").cache()
+    best = {(r.dim, r.k): r.sse for r in kmeans1d.curve_of(kmeans1d.points(v), 6).collect()}
+    gaps = []
+    for bins in (16, 256):
+        rough_, seen = kmeans1d.curve_of(kmeans1d.points(v, exact=100, bins=bins), 6).collect(), set()
+        for r in rough_:
+            seen.add((r.dim, r.k))
+            assert r.least - 1e-6 <= best[r.dim, r.k] <= r.sse + 1e-6
+            if r.dim >= 8:  # a bin for each value: nothing is lost
+                assert r.sse == r.least == pytest.approx(best[r.dim, r.k], abs=1e-9)
+        assert seen == set(best)
+        gaps.append(sum(r.sse - r.least for r in rough_))
+    assert 0 < gaps[1] < gaps[0] / 8  # the bound falls with the bins' width
+    found = kmeans1d.blocks_of(kmeans1d.points(v, exact=100, bins=256), dict.fromkeys(range(10), 3))
+    coded = kmeans1d.codes(v, found).collect()
+    want = {(r.dim, r.block_id): r.n for r in found.collect()}
+    got = {}
+    for r in coded:
+        for dim, c in enumerate(r.codes):
+            got[dim, c] = got.get((dim, c), 0) + 1
+    assert got == want and len(coded) == 4000
+
+
+def test_codes_of_many_clusters(spark):
+    """A thousand dimensions of a thousand clusters are planned and assigned."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1000, (50, 1000)).astype(np.float32)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    grid = spark.range(1000).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("block_id"), F.col("id").cast("int").alias("dim"))
+    found = grid.select("dim", "block_id", (F.col("block_id") - 0.5).cast("float").alias("lo"))
+    got = {r.vec_id: r.codes for r in kmeans1d.codes(v, found).collect()}
+    assert all(got[i] == x[i].astype(int).tolist() for i in range(50))
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(g), int(o), k, int(v)) for k, (g, o, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), rng.integers(0, 9, 500), strict=True))]
+    df = spark.createDataFrame(rows, "g int, o int, k int, v long").repartition(7)
+    for by in (None, "g"):
+        got = {r.k: r.before for r in ranges.running(df, [F.desc("o"), F.col("k").asc()], F.col("v"), "before", by).collect()}
+        total = {}
+        for g, o, k, v in sorted(rows, key=lambda r: (-r[1], r[2])):
+            assert got[k] == total.get(g if by else 0, 0)
+            total[g if by else 0] = got[k] + v
+
+
+def test_largest_blocks_of_equal_sizes(spark):
+    """More blocks of one size than codewords, and subspaces with fewer blocks than codewords."""
+    words = [(s, [s], 5, [k], size) for s, sizes in enumerate([[1] * 50, [9, 1, 1, 1, 1, 1, 1, 1], [4, 3]]) for k, size in enumerate(sizes)]
+    df = spark.createDataFrame(words, "subspace_id int, dims array<int>, num_codewords int, key array<int>, block_size long").repartition(5)
+    got = {(r.subspace_id, r.code_id): (r.key[0], r.block_size) for r in codebook.ranks(df).where("code_id < num_codewords").collect()}
+    want = {}
+    for s in range(3):
+        for c, (size, k) in enumerate(sorted((-w[4], w[3][0]) for w in words if w[0] == s)[:5]):
+            want[s, c] = (k, -size)
+    assert got == want
+
+
 def heap_allocation(curves, budget, true_n):
     import heapq
 
@@ -144,19 +228,92 @@ def test_degree_cap(cap, edges):
     assert " ".join(f"{i}-{j}" for i, j in got) == edges
 
 
-def test_local_and_distributed_search_agree(spark):
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 4, (200, 3))
-    codes = np.concatenate([base, base[:, :2] ^ (rng.random((200, 2)) < 0.1), rng.integers(0, 3, (200, 2))], 1)
-    coded = spark.createDataFrame([(i, c) for i, c in enumerate(codes.tolist())], "vec_id long, codes array<int>")
-    found = [search.merge_all_pairs(search.Evaluator(coded, 5000, local=local)) for local in (True, False)]
+class Counted(search.Evaluator):
+    """Evaluates sets by counting rows in NumPy."""
+
+    def look(self, plan):
+        if not hasattr(self, "matrix"):
+            self.matrix = np.array([r.codes for r in self.coded.collect() for _ in range(r.n)])
+        for r in plan:
+            if r.dims not in self.known:
+                _, n = np.unique(self.matrix[:, list(r.dims)], axis=0, return_counts=True)
+                self.known[r.dims] = round(float(-(n / n.sum() * np.log2(n / n.sum())).sum()), 12) + 0.0, len(n)
+
+
+def rough(seed, n=200):
+    """Codes of seven dimensions, some of which share much."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 4, (n, 3))
+    return np.concatenate([base, base[:, :2] ^ (rng.random((n, 2)) < 0.1), rng.integers(0, 3, (n, 2))], 1)
+
+
+def coded_df(spark, codes):
+    return spark.createDataFrame([(i, c) for i, c in enumerate(codes.tolist())], "vec_id long, codes array<int>")
+
+
+@pytest.mark.parametrize("lookahead", [0, 1 << 25])
+def test_search_agrees_with_counting(spark, monkeypatch, lookahead):
+    monkeypatch.setattr(search, "LOOKAHEAD", lookahead)
+    coded = coded_df(spark, rough(3))
+    found = [search.merge_all_pairs(kind(coded, 5000)) for kind in (Counted, search.Evaluator)]
     assert found[0][0] == found[1][0]
-    costs = [c for *_, c in found[0][1]]
-    assert all(b < a for a, b in itertools.pairwise(costs))
+    costs = [c for *_, c in found[1][1]]
+    assert all(b < a for a, b in itertools.pairwise(costs)) and costs == pytest.approx([c for *_, c in found[0][1]])
     around = entropy_graph.dimension_tree(coded, 7, None)
     edges = entropy_graph.edge_list(around)
-    trees = [search.search_tree(search.Evaluator(coded, 5000, local=local), around, edges)[0] for local in (True, False)]
-    assert trees[0] == trees[1] and len(edges) == 6
+    trees = [search.search_tree(kind(coded, 5000), around, edges) for kind in (Counted, search.Evaluator)]
+    assert trees[0][0] == trees[1][0] and len(edges) == 6
+    assert [x[:3] for x in trees[0][1]] == [x[:3] for x in trees[1][1]]
+
+
+def plain_merging(coded, true_n):
+    """The same search by trying all pairs at every step."""
+    ev = Counted(coded, true_n)
+    parts = [(i,) for i in range(ev.d)]
+    cost = lambda s: (ev.look([contingency.recipe(s)]), ev.cost(s))[1]
+    while True:
+        pairs = [(cost(contingency.union(a, b)) - cost(a) - cost(b), a[0], b[0], a, b) for a, b in itertools.combinations(sorted(parts), 2)]
+        delta, _, _, a, b = min(pairs, default=(0, 0, 0, (0,), (0,)))
+        if not pairs or not search.better(delta, cost(a) + cost(b)):
+            return sorted(parts)
+        parts = [p for p in parts if p not in (a, b)] + [contingency.union(a, b)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_heap_takes_what_trying_all_takes(spark, seed):
+    coded = coded_df(spark, rough(seed, 60))
+    found = search.merge_all_pairs(Counted(coded, 3000))[0]
+    assert [tuple(found.dims(s)) for s in found.subspaces()] == plain_merging(coded, 3000)
+
+
+@pytest.mark.parametrize("tree", [[(0, i) for i in range(1, 7)], [(i, i + 1) for i in range(6)], [(3, 0), (3, 1), (1, 2), (1, 6), (6, 5), (0, 4)]])
+def test_cuts_of_any_tree(spark, tree):
+    """Both sides of every edge, each an addition or a subtraction away."""
+    around = [[] for _ in range(7)]
+    for a, b in tree:
+        around[a].append(b), around[b].append(a)
+    coded = coded_df(spark, rough(9))
+    ev, plain = search.Evaluator(coded, 5000), Counted(coded, 5000)
+    splitter = search.TreeSplitter(ev, Decomposition.whole(7), around)
+    assert len(splitter.queue) == 6 and sum(len(r.plus) + len(r.minus) for r in splitter.plan(tuple(range(7)))) <= 4 * 7
+    for delta, _, own, a, b in splitter.queue:
+        assert sorted(a + b) == list(own) and any({x, y} & set(a) and {x, y} & set(b) for x, y in tree)
+        assert delta == pytest.approx(plain.cost(a) + plain.cost(b) - plain.cost(own))
+
+
+def test_contingency_of_sparse_and_weighted_codes(spark, monkeypatch):
+    """Many codes, several chunks, repeated rows: sizes of blocks are those of counting."""
+    monkeypatch.setattr(contingency, "CELLS", 90)
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, [40, 3, 200], (300, 3))
+    coded = coded_df(spark, codes).groupBy("codes").agg(F.count(F.lit(1)).alias("n"))
+    sets = [(0,), (0, 1), (0, 2), (0, 1, 2), (1, 2)]
+    got = {s: [] for s in sets}
+    for r in contingency.block_sizes(coded, [contingency.recipe(s) for s in sets]).collect():
+        got[sets[r.set_id]].append(r.n)
+    for s in sets:
+        assert sorted(got[s]) == sorted(np.unique(codes[:, list(s)], axis=0, return_counts=True)[1].tolist())
+    assert contingency.entropies(coded.where("n < 0"), [contingency.recipe((0,))], 1).count() == 0
 
 
 def test_decomposition_rules():
@@ -177,8 +334,8 @@ def test_correction_uses_numbers_of_blocks(spark):
     """Blocks of 6/2/2 and 8/2 of ten vectors, extrapolated to 100: each dimension alone, and both."""
     codes = [(a, b) for a, b in zip([0] * 6 + [1] * 2 + [2] * 2, [0] * 8 + [1] * 2, strict=True)]
     coded = spark.createDataFrame([(i, list(c)) for i, c in enumerate(codes)], "vec_id long, codes array<int>")
-    for local in (True, False):
-        ev = search.Evaluator(coded, 100, correct=True, local=local)
+    for kind in (Counted, search.Evaluator):
+        ev = kind(coded, 100, correct=True)
         h = [-sum(p * math.log2(p) for p in ps) for ps in ((0.6, 0.2, 0.2), (0.8, 0.2), (0.6, 0.2, 0.2))]
         for dims, e, product in (((0,), h[0], 3), ((1,), h[1], 2), ((0, 1), h[2], 6)):
             assert ev.clusters(dims) == pytest.approx(math.sqrt(2**e * product))

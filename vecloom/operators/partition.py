@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.cost import entropy
+from vecloom.operators import contingency
 
 
 def equal(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -43,11 +44,7 @@ def block_entropy(sizes: DataFrame) -> DataFrame:
 def set_entropies(coded: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
     """set_id, h, blocks of the joint partition of each set of dimensions, all in one job.
 
-    coded: codes, and n where a row stands for several vectors.  Rows per set are counted before the shuffle.
+    coded: codes, and n where a row stands for several vectors.
     """
     many = F.col("n") if "n" in coded.columns else F.lit(1)
-    n = coded.agg(F.sum(many)).first()[0] or 0
-    lists = coded.sparkSession.createDataFrame([(k, list(s)) for k, s in enumerate(sets)], "set_id int, dims array<int>")
-    each = coded.select("codes", many.alias("n")).crossJoin(F.broadcast(lists))  # the sets of one call
-    sizes = each.groupBy("set_id", F.transform("dims", lambda i: F.element_at("codes", i + 1)).alias("key")).agg(F.sum("n").alias("n"))
-    return sizes.groupBy("set_id").agg(entropy(F.col("n"), F.lit(float(n))).alias("h"), F.count(F.lit(1)).alias("blocks"))
+    return contingency.entropies(coded, [contingency.recipe(s) for s in sets], coded.agg(F.sum(many)).first()[0] or 0)

@@ -120,7 +120,7 @@ def vec_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, embedding FROM embeddings")
 def vec_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV in the shared folder, and read again with numbered lines; vec_id is 0 to n - 1 here."""
-    V._checkpoint_dir(spark)
+    V.checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/csv-{uuid.uuid4().hex}"
     V.write_csv(V.read_parquet(spark, sf_dir), path)
     return V.read_csv(spark, path)
@@ -191,15 +191,7 @@ def kmeans_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_curve_sql(12)}, one AS (SELECT dim, sse / 100 AS penalty FROM curve WHERE k = 1) SELECT dim, CAST(arg_min(k, sse + k * penalty) AS INTEGER) AS k FROM curve JOIN one USING (dim) GROUP BY dim")
 def kmeans_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters per dimension if each costs a hundredth of the dimension's error."""
-    import pyarrow as pa
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("x")
-        x, n = t["x"].to_numpy(), t["n"].to_numpy()
-        start = kmeans1d.penalised(x, n, float(kmeans1d.curve(x, n, 1)[0]) / 100)
-        return pa.table({"dim": pa.array([t["dim"][0].as_py()], pa.int32()), "k": pa.array([len(start)], pa.int32())})
-
-    return kmeans1d.values(V.read_parquet(spark, sf_dir)).groupBy("dim").applyInArrow(run, "dim int, k int")
+    return kmeans1d.penalised_counts(kmeans1d.points(V.read_parquet(spark, sf_dir)), 0.01)
 
 
 @query(
@@ -385,7 +377,7 @@ def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = [[j for j in (i - 1, i + 1) if 0 <= j < d] for i in range(d)]
     ev = search.Evaluator(coded, TRUE_N)
     splitter = search.TreeSplitter(ev, Decomposition.whole(d), around)
-    return spark.createDataFrame([(min(b) if 0 in a else min(a), round(float(delta), 4)) for delta, _, a, b in splitter.queue], "cut_before int, delta double")
+    return spark.createDataFrame([(min(b) if 0 in a else min(a), round(float(delta), 4)) for delta, _, _, a, b in splitter.queue], "cut_before int, delta double")
 
 
 @query()

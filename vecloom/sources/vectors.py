@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     an error when they are read.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
-    _checkpoint_dir(spark)
+    checkpoint_dir(spark)
     lines = lines.checkpoint()
     sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
     before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # a row per input split
@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(starts, ["file", "split"]).select((F.col("start") + F.col("row") - F.col("first")).alias("vec_id"), vector.alias("embedding"))
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> None:
     """The session's shared folder; a temporary one only in local mode where it is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
