@@ -1,17 +1,18 @@
 """Collocations: phrases of two and more words that occur together more often than their parts would.
 
-1. A sketch of all phrases: each phrase falls into one cell of a table of counts by its hash, so a
-   cell's count is an upper bound of its phrases' counts.  Tasks send the cells they met, Spark adds
-   them up by blocks, and what goes on is one bit a cell: whether the bound reaches the least count.
-   The table has 2**28 cells at most (32 MB of bits); a fuller one lets more candidates through, and
-   changes no result.
+1. A sketch of all phrases: each phrase falls into one cell of each of two tables of counts by its
+   hash, so the smaller of the cells' counts is an upper bound of its own.  Tasks send the cells they
+   met, Spark adds them up by blocks, and what goes on is one bit a cell: whether the bound reaches
+   the least count.  A table has 2**27 cells at most (16 MB of bits); fuller ones let more candidates
+   through, and change no result.
 2. Candidates are the distinct phrases whose cell, and those of the phrases in them, reach it, and
    their words.
-3. Candidates are dealt to shards of about SHARD by hash.  Each shard becomes an Aho-Corasick
-   automaton (pyahocorasick) over words written as three letters of three separate alphabets, so no
-   match can begin or end within a word; a delimiter stands for the ends of pieces and for words that
-   no candidate of the shard has.  Every shard's automaton scans all texts, counting overlapping
-   matches, and counts are added up.
+3. Candidates are dealt to shards of about SHARD by hash.  The phrases of a shard become an
+   Aho-Corasick automaton (pyahocorasick) over words written as three letters of three separate
+   alphabets, so no match can begin or end within a word; a delimiter stands wherever no phrase of the
+   shard can go on: at ends of pieces, at words that it doesn't have, and between words that don't
+   follow each other in any (a bitmap of pairs, for most).  Every shard's automaton scans all texts,
+   counting overlapping matches; single words are counted as they are looked up.  Counts are added up.
 4. Exact counts decide: least count, scores of all cuts in decimals, longer candidates that say the
    same, ranks.  Those are joins and windows on candidates.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import batches, mix, small_batches, table, trim, utf8, word_spans
 
-BITS = 28
+BITS = 27
+#: bits of the bitmap of pairs of words that follow each other in a shard's phrases
+PAIRS = 26
 #: phrases and words of an automaton, about 100 MB
 SHARD = 1 << 20
 #: phrases that a task gathers before it sends their cells or candidates on
@@ -42,8 +46,8 @@ _TABLE[65:91] += 32
 _TABLE[np.frombuffer(ENDS, np.uint8)] = 10
 _TABLE[9] = 32
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-#: letters of an alphabet, three of which make a word
-BASE = 160
+#: distinct candidates whose keys a task remembers
+SEEN = 1 << 22
 
 
 def lang_hash(lang: str) -> int:
@@ -113,8 +117,14 @@ def words_of(rows: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[Wo
             at = stop
 
 
-def _cells(key: np.ndarray, bits: int) -> np.ndarray:
-    return (key >> np.uint64(64 - bits)).astype(np.uint32)
+def _cells(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A cell in each table; those of the second are numbered after the first's."""
+    one = np.uint64((1 << bits) - 1)
+    return (key >> np.uint64(64 - bits)).astype(np.uint32), ((key & one) + one + np.uint64(1)).astype(np.uint32)
+
+
+def _reached(bit: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bit[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
 
 def sketch(docs: DataFrame, words: int, least: int, bits: int) -> np.ndarray:
@@ -128,15 +138,17 @@ def sketch(docs: DataFrame, words: int, least: int, bits: int) -> np.ndarray:
             block = cell >> BLOCK
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             edge = np.append(first, len(cell)).astype(np.int32)
-            pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edge * x.itemsize), pa.py_buffer(x)])
-            out = pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pack((cell & 0xFFFF).astype("<u2")), pack(n)], ["block", "cells", "n"])
+            step = np.diff(cell, prepend=0)  # from one cell to the next within a block; its upper byte is mostly 0
+            step[first] = cell[first] & 0xFFFF
+            pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edge), pa.py_buffer(x.astype(np.uint8))])
+            out = pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pack(step), pack(step >> 8), pack(n)], ["block", "low", "high", "n"])
             for k in range(0, len(first), 512):
                 yield out.slice(k, 512)
 
         held: list[np.ndarray] = []
         for w in words_of(rows):
-            held += [_cells(key[at], bits) for _, at, key in w.phrases(words)]
-            if sum(map(len, held)) > GATHER:
+            held += [c for _, at, key in w.phrases(words) for c in _cells(key[at], bits)]
+            if sum(map(len, held)) > 2 * GATHER:
                 yield from flush()
         if sum(map(len, held)):
             yield from flush()
@@ -145,13 +157,14 @@ def sketch(docs: DataFrame, words: int, least: int, bits: int) -> np.ndarray:
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BLOCK, np.int64)
         for b in parts:
-            for c, n in zip(b.column("cells"), b.column("n"), strict=True):
-                total[np.frombuffer(c.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), np.uint8)
+            for low, high, n in zip(b.column("low"), b.column("high"), b.column("n"), strict=True):
+                step = np.frombuffer(low.as_buffer(), np.uint8) | np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64) << 8
+                total[np.cumsum(step)] += np.frombuffer(n.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["block", "reached"])
 
-    found = docs.mapInArrow(run, "block int, cells binary, n binary").groupBy("block").applyInArrow(add, "block int, reached binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in found.toLocalIterator():  # 2**(bits - BLOCK) rows of 8 KB at most
+    found = docs.mapInArrow(run, "block int, low binary, high binary, n binary").groupBy("block").applyInArrow(add, "block int, reached binary")
+    out = np.zeros((2 << bits) // 8, np.uint8)
+    for r in found.toLocalIterator():  # 2**(bits + 1 - BLOCK) rows of 8 KB at most
         out[r.block << (BLOCK - 3) : (r.block + 1) << (BLOCK - 3)] = np.frombuffer(bytes(r.reached), np.uint8)
     return out
 
@@ -161,39 +174,31 @@ def candidates(docs: DataFrame, words: int, reached: np.ndarray, bits: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(reached)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = shared.value
-        seen, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            every = pa.concat_tables(seen).combine_chunks()
-            seen.clear()
-            _, first = np.unique(every["key"].to_numpy(), return_index=True)
-            return every.select(["lang", "k", "phrase"]).take(pa.array(first)).combine_chunks().to_batches()[0]
-
+        bit, seen = shared.value, np.zeros(0, np.uint64)
         for w in words_of(rows):
             good = np.ones(len(w.key), bool)
             firsts, ks, keys = [], [], []
             for k, at, key in w.phrases(words):
-                cell = _cells(key[at], bits)
-                hit = at[(bit[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0]
                 if k > 2:
-                    hit = hit[good[hit] & good[hit + 1]]
+                    at = at[good[at] & good[at + 1]]
+                one, two = _cells(key[at], bits)
+                hit = at[_reached(bit, one)]
+                hit = hit[_reached(bit, _cells(key[hit], bits)[1])]
                 good = np.zeros(len(w.key), bool)
                 good[hit] = True
-                _, one = np.unique(key[hit], return_index=True)
-                firsts.append(hit[one])
-                ks.append(np.full(len(one), k))
-                keys.append(key[hit[one]])
+                new, place = np.unique(key[hit], return_index=True)
+                if len(seen):
+                    fresh = seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)] != new
+                    new, place = new[fresh], place[fresh]
+                firsts.append(hit[place])
+                ks.append(np.full(len(place), k))
+                keys.append(new)
             first, k = np.concatenate(firsts), np.concatenate(ks)
-            if len(first):
-                langs = pa.DictionaryArray.from_arrays(pa.array(w.of[first].astype(np.int32)), pa.array(w.langs)).dictionary_decode()
-                seen.append(pa.table({"lang": langs, "k": pa.array(k, pa.int32()), "phrase": w.texts(first, k).cast(pa.string()), "key": np.concatenate(keys)}))
-                size += len(first)
-            if size > GATHER // 4:
-                yield flush()
-                size = 0
-        if seen:
-            yield flush()
+            seen = np.unique(np.concatenate([seen, *keys] if len(seen) < SEEN else keys))  # forgetting some only sends them again
+            for j in range(0, len(first), 1 << 16):
+                f, kk = first[j : j + (1 << 16)], k[j : j + (1 << 16)]
+                langs = pa.DictionaryArray.from_arrays(pa.array(w.of[f].astype(np.int32)), pa.array(w.langs)).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([langs, pa.array(kk, pa.int32()), w.texts(f, kk).cast(pa.string())], ["lang", "k", "phrase"])
         trim()
 
     return docs.mapInArrow(run, "lang string, k int, phrase string").distinct()
@@ -206,42 +211,69 @@ class Automaton:
         self.name, self.row = name, found["row"].to_numpy()
         w = Words(found["phrase"].combine_chunks(), found["lang"].combine_chunks())
         self.keys, number = np.unique(w.key, return_inverse=True)
-        if len(self.keys) >= BASE**3:
-            raise ValueError("a shard has too many words")
         self.number = (number + 1).astype(np.int32)
         self.at = np.concatenate([[0], np.cumsum(w.count)]).astype(np.int32)
+        #: letters of an alphabet, three of which make a word
+        self.base = int(np.ceil((len(self.keys) + 1) ** (1 / 3))) + 1
+        #: candidates of one word by its number, or -1
+        self.single = np.full(len(self.keys) + 1, -1, np.int32)
+        one = np.flatnonzero(w.count == 1)
+        self.single[self.number[self.at[one]]] = one
+
+    def letters(self, number: np.ndarray) -> np.ndarray:
+        out = np.empty((len(number), 3), np.uint16)
+        out[:, 0], out[:, 1], out[:, 2] = number // (self.base * self.base) + 1, number // self.base % self.base + 1 + self.base, number % self.base + 1 + 2 * self.base
+        return out
 
     @staticmethod
-    def letters(number: np.ndarray, after: np.ndarray | None = None) -> str:
-        """Three letters for each number; for 0 and after each word where a piece ends, the delimiter."""
-        out = np.zeros((len(number), 4), np.uint16)
-        out[:, 0], out[:, 1], out[:, 2] = number // (BASE * BASE) + 1, number // BASE % BASE + 1 + BASE, number % BASE + 1 + 2 * BASE
-        use = np.ones(out.shape, bool)
-        use[:, 3] = False if after is None else after
-        none = number == 0
-        out[none] = 0
-        use[none, 1:] = False
-        return out[use].astype("<u2").tobytes().decode("utf-16-le")
-
-    def compile(self):  # noqa: ANN201
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) >> np.uint64(64 - PAIRS)
+
+    def compile(self) -> Automaton:
         import ahocorasick
 
-        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text, at = self.letters(self.number), (3 * self.at).tolist()
-        for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-            found.add_word(text[a:b], i)
-        found.make_automaton()
-        return found
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text, long = self.letters(self.number).astype("<u2").tobytes().decode("utf-16-le"), np.flatnonzero(np.diff(self.at) > 1)
+        for i, a, b in zip(long.tolist(), (3 * self.at[long]).tolist(), (3 * self.at[long + 1]).tolist(), strict=True):
+            self.automaton.add_word(text[a:b], i)
+        self.automaton.make_automaton()
+        inner = np.ones(len(self.number), bool)
+        inner[self.at[1:] - 1] = False
+        inner = np.flatnonzero(inner)
+        self.pairs = np.zeros(1 << (PAIRS - 3), np.uint8)
+        cell = self._pair(self.number[inner], self.number[inner + 1])
+        np.bitwise_or.at(self.pairs, cell >> np.uint64(3), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+        return self
 
     def lookup(self, key: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at + 1, 0)
-
-
-_compiled: dict[str, object] = {}
-
-
-def compiled(shard: Automaton):  # noqa: ANN201
+        """The number of each word, 0 for those that the shard doesn't have."""
+        kinds = pa.array(key).dictionary_encode()
+        own = kinds.dictionary.to_numpy()
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, at + 1, 0)[kinds.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+
+    def matches(self, number: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """The candidate of each match of more than one word."""
+        near = np.flatnonzero(joined & (number[1:] > 0) & (number[:-1] > 0))
+        cell = self._pair(number[near], number[near + 1])
+        near = near[(self.pairs[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        if not len(near) or not len(self.automaton):
+            return np.zeros(0, np.int64)
+        follows, use = np.zeros(len(number), bool), np.zeros(len(number), bool)
+        follows[near + 1] = use[near] = use[near + 1] = True
+        own = np.flatnonzero(use)
+        out = np.zeros((len(own), 4), np.uint16)  # a delimiter before what doesn't follow
+        out[:, 1:] = self.letters(number[own])
+        write = np.ones(out.shape, bool)
+        write[:, 0] = ~follows[own]
+        text = out[write].astype("<u2").tobytes().decode("utf-16-le")
+        return np.fromiter(map(itemgetter(1), self.automaton.iter(text)), np.int64)
+
+
+_compiled: dict[str, Automaton] = {}
+
+
+def compiled(shard: Automaton) -> Automaton:
     """The automaton of a shard; a Python worker holds one."""
     if shard.name not in _compiled:
         _compiled.clear()
@@ -254,21 +286,18 @@ def scan(docs: DataFrame, shard: Automaton, totals: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shard)  # about SHARD candidates
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        found, count = compiled(own), np.zeros(len(own.row), np.int64)
+        own = compiled(shared.value)
+        count, seen = np.zeros(len(own.row), np.int64), np.zeros(len(own.keys) + 1, np.int64)
         langs: dict[str, int] = {}
         for w in words_of(rows):
             if totals:
                 for lang, n in zip(w.langs, np.bincount(w.of, minlength=len(w.langs)).tolist(), strict=True):
                     langs[lang] = langs.get(lang, 0) + n
             number = own.lookup(w.key)
-            for a in range(0, len(number), 1 << 20):  # a phrase over the edge is counted by its end, in the second part
-                b = min(len(number), a + (1 << 20))
-                before = max(0, a - 64) if a else 0
-                text = Automaton.letters(number[before:b], np.append(~w.joined, True)[before:b])
-                skip = len(Automaton.letters(number[before:a], np.append(~w.joined, True)[before:a])) if a else 0
-                hits = np.fromiter((i for end, i in found.iter(text) if end >= skip), np.int64) if skip else np.fromiter((i for _, i in found.iter(text)), np.int64)
-                count += np.bincount(hits, minlength=len(count))
+            seen += np.bincount(number, minlength=len(seen))
+            count += np.bincount(own.matches(number, w.joined), minlength=len(count))
+        some = np.flatnonzero(own.single >= 0)
+        count[own.single[some]] += seen[some]
         hit = np.flatnonzero(count)
         for k in range(0, len(hit), 1 << 16):
             some = hit[k : k + (1 << 16)]
@@ -286,7 +315,7 @@ def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: in
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(bits, max(BLOCK, int(size // 2).bit_length()))
+    bits = max(BLOCK, min(bits, int(size // 2).bit_length()))
     found = table(candidates(docs, words, sketch(docs, words, least, bits), bits), "phrases")
     single = found.select("lang", F.lit(1).alias("k"), F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     every = table(found.unionByName(single).withColumn("row", F.monotonically_increasing_id()), "candidates")
