@@ -11,20 +11,31 @@ from vecloom.functions.cost import entropy
 from vecloom.operators import contingency
 
 
-def equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row, is_equal: whether both have the same blocks, whatever their labels.
+def equal(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, is_equal: whether both have the same blocks, whatever their labels; or one for each ``by``.
 
     Blocks are the same if pairing them off by vectors gives each block one partner and both tables
-    have the same vectors; no block is gathered.
+    have the same vectors; no block is gathered.  by: names of columns that tell several partitions apart.
     """
-    both = a.select("vec_id", F.col("block_id").alias("x")).join(b.select("vec_id", F.col("block_id").alias("y")), "vec_id", "full")
-    pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.agg((F.coalesce(F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0, F.lit(True)) & (F.count(F.lit(1)) == F.count_distinct("x")) & (F.count(F.lit(1)) == F.count_distinct("y"))).alias("is_equal"))
+    both = a.select(*by, "vec_id", F.col("block_id").alias("x")).join(b.select(*by, "vec_id", F.col("block_id").alias("y")), [*by, "vec_id"], "full")
+    pairs = both.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*by).agg((F.coalesce(F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0, F.lit(True)) & (F.count(F.lit(1)) == F.count_distinct("x")) & (F.count(F.lit(1)) == F.count_distinct("y"))).alias("is_equal"))
 
 
-def joint(a: DataFrame, b: DataFrame) -> DataFrame:
-    """vec_id, x, y: the block of the common refinement is the pair (x, y)."""
-    return a.select("vec_id", F.col("block_id").alias("x")).join(b.select("vec_id", F.col("block_id").alias("y")), "vec_id")
+def joint(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """vec_id, x, y: the block of the common refinement is the pair (x, y); of several partitions told apart by ``by``."""
+    return a.select(*by, "vec_id", F.col("block_id").alias("x")).join(b.select(*by, "vec_id", F.col("block_id").alias("y")), [*by, "vec_id"])
+
+
+def consistent(assigned: DataFrame, sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, is_consistent: whether each vector has one block, and blocks the sizes that are said of them; or one for each ``by``.
+
+    assigned: vec_id, block_id; sizes: block_id, n.
+    """
+    many = assigned.groupBy(*by, "vec_id").agg(F.count(F.lit(1)).alias("n")).select(*by, (F.col("n") == 1).alias("right"))
+    found = assigned.groupBy(*by, "block_id").agg(F.count(F.lit(1)).alias("found"))
+    same = found.join(sizes.select(*by, "block_id", "n"), [*by, "block_id"], "full").select(*by, F.col("found").eqNullSafe(F.col("n")).alias("right"))
+    return many.unionByName(same).groupBy(*by).agg(F.coalesce(F.every("right"), F.lit(True)).alias("is_consistent"))
 
 
 def joint_blocks(coded: DataFrame, dims: Sequence[int]) -> DataFrame:

@@ -333,24 +333,26 @@ class TreeSplitter:
         return True
 
 
-def search_tree(ev: Evaluator, around: list[list[int]], edges: list[Edge]) -> tuple[Decomposition, Trace]:
+def search_tree(ev: Evaluator, around: list[list[int]], edges: list[Edge], steps: list[list[Dims]] | None = None) -> tuple[Decomposition, Trace]:
     """Merging from singletons and splitting from the whole, in turns on each other's results.
 
     Each round exhausts merges on one grouping and splits on the other, then swaps them.  It ends
     when they are equal or neither changed; of two, the one that costs less is taken, the one that
-    was split last if they cost the same.
+    was split last if they cost the same.  steps: takes up the subspaces of each row of the trace.
     """
+    steps = [] if steps is None else steps
     a, b, trace = Decomposition.singletons(ev.d), Decomposition.whole(ev.d), []
     turn = 0
     cost_a = cost_b = 0.0
     if a == b:
+        steps.append([(0,)])
         return a, [(0, "merge", 0, ev.cost(a.dims(0)))]
     while True:
         merger, splitter = TreeMerger(ev, a, edges), TreeSplitter(ev, b, around)
-        while merger.step():
-            pass
-        while splitter.step():
-            pass
+        for own in (merger, splitter):
+            steps.append(list(own.parts.values()))
+            while own.step():
+                steps.append(list(own.parts.values()))
         trace += [(turn, "merge", k, c) for k, c in enumerate(merger.losses)] + [(turn, "split", k, c) for k, c in enumerate(splitter.losses)]
         moved = len(merger.losses) > 1 or len(splitter.losses) > 1
         a, b = splitter.found, merger.found

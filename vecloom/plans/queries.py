@@ -92,13 +92,13 @@ def uneven(vectors: DataFrame) -> DataFrame:
     return q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dim", "b", "x"))).alias("c")).select("vec_id", F.col("c.x").alias("embedding"), F.col("c.b").alias("codes"))
 
 
-#: the first dimensions, each cut in both ways: two columns of codes that share much
-TWICE = 4
+#: dimensions that are each cut in both ways, two columns of codes that share much: a search of its own for each group
+TWICE = ((0, 1, 2, 3), (9, 26, 43, 60))
 
 
-def twice_cut(vectors: DataFrame) -> DataFrame:
+def twice_cut(vectors: DataFrame, dims: tuple[int, ...]) -> DataFrame:
     t = F.ntile(20).over(Window.partitionBy("dim").orderBy("x", "vec_id"))
-    q = V.components(vectors).where(F.col("dim") < TWICE).withColumn("t", t)
+    q = V.components(vectors).where(F.col("dim").isin(*dims)).withColumn("t", t)
     q = q.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dim", _cut(F.col("t"), CUTS[0]).alias("a"), _cut(F.col("t"), CUTS[1]).alias("b")))).alias("c"))
     return q.select("vec_id", F.flatten(F.transform("c", lambda x: F.array(x["a"], x["b"]))).alias("codes"))
 
@@ -217,20 +217,30 @@ def joint_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("set_id").alias("i"), r6("h").alias("h"), r6(F.pow(F.lit(2.0), "h")).alias("exp_h"), "blocks")
 
 
-@query(f"WITH {_CUT}, p AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y FROM q a JOIN q c ON a.vec_id = c.vec_id AND a.dim IN (0, 31) AND c.dim IN (a.dim, a.dim + 1, a.dim + 2) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS is_equal FROM p GROUP BY i, j")
+@query(f"WITH {_CUT}, d AS (SELECT count(DISTINCT dim) AS d FROM q), p AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y FROM q a, d JOIN q c ON a.vec_id = c.vec_id AND c.dim IN (a.dim, (a.dim + 1) % d, (a.dim + 2) % d) GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS is_equal FROM p GROUP BY i, j")
 def partition_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dimension's partition under other labels against itself, the next dimension, and the one after it, with blocks of the same sizes."""
-    _, coded, _ = _setup(spark, sf_dir)
-    of = lambda i: coded.select("vec_id", F.element_at("codes", i + 1).alias("block_id"))
-    rows = [partition.equal(of(i).withColumn("block_id", 9 - F.col("block_id")), of(j)).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "is_equal") for i in (0, 31) for j in (i, i + 1, i + 2)]
-    return reduce(DataFrame.unionByName, rows)
+    """Each dimension's partition under other labels against itself, the next dimension, and the one after it, with blocks of the same sizes; after the last comes the first."""
+    _, coded, d = _setup(spark, sf_dir)
+    own = kmeans1d.assignments(coded)
+    pairs = own.select("vec_id", F.col("dim").alias("i"), (9 - F.col("block_id")).alias("block_id"), F.explode(F.array(*[F.pmod(F.col("dim") + k, F.lit(d)) for k in range(3)])).alias("j"))
+    others = own.select("vec_id", F.col("dim").alias("j"), "block_id", F.explode(F.array(*[F.pmod(F.col("dim") - k, F.lit(d)) for k in range(3)])).alias("i"))
+    return partition.equal(pairs, others, ["i", "j"])
 
 
-@query(f"WITH {_CUT} SELECT CAST(a.dim AS INTEGER) AS i, a.b AS x, c.b AS y, count(*) AS n FROM q a JOIN q c ON a.vec_id = c.vec_id AND c.dim = a.dim + 1 WHERE a.dim IN (0, 31, 62) GROUP BY ALL")
+@query(f"WITH {_CUT} SELECT CAST(a.dim AS INTEGER) AS i, a.b AS x, c.b AS y, count(*) AS n FROM q a JOIN q c ON a.vec_id = c.vec_id AND c.dim = a.dim + 1 GROUP BY ALL")
 def joint_pair_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each dimension and the next."""
     _, coded, _ = _setup(spark, sf_dir)
-    of = lambda i: coded.select("vec_id", F.element_at("codes", i + 1).alias("block_id"))
-    return reduce(DataFrame.unionByName, [partition.joint(of(i), of(i + 1)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "x", "y", "n") for i in (0, 31, 62)])
+    own = kmeans1d.assignments(coded).withColumnRenamed("dim", "i")
+    return partition.joint(own, own.withColumn("i", F.col("i") - 1), ["i"]).groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_three_sql()}, a AS (SELECT l.vec_id, l.dim, g.block_id FROM l JOIN g ON g.dim = l.dim AND g.x = l.x) SELECT dim, count(*) = count(DISTINCT vec_id) AS is_consistent FROM a GROUP BY dim")
+def partition_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three clusters in each dimension: whether vectors' blocks and blocks' sizes agree."""
+    v, _, d = _setup(spark, sf_dir)
+    blocks = kmeans1d.blocks(v, dict.fromkeys(range(d), 3))
+    return partition.consistent(kmeans1d.assignments(kmeans1d.codes(v, blocks)), blocks, ["dim"])
 
 
 @query(f"WITH {_CUT}, s AS (SELECT a.b AS x, c.b AS y, e.b AS z, count(*) AS n FROM q a JOIN q c USING (vec_id) JOIN q e USING (vec_id) WHERE a.dim = 5 AND c.dim = 30 AND e.dim = 63 GROUP BY ALL) SELECT x || '-' || y || '-' || z AS key, n FROM s")
@@ -249,15 +259,33 @@ def _edges(spark: SparkSession, around: list[list[int]]) -> DataFrame:
     return spark.createDataFrame(entropy_graph.edge_list(around), "i int, j int")
 
 
-@query(
-    f"WITH RECURSIVE {_PAIRS}, e AS (SELECT i, j, round(2 * h2.h - a.h - c.h, 12) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j), t AS (SELECT [0] AS seen, -1 AS i, -1 AS j UNION ALL SELECT * FROM (SELECT list_append(seen, CASE WHEN list_contains(seen, e.i) THEN e.j ELSE e.i END) AS seen, e.i, e.j FROM t, e WHERE list_contains(seen, e.i) <> list_contains(seen, e.j) QUALIFY row_number() OVER (ORDER BY w, e.i, e.j) = 1)) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM t WHERE i >= 0"
-)
+_MST = f"{_PAIRS}, e AS (SELECT i, j, round(2 * h2.h - a.h - c.h, 12) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j), t AS (SELECT [0] AS seen, -1 AS i, -1 AS j UNION ALL SELECT * FROM (SELECT list_append(seen, CASE WHEN list_contains(seen, e.i) THEN e.j ELSE e.i END) AS seen, e.i, e.j FROM t, e WHERE list_contains(seen, e.i) <> list_contains(seen, e.j) QUALIFY row_number() OVER (ORDER BY w, e.i, e.j) = 1))"
+
+
+@query(f"WITH RECURSIVE {_MST} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM t WHERE i >= 0")
 def vi_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, coded, d = _setup(spark, sf_dir)
     return _edges(spark, entropy_graph.dimension_tree(coded, d, None))
 
 
-@query()
+def _capped_sql() -> str:
+    """Shortcuts of the tree, a dimension of the queue at a time: ``adj`` holds both directions of each edge in the order of lists."""
+    return (
+        f"WITH RECURSIVE {_MST}, tree AS (SELECT i, j, row_number() OVER (ORDER BY w, i, j) AS o FROM t JOIN e USING (i, j)), "
+        "both_ways AS (SELECT i AS a, o, j AS b FROM tree UNION ALL SELECT j, o, i FROM tree), cap AS (SELECT greatest(2, CAST(ceil(log2(count(*) + 1)) AS BIGINT)) AS cap FROM tree), "
+        "root AS (SELECT min(a) AS a FROM (SELECT a FROM both_ways GROUP BY a HAVING count(*) >= 2)), "
+        "c AS (SELECT 0 AS n, (SELECT list({'a': a, 'o': o, 'b': b}) FROM both_ways) AS adj, [{'v': a, 'p': -1}] AS todo FROM root "
+        "UNION ALL SELECT n + 1, "
+        "list_concat(list_filter(adj, lambda x: NOT (x.a = v AND list_contains(chain[2:], x.b)) AND NOT (x.b = v AND list_contains(chain[2:], x.a))), "
+        "flatten(list_transform(range(1, len(chain)), lambda k: [{'a': chain[k], 'o': 1000000 * (n + 1) + k, 'b': chain[k + 1]}, {'a': chain[k + 1], 'o': 1000000 * (n + 1) + k, 'b': chain[k]}]))), "
+        "list_concat(todo[2:], list_transform(list_filter(children, lambda x: NOT list_contains(chain[2:], x)), lambda x: {'v': x, 'p': v})) "
+        "FROM (SELECT *, children[1:greatest(0, degree - cap) + 1] AS chain FROM (SELECT n, adj, todo, v, degree, list_transform(list_filter(own, lambda x: x.b <> p), lambda x: x.b) AS children FROM "
+        "(SELECT *, len(own) AS degree FROM (SELECT *, todo[1].v AS v, todo[1].p AS p, list_sort(list_filter(adj, lambda x: x.a = todo[1].v)) AS own FROM c WHERE len(todo) > 0))), cap)) "
+        "SELECT CAST(x.a AS INTEGER) AS i, CAST(x.b AS INTEGER) AS j FROM (SELECT unnest(adj) AS x FROM (SELECT adj FROM c ORDER BY n DESC LIMIT 1)) WHERE x.a < x.b"
+    )
+
+
+@query(_capped_sql())
 def vi_dcmst(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, coded, d = _setup(spark, sf_dir)
     return _edges(spark, entropy_graph.dimension_tree(coded, d, Params(TRUE_N, TARGET).degree(d)))
@@ -302,34 +330,55 @@ def corrected_codewords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrected(spark, sf_dir).select("i", "j", cost.codewords(F.log2("clusters"), F.col("blocks")).alias("num_codewords"))
 
 
-def _merge_sql(correct: bool) -> str:
-    """Greedy merging of the twice-cut columns: costs of all their sets, then a step at a time."""
-    d = 2 * TWICE
-    codes = ", ".join(f"max(CASE WHEN dim = {i} THEN {_cut_sql('t', c)} END)" for i in range(TWICE) for c in CUTS)
+def _sets_sql(dims: tuple[int, ...], correct: bool = False) -> str:
+    """h, number of blocks and cost of every set of the twice-cut columns of some dimensions; a set is a number with a bit for each."""
+    d = 2 * len(dims)
+    codes = ", ".join(f"max(CASE WHEN dim = {i} THEN {_cut_sql('t', c)} END)" for i in dims for c in CUTS)
     k = f"pow(pow(2, s.h), {_R}) * pow(p.product, 1 - {_R})" if correct else "pow(2, s.h)"
     bits = f"{TRUE_N}.0 * log2({k}) + {k} * bit_count(s.mask) * 32"
     return (
-        f"WITH RECURSIVE {_CUT}, v AS (SELECT [{codes}] AS codes FROM tw WHERE dim < {TWICE} GROUP BY vec_id), "
+        f"WITH RECURSIVE {_CUT}, v AS (SELECT [{codes}] AS codes FROM tw WHERE dim IN {dims} GROUP BY vec_id), "
         f"c AS (SELECT mask, list_transform(range(0, {d}), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN codes[i + 1] ELSE -1 END) AS key, count(*) AS c FROM v, range(1, {2**d}) m(mask) GROUP BY ALL), "
-        "s AS (SELECT mask, -sum(c / n * log2(c / n)) AS h, count(*) AS k FROM c, n GROUP BY mask), "
+        "s AS (SELECT mask, round(-sum(c / n * log2(c / n)), 12) AS h, count(*) AS k FROM c, n GROUP BY mask), "
         f"p AS (SELECT s.mask, exp(sum(ln(o.k))) AS product FROM s JOIN s o ON bit_count(o.mask) = 1 AND s.mask & o.mask > 0 GROUP BY s.mask), "
-        f"e AS (SELECT s.mask, {bits} AS bits FROM s JOIN p USING (mask), n), "
-        f"r AS (SELECT 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS parts UNION ALL "
-        "SELECT * FROM (SELECT r.step + 1 AS step, list_append(list_filter(r.parts, lambda x: x <> a.mask AND x <> b.mask), a.mask | b.mask) AS parts "
-        "FROM r, e a, e b, e ab WHERE list_contains(r.parts, a.mask) AND list_contains(r.parts, b.mask) AND (a.mask & -a.mask) < (b.mask & -b.mask) AND ab.mask = a.mask | b.mask "
-        "AND ab.bits - a.bits - b.bits < -1e-9 * (a.bits + b.bits) QUALIFY row_number() OVER (ORDER BY ab.bits - a.bits - b.bits, a.mask & -a.mask, b.mask & -b.mask) = 1)) "
-        "SELECT CAST(step AS INTEGER) AS step, round(sum(e.bits), 3) AS cost, list_aggregate(list_sort(list_transform(list_distinct(list(e.mask)), lambda x: lpad(CAST(x AS VARCHAR), 3, '0'))), 'string_agg', ' ') AS parts "
-        "FROM r, e WHERE list_contains(r.parts, e.mask) GROUP BY step"
+        f"e AS (SELECT s.mask, s.h, {bits} AS bits FROM s JOIN p USING (mask), n)"
     )
 
 
+_PARTS = "list_aggregate(list_sort(list_transform({parts}, lambda x: lpad(CAST(x AS VARCHAR), 3, '0'))), 'string_agg', ' ') AS parts"
+
+
+def _merge_sql(correct: bool) -> str:
+    """Greedy merging of the twice-cut columns: costs of all their sets, then a step at a time."""
+
+    def one(k: int, dims: tuple[int, ...]) -> str:
+        return (
+            f"SELECT {k} AS grp, * FROM ({_sets_sql(dims, correct)}, "
+            f"r AS (SELECT 0 AS step, list_transform(range(0, {2 * len(dims)}), lambda i: CAST(1 << i AS BIGINT)) AS parts UNION ALL "
+            "SELECT * FROM (SELECT r.step + 1 AS step, list_append(list_filter(r.parts, lambda x: x <> a.mask AND x <> b.mask), a.mask | b.mask) AS parts "
+            "FROM r, e a, e b, e ab WHERE list_contains(r.parts, a.mask) AND list_contains(r.parts, b.mask) AND (a.mask & -a.mask) < (b.mask & -b.mask) AND ab.mask = a.mask | b.mask "
+            "AND ab.bits - a.bits - b.bits < -1e-9 * (a.bits + b.bits) QUALIFY row_number() OVER (ORDER BY ab.bits - a.bits - b.bits, a.mask & -a.mask, b.mask & -b.mask) = 1)) "
+            f"SELECT CAST(step AS INTEGER) AS step, round(sum(e.bits), 3) AS cost, {_PARTS.format(parts='list_distinct(list(e.mask))')} "
+            "FROM r, e WHERE list_contains(r.parts, e.mask) GROUP BY step)"
+        )
+
+    return " UNION ALL ".join(one(k, dims) for k, dims in enumerate(TWICE))
+
+
+def _bits(parts: list[tuple[int, ...]]) -> str:
+    return " ".join(sorted(f"{sum(1 << i for i in s):03d}" for s in parts))
+
+
 def _merged(spark: SparkSession, sf_dir: str, correct: bool) -> DataFrame:
-    """step, cost, parts (each a number with a bit for every column) of a search over the twice-cut columns."""
-    ev = search.Evaluator(twice_cut(V.read_parquet(spark, sf_dir)), TRUE_N, correct)
-    steps: list[list[tuple[int, ...]]] = []
-    _, trace = search.merge_all_pairs(ev, steps)
-    rows = [(k, round(c, 3), " ".join(sorted(f"{sum(1 << i for i in s):03d}" for s in parts))) for (_, _, k, c), parts in zip(trace, steps, strict=True)]
-    return spark.createDataFrame(rows, "step int, cost double, parts string")
+    """grp, step, cost, parts (each a number with a bit for every column) of a search over the twice-cut columns of each group."""
+    rows = []
+    for k, dims in enumerate(TWICE):
+        ev = search.Evaluator(twice_cut(V.read_parquet(spark, sf_dir), dims), TRUE_N, correct)
+        steps: list[list[tuple[int, ...]]] = []
+        _, trace = search.merge_all_pairs(ev, steps)
+        rows += [(k, at, round(c, 3), _bits(parts)) for (_, _, at, c), parts in zip(trace, steps, strict=True)]
+        ev.close()
+    return spark.createDataFrame(rows, "grp int, step int, cost double, parts string")
 
 
 @query(_merge_sql(False))
@@ -342,6 +391,69 @@ def merge_steps_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, True)
 
 
+def _tree_sql(last: bool) -> str:
+    """The search along the tree of twice-cut columns, a merge or a cut at a time.
+
+    A state holds the grouping that is worked on (cur), the one that is to be cut next (nxt), and what
+    merging came to (res).  Every move there can be is known beforehand: what it needs, and what it gives.
+    """
+
+    def one(k: int, dims: tuple[int, ...]) -> str:
+        d = 2 * len(dims)
+        same = "list_sort(cur) = list_sort(res)"
+        head = (
+            f"{_sets_sql(dims)}, w AS (SELECT i, j, round(2 * b.h - x.h - y.h, 12) AS w FROM range(0, {d}) r(i), range(0, {d}) q2(j), e b, e x, e y WHERE i < j AND b.mask = (1 << i) | (1 << j) AND x.mask = 1 << i AND y.mask = 1 << j), "
+            "t AS (SELECT 1::BIGINT AS seen, -1::BIGINT AS i, -1::BIGINT AS j UNION ALL SELECT * FROM (SELECT seen | (1 << w.i) | (1 << w.j) AS seen, w.i, w.j FROM t, w WHERE (seen >> w.i) & 1 <> (seen >> w.j) & 1 QUALIFY row_number() OVER (ORDER BY w.w, w.i, w.j) = 1)), "
+            "tree AS (SELECT i, j, row_number() OVER (ORDER BY w.w, i, j) AS o FROM t JOIN w USING (i, j)), "
+            # what is on j's side of each edge
+            "side AS (SELECT i, j, (1::BIGINT << j) AS mask FROM tree UNION SELECT s.i, s.j, s.mask | (1 << x.i) | (1 << x.j) FROM side s, tree x WHERE (x.i, x.j) <> (s.i, s.j) AND (s.mask & ((1 << x.i) | (1 << x.j))) > 0), "
+            "far AS (SELECT i, j, max(mask) AS mask FROM side GROUP BY i, j), "
+            "mv AS (SELECT 'merge' AS kind, x.mask AS a, y.mask AS b, [xy.mask] AS made, xy.bits - x.bits - y.bits AS delta, 100 * i + o AS o FROM tree, e x, e y, e xy WHERE (x.mask >> i) & 1 = 1 AND (y.mask >> j) & 1 = 1 AND x.mask & y.mask = 0 AND xy.mask = x.mask | y.mask "
+            "UNION ALL SELECT 'split', s.mask, s.mask, [x.mask, y.mask], x.bits + y.bits - s.bits, 0 FROM far, e s, e x, e y WHERE (s.mask >> i) & 1 = 1 AND (s.mask >> j) & 1 = 1 AND x.mask = s.mask & far.mask AND y.mask = s.mask & ~far.mask), "
+            "bl AS (SELECT list(bits ORDER BY mask) AS bits FROM e), "
+            f"r AS (SELECT 0 AS turn, 'merge' AS phase, 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS cur, [{2**d - 1}::BIGINT] AS nxt, []::BIGINT[] AS res, false AS moved, 0 AS nr UNION ALL "
+            "SELECT CASE WHEN delta IS NULL AND phase = 'split' THEN turn + 1 ELSE turn END, CASE WHEN delta IS NULL THEN CASE phase WHEN 'merge' THEN 'split' ELSE 'merge' END ELSE phase END, CASE WHEN delta IS NULL THEN 0 ELSE step + 1 END, "
+            "CASE WHEN delta IS NOT NULL THEN list_concat(list_filter(cur, lambda x: x <> a AND x <> b), made) WHEN phase = 'merge' THEN nxt ELSE cur END, "
+            "CASE WHEN delta IS NULL AND phase = 'split' THEN res ELSE nxt END, CASE WHEN delta IS NULL AND phase = 'merge' THEN cur ELSE res END, "
+            "CASE WHEN delta IS NOT NULL THEN true WHEN phase = 'split' THEN false ELSE moved END, nr + 1 "
+            "FROM (SELECT r.*, mv.a, mv.b, mv.made, mv.delta FROM r CROSS JOIN bl LEFT JOIN mv ON mv.kind = r.phase AND list_contains(r.cur, mv.a) AND list_contains(r.cur, mv.b) AND mv.delta < -1e-9 * list_sum(list_transform(r.cur, lambda x: bl.bits[x])) QUALIFY row_number() OVER (ORDER BY mv.delta NULLS LAST, mv.o) = 1) "
+            f"WHERE NOT (delta IS NULL AND phase = 'split' AND ({same} OR NOT moved)))"
+        )
+        cost = "round(list_sum(list_transform({of}, lambda x: bl.bits[x])), 3)"
+        if not last:
+            return f"SELECT {k} AS grp, * FROM ({head} SELECT CAST(turn AS INTEGER) AS round, phase, CAST(step AS INTEGER) AS step, {cost.format(of='cur')} AS cost, {_PARTS.format(parts='cur')} FROM r, bl)"
+        best = f"CASE WHEN {cost.format(of='cur')} < {cost.format(of='res')} OR {same} THEN cur ELSE res END"
+        return f"SELECT {k} AS grp, * FROM ({head} SELECT {_PARTS.format(parts=best)} FROM r, bl ORDER BY nr DESC LIMIT 1)"
+
+    return " UNION ALL ".join(one(k, dims) for k, dims in enumerate(TWICE))
+
+
+def _along_tree(spark: SparkSession, sf_dir: str) -> tuple[list[tuple], list[tuple]]:
+    """Rows of the trace, and the groupings found, of a search along the tree of each group's columns."""
+    rows, found = [], []
+    for k, dims in enumerate(TWICE):
+        coded = twice_cut(V.read_parquet(spark, sf_dir), dims)
+        around = entropy_graph.dimension_tree(coded, 2 * len(dims), None)
+        ev = search.Evaluator(coded, TRUE_N)
+        steps: list[list[tuple[int, ...]]] = []
+        end, trace = search.search_tree(ev, around, entropy_graph.edge_list(around), steps)
+        rows += [(k, turn, phase, at, round(c, 3), _bits(parts)) for (turn, phase, at, c), parts in zip(trace, steps, strict=True)]
+        found.append((k, _bits([tuple(end.dims(s)) for s in end.subspaces()])))
+        ev.close()
+    return rows, found
+
+
+@query(_tree_sql(False))
+def tree_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grouping that merging and splitting in turns comes by."""
+    return spark.createDataFrame(_along_tree(spark, sf_dir)[0], "grp int, round int, phase string, step int, cost double, parts string")
+
+
+@query(_tree_sql(True))
+def tree_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_along_tree(spark, sf_dir)[1], "grp int, parts string")
+
+
 _GAIN = f"g AS (SELECT i, j, {_BITS.format(k='pow(2, h2.h)', d=2)} - {_BITS.format(k='pow(2, a.h)', d=1)} - {_BITS.format(k='pow(2, c.h)', d=1)} AS delta FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j)"
 
 
@@ -432,9 +544,11 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.summary_lines(codebook.counts(spark, search.Evaluator(coded, TRUE_N), paired(d)))
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, {_WORDS}, k AS (SELECT * FROM r WHERE code_id < most) SELECT subspace_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT DISTINCT s AS subspace_id, 0 AS line_no, 'Subspace ' || s || ':' AS line FROM k UNION ALL SELECT DISTINCT s, 1, 'Dimensions: ' || s || ' ' || (s + 1) FROM k UNION ALL SELECT s, code_id + 2, printf('%.4f', CAST(CAST(m0 AS FLOAT) AS DOUBLE)) || ' ' || printf('%.4f', CAST(CAST(m1 AS FLOAT) AS DOUBLE)) FROM k)"
+)
 def codebook_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.codebook_lines(_paired_codebook(spark, sf_dir))
+    return sinks.codebook_lines(_paired_codebook(spark, sf_dir), 4)
 
 
 @query()

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def codebook_lines(codebook: DataFrame) -> DataFrame:
+def codebook_lines(codebook: DataFrame, digits: int | None = None) -> DataFrame:
     """(subspace_id, line_no, line): a heading, the dimensions, and a line per codeword.
 
-    codebook: subspace_id, dims, code_id, codeword.
+    codebook: subspace_id, dims, code_id, codeword; digits: decimals of components, or as many as they have.
     """
-    word = codebook.select("subspace_id", (F.col("code_id") + 2).alias("line_no"), F.concat_ws(" ", F.transform("codeword", lambda x: x.cast("string"))).alias("line"))
+    text = (lambda x: x.cast("string")) if digits is None else (lambda x: F.format_string(f"%.{digits}f", x.cast("double")))
+    word = codebook.select("subspace_id", (F.col("code_id") + 2).alias("line_no"), F.concat_ws(" ", F.transform("codeword", text)).alias("line"))
     return _headed(codebook.select("subspace_id", "dims").distinct()).unionByName(word).orderBy("subspace_id", "line_no")
 
 
