@@ -34,10 +34,10 @@ from vecloom.llm.common import batches, mix, small_batches, table, trim, utf8, w
 BITS = 27
 #: bits of the bitmap of pairs of words that follow each other in a shard's phrases
 PAIRS = 26
-#: phrases and words of an automaton, about 100 MB
-SHARD = 1 << 20
-#: phrases that a task gathers before it sends their cells or candidates on
-GATHER = 1 << 22
+#: candidates of an automaton, about 100 bytes each
+SHARD = 1 << 21
+#: phrases that a task gathers before it sends their cells on
+GATHER = 1 << 21
 BLOCK = 16
 #: fixed values: what ends a piece; other spaces are the blank and the tab
 ENDS = b".,;:!?\n\v\f\r"
@@ -169,8 +169,11 @@ def sketch(docs: DataFrame, words: int, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, words: int, reached: np.ndarray, bits: int) -> DataFrame:
-    """lang, k, phrase: distinct phrases whose bounds, and those of the phrases in them, reach the least count."""
+def candidates(docs: DataFrame, words: int, reached: np.ndarray, bits: int, parts: int) -> DataFrame:
+    """lang, k, phrase: distinct phrases whose bounds, and those of the phrases in them, reach the least count.
+
+    A task sends a candidate once, in lists by hash, of which there are ``parts``; each list is freed of repeats.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(reached)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +198,30 @@ def candidates(docs: DataFrame, words: int, reached: np.ndarray, bits: int) -> D
                 keys.append(new)
             first, k = np.concatenate(firsts), np.concatenate(ks)
             seen = np.unique(np.concatenate([seen, *keys] if len(seen) < SEEN else keys))  # forgetting some only sends them again
-            for j in range(0, len(first), 1 << 16):
-                f, kk = first[j : j + (1 << 16)], k[j : j + (1 << 16)]
-                langs = pa.DictionaryArray.from_arrays(pa.array(w.of[f].astype(np.int32)), pa.array(w.langs)).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([langs, pa.array(kk, pa.int32()), w.texts(f, kk).cast(pa.string())], ["lang", "k", "phrase"])
+            if not len(first):
+                continue
+            part = (np.concatenate(keys) >> np.uint64(20)) % np.uint64(parts)
+            turn = np.argsort(part, kind="stable")
+            part, first, k = part[turn], first[turn], k[turn]
+            head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            edge = pa.array(np.append(head, len(part)).astype(np.int32))
+            langs = pa.DictionaryArray.from_arrays(pa.array(w.of[first].astype(np.int32)), pa.array(w.langs)).dictionary_decode()
+            lists = [pa.ListArray.from_arrays(edge, x) for x in (langs, pa.array(k, pa.int32()), w.texts(first, k).cast(pa.string()))]
+            out = pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), *lists], ["part", "lang", "k", "phrase"])
+            for j in range(0, len(head), 64):
+                yield out.slice(j, 64)
         trim()
 
-    return docs.mapInArrow(run, "lang string, k int, phrase string").distinct()
+    def once(key: tuple, lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "k", "phrase"]
+        found = pa.table({"lang": pa.array([], pa.string()), "k": pa.array([], pa.int32()), "phrase": pa.array([], pa.string())})
+        for b in lists:
+            new = pa.table([b.column(c).flatten() for c in names], names)
+            found = pa.concat_tables([found, new]).group_by(names).aggregate([])
+        yield from found.select(names).combine_chunks().to_batches()
+
+    schema = "part int, lang array<string>, k array<int>, phrase array<string>"
+    return docs.mapInArrow(run, schema).groupBy("part").applyInArrow(once, "lang string, k int, phrase string")
 
 
 class Automaton:
@@ -282,7 +302,10 @@ def compiled(shard: Automaton) -> Automaton:
 
 
 def scan(docs: DataFrame, shard: Automaton, totals: bool) -> DataFrame:
-    """row, lang, n: matches of each of the shard's candidates, by task; with totals, words of each language (row null)."""
+    """block, counts: matches of the shard's candidates by task, in arrays over blocks of candidates' row numbers.
+
+    With totals also lang, n: words of each language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(shard)  # about SHARD candidates
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +322,28 @@ def scan(docs: DataFrame, shard: Automaton, totals: bool) -> DataFrame:
         some = np.flatnonzero(own.single >= 0)
         count[own.single[some]] += seen[some]
         hit = np.flatnonzero(count)
-        for k in range(0, len(hit), 1 << 16):
-            some = hit[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.row[some]), pa.nulls(len(some), pa.string()), pa.array(count[some])], ["row", "lang", "n"])
+        hit = hit[np.argsort(own.row[hit], kind="stable")]
+        block = own.row[hit] >> BLOCK
+        for part in np.split(hit, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(hit) else []:
+            cell = own.row[part] & 0xFFFF
+            sums = np.zeros(int(cell[-1]) + 1, "<i8")
+            sums[cell] = count[part]
+            yield pa.RecordBatch.from_arrays([pa.array(own.row[part[:1]] >> BLOCK), pa.array([sums.tobytes()]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], ["block", "counts", "lang", "n"])
         if langs:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.array(list(langs)), pa.array(list(langs.values()), pa.int64())], ["row", "lang", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.nulls(len(langs), pa.binary()), pa.array(list(langs)), pa.array(list(langs.values()), pa.int64())], ["block", "counts", "lang", "n"])
         trim()
 
-    return docs.mapInArrow(run, "row long, lang string, n long")
+    return docs.mapInArrow(run, "block long, counts binary, lang string, n long")
+
+
+def _sums(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << BLOCK, np.int64)
+    for b in parts:
+        for c in b.column("counts"):
+            own = np.frombuffer(c.as_buffer(), "<i8")
+            total[: len(own)] += own
+    hit = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() << BLOCK) + hit), pa.array(total[hit])], ["row", "f"])
 
 
 def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -316,23 +353,24 @@ def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: in
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(BLOCK, min(bits, int(size // 2).bit_length()))
-    found = table(candidates(docs, words, sketch(docs, words, least, bits), bits), "phrases")
+    found = table(candidates(docs, words, sketch(docs, words, least, bits), bits, max(64, min(1 << 16, size >> 21))), "phrases")
     single = found.select("lang", F.lit(1).alias("k"), F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     every = table(found.unionByName(single).withColumn("row", F.monotonically_increasing_id()), "candidates")
     shards = -(-every.count() // shard)
+    if not shards:
+        none = every.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f"))
+        return none, none.select("lang", F.col("f").alias("n"))
     parts = []
     for k in range(shards):
         own = every.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == k).select("row", "lang", "phrase")
         parts.append(scan(docs, Automaton(f"{uuid.uuid4().hex}", own.toArrow()), k == 0))
-    if not parts:
-        none = every.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f"))
-        return none, none.select("lang", F.col("f").alias("n"))
-    total = parts[0]
+    met = parts[0]
     for p in parts[1:]:
-        total = total.unionAll(p)
-    total = table(total.groupBy("row", "lang").agg(F.sum("n").alias("n")), "matches")
-    exact = every.join(total.where("row is not null").select("row", F.col("n").alias("f")), "row").select("lang", "k", "phrase", "f")
-    return exact, total.where("row is null").select("lang", "n")
+        met = met.unionAll(p)
+    met = table(met, "matches")
+    total = met.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sums, "row long, f long")
+    exact = every.join(total, "row").select("lang", "k", "phrase", "f")
+    return exact, met.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def mine(docs: DataFrame, words: int = 3, least: int = 10, covered: int = 50, top: int = 2000, bits: int = BITS, shard: int = SHARD) -> DataFrame:
