@@ -41,10 +41,10 @@ _PAIRS = f"{_CUT}, ps AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y, cou
 _BITS = f"({TRUE_N}.0 * log2({{k}}) + {{k}} * {{d}} * 32)"
 
 
-def _curve_sql(most: int) -> str:
+def _curve_sql(most: int, long: str = f"WITH {_LONG}") -> str:
     """The dynamic program over distinct values, a step at a time."""
     out = [
-        f"WITH {_LONG}, v AS (SELECT dim, x, count(*) AS n FROM l GROUP BY ALL)",
+        f"{long}, v AS (SELECT dim, x, count(*) AS n FROM l GROUP BY ALL)",
         "p AS (SELECT dim, row_number() OVER w AS m, sum(n) OVER w AS n, sum(n * x::DOUBLE) OVER w AS s1, sum(n * (x * x)::DOUBLE) OVER w AS s2 FROM v WINDOW w AS (PARTITION BY dim ORDER BY x ROWS UNBOUNDED PRECEDING))",
         "z AS (SELECT dim, m, n, s1, s2 FROM p UNION ALL SELECT DISTINCT dim, 0, 0, 0.0, 0.0 FROM p)",
         "last AS (SELECT dim, max(m) AS m FROM p GROUP BY dim)",
@@ -330,34 +330,43 @@ def corrected_codewords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corrected(spark, sf_dir).select("i", "j", cost.codewords(F.log2("clusters"), F.col("blocks")).alias("num_codewords"))
 
 
-def _sets_sql(dims: tuple[int, ...], correct: bool = False) -> str:
-    """h, number of blocks and cost of every set of the twice-cut columns of some dimensions; a set is a number with a bit for each."""
-    d = 2 * len(dims)
-    codes = ", ".join(f"max(CASE WHEN dim = {i} THEN {_cut_sql('t', c)} END)" for i in dims for c in CUTS)
-    k = f"pow(pow(2, s.h), {_R}) * pow(p.product, 1 - {_R})" if correct else "pow(2, s.h)"
-    bits = f"{TRUE_N}.0 * log2({k}) + {k} * bit_count(s.mask) * 32"
+def _costs_sql(d: int, correct: bool) -> str:
+    """h, number of blocks, clusters and cost of every set of d columns of codes (v); a set is a number with a bit for each column."""
+    k = f"pow(pow(2, s.h), {_R}) * pow(pr.product, 1 - {_R})" if correct else "pow(2, s.h)"
     return (
-        f"WITH RECURSIVE {_CUT}, v AS (SELECT [{codes}] AS codes FROM tw WHERE dim IN {dims} GROUP BY vec_id), "
         f"c AS (SELECT mask, list_transform(range(0, {d}), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN codes[i + 1] ELSE -1 END) AS key, count(*) AS c FROM v, range(1, {2**d}) m(mask) GROUP BY ALL), "
         "s AS (SELECT mask, round(-sum(c / n * log2(c / n)), 12) AS h, count(*) AS k FROM c, n GROUP BY mask), "
-        f"p AS (SELECT s.mask, exp(sum(ln(o.k))) AS product FROM s JOIN s o ON bit_count(o.mask) = 1 AND s.mask & o.mask > 0 GROUP BY s.mask), "
-        f"e AS (SELECT s.mask, s.h, {bits} AS bits FROM s JOIN p USING (mask), n)"
+        f"pr AS (SELECT s.mask, exp(sum(ln(o.k))) AS product FROM s JOIN s o ON bit_count(o.mask) = 1 AND s.mask & o.mask > 0 GROUP BY s.mask), "
+        f"e AS (SELECT s.mask, s.h, s.k AS blocks, {k} AS clusters, {TRUE_N}.0 * log2({k}) + {k} * bit_count(s.mask) * 32 AS bits FROM s JOIN pr USING (mask), n)"
     )
 
 
+def _sets_sql(dims: tuple[int, ...], correct: bool = False) -> str:
+    """Costs of all sets of the twice-cut columns of some dimensions."""
+    codes = ", ".join(f"max(CASE WHEN dim = {i} THEN {_cut_sql('t', c)} END)" for i in dims for c in CUTS)
+    return f"WITH RECURSIVE {_CUT}, v AS (SELECT [{codes}] AS codes FROM tw WHERE dim IN {dims} GROUP BY vec_id), {_costs_sql(2 * len(dims), correct)}"
+
+
 _PARTS = "list_aggregate(list_sort(list_transform({parts}, lambda x: lpad(CAST(x AS VARCHAR), 3, '0'))), 'string_agg', ' ') AS parts"
 
 
+def _merging_sql(d: int) -> str:
+    """Groupings of d columns by greedy merging: step, parts."""
+    return (
+        f"r AS (SELECT 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS parts UNION ALL "
+        "SELECT * FROM (SELECT r.step + 1 AS step, list_append(list_filter(r.parts, lambda x: x <> a.mask AND x <> b.mask), a.mask | b.mask) AS parts "
+        "FROM r, e a, e b, e ab WHERE list_contains(r.parts, a.mask) AND list_contains(r.parts, b.mask) AND (a.mask & -a.mask) < (b.mask & -b.mask) AND ab.mask = a.mask | b.mask "
+        "AND ab.bits - a.bits - b.bits < -1e-9 * (a.bits + b.bits) QUALIFY row_number() OVER (ORDER BY ab.bits - a.bits - b.bits, a.mask & -a.mask, b.mask & -b.mask) = 1))"
+    )
+
+
 def _merge_sql(correct: bool) -> str:
     """Greedy merging of the twice-cut columns: costs of all their sets, then a step at a time."""
 
     def one(k: int, dims: tuple[int, ...]) -> str:
         return (
             f"SELECT {k} AS grp, * FROM ({_sets_sql(dims, correct)}, "
-            f"r AS (SELECT 0 AS step, list_transform(range(0, {2 * len(dims)}), lambda i: CAST(1 << i AS BIGINT)) AS parts UNION ALL "
-            "SELECT * FROM (SELECT r.step + 1 AS step, list_append(list_filter(r.parts, lambda x: x <> a.mask AND x <> b.mask), a.mask | b.mask) AS parts "
-            "FROM r, e a, e b, e ab WHERE list_contains(r.parts, a.mask) AND list_contains(r.parts, b.mask) AND (a.mask & -a.mask) < (b.mask & -b.mask) AND ab.mask = a.mask | b.mask "
-            "AND ab.bits - a.bits - b.bits < -1e-9 * (a.bits + b.bits) QUALIFY row_number() OVER (ORDER BY ab.bits - a.bits - b.bits, a.mask & -a.mask, b.mask & -b.mask) = 1)) "
+            f"{_merging_sql(2 * len(dims))} "
             f"SELECT CAST(step AS INTEGER) AS step, round(sum(e.bits), 3) AS cost, {_PARTS.format(parts='list_distinct(list(e.mask))')} "
             "FROM r, e WHERE list_contains(r.parts, e.mask) GROUP BY step)"
         )
@@ -391,39 +400,44 @@ def merge_steps_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, True)
 
 
-def _tree_sql(last: bool) -> str:
-    """The search along the tree of twice-cut columns, a merge or a cut at a time.
+def _turns_sql(d: int) -> str:
+    """The search along the tree of d columns, a merge or a cut at a time.
 
     A state holds the grouping that is worked on (cur), the one that is to be cut next (nxt), and what
     merging came to (res).  Every move there can be is known beforehand: what it needs, and what it gives.
     """
+    return (
+        f"w AS (SELECT i, j, round(2 * b.h - x.h - y.h, 12) AS w FROM range(0, {d}) r(i), range(0, {d}) q2(j), e b, e x, e y WHERE i < j AND b.mask = (1 << i) | (1 << j) AND x.mask = 1 << i AND y.mask = 1 << j), "
+        "t AS (SELECT 1::BIGINT AS seen, -1::BIGINT AS i, -1::BIGINT AS j UNION ALL SELECT * FROM (SELECT seen | (1 << w.i) | (1 << w.j) AS seen, w.i, w.j FROM t, w WHERE (seen >> w.i) & 1 <> (seen >> w.j) & 1 QUALIFY row_number() OVER (ORDER BY w.w, w.i, w.j) = 1)), "
+        "tree AS (SELECT i, j, row_number() OVER (ORDER BY w.w, i, j) AS o FROM t JOIN w USING (i, j)), "
+        # what is on j's side of each edge
+        "side AS (SELECT i, j, (1::BIGINT << j) AS mask FROM tree UNION SELECT s.i, s.j, s.mask | (1 << x.i) | (1 << x.j) FROM side s, tree x WHERE (x.i, x.j) <> (s.i, s.j) AND (s.mask & ((1 << x.i) | (1 << x.j))) > 0), "
+        "far AS (SELECT i, j, max(mask) AS mask FROM side GROUP BY i, j), "
+        "mv AS (SELECT 'merge' AS kind, x.mask AS a, y.mask AS b, [xy.mask] AS made, xy.bits - x.bits - y.bits AS delta, 100 * i + o AS o FROM tree, e x, e y, e xy WHERE (x.mask >> i) & 1 = 1 AND (y.mask >> j) & 1 = 1 AND x.mask & y.mask = 0 AND xy.mask = x.mask | y.mask "
+        "UNION ALL SELECT 'split', s.mask, s.mask, [x.mask, y.mask], x.bits + y.bits - s.bits, 0 FROM far, e s, e x, e y WHERE (s.mask >> i) & 1 = 1 AND (s.mask >> j) & 1 = 1 AND x.mask = s.mask & far.mask AND y.mask = s.mask & ~far.mask), "
+        "bl AS (SELECT list(bits ORDER BY mask) AS bits FROM e), "
+        f"r AS (SELECT 0 AS turn, 'merge' AS phase, 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS cur, [{2**d - 1}::BIGINT] AS nxt, []::BIGINT[] AS res, false AS moved, 0 AS nr UNION ALL "
+        "SELECT CASE WHEN delta IS NULL AND phase = 'split' THEN turn + 1 ELSE turn END, CASE WHEN delta IS NULL THEN CASE phase WHEN 'merge' THEN 'split' ELSE 'merge' END ELSE phase END, CASE WHEN delta IS NULL THEN 0 ELSE step + 1 END, "
+        "CASE WHEN delta IS NOT NULL THEN list_concat(list_filter(cur, lambda x: x <> a AND x <> b), made) WHEN phase = 'merge' THEN nxt ELSE cur END, "
+        "CASE WHEN delta IS NULL AND phase = 'split' THEN res ELSE nxt END, CASE WHEN delta IS NULL AND phase = 'merge' THEN cur ELSE res END, "
+        "CASE WHEN delta IS NOT NULL THEN true WHEN phase = 'split' THEN false ELSE moved END, nr + 1 "
+        "FROM (SELECT r.*, mv.a, mv.b, mv.made, mv.delta FROM r CROSS JOIN bl LEFT JOIN mv ON mv.kind = r.phase AND list_contains(r.cur, mv.a) AND list_contains(r.cur, mv.b) AND mv.delta < -1e-9 * list_sum(list_transform(r.cur, lambda x: bl.bits[x])) QUALIFY row_number() OVER (ORDER BY mv.delta NULLS LAST, mv.o) = 1) "
+        f"WHERE NOT (delta IS NULL AND phase = 'split' AND ({_SAME} OR NOT moved)))"
+    )
+
 
+_SAME = "list_sort(cur) = list_sort(res)"
+_TOTAL = "round(list_sum(list_transform({of}, lambda x: bl.bits[x])), 3)"
+#: of the two groupings that a search along the tree ends with
+_BETTER = f"CASE WHEN {_TOTAL.format(of='cur')} < {_TOTAL.format(of='res')} OR {_SAME} THEN cur ELSE res END"
+
+
+def _tree_sql(last: bool) -> str:
     def one(k: int, dims: tuple[int, ...]) -> str:
-        d = 2 * len(dims)
-        same = "list_sort(cur) = list_sort(res)"
-        head = (
-            f"{_sets_sql(dims)}, w AS (SELECT i, j, round(2 * b.h - x.h - y.h, 12) AS w FROM range(0, {d}) r(i), range(0, {d}) q2(j), e b, e x, e y WHERE i < j AND b.mask = (1 << i) | (1 << j) AND x.mask = 1 << i AND y.mask = 1 << j), "
-            "t AS (SELECT 1::BIGINT AS seen, -1::BIGINT AS i, -1::BIGINT AS j UNION ALL SELECT * FROM (SELECT seen | (1 << w.i) | (1 << w.j) AS seen, w.i, w.j FROM t, w WHERE (seen >> w.i) & 1 <> (seen >> w.j) & 1 QUALIFY row_number() OVER (ORDER BY w.w, w.i, w.j) = 1)), "
-            "tree AS (SELECT i, j, row_number() OVER (ORDER BY w.w, i, j) AS o FROM t JOIN w USING (i, j)), "
-            # what is on j's side of each edge
-            "side AS (SELECT i, j, (1::BIGINT << j) AS mask FROM tree UNION SELECT s.i, s.j, s.mask | (1 << x.i) | (1 << x.j) FROM side s, tree x WHERE (x.i, x.j) <> (s.i, s.j) AND (s.mask & ((1 << x.i) | (1 << x.j))) > 0), "
-            "far AS (SELECT i, j, max(mask) AS mask FROM side GROUP BY i, j), "
-            "mv AS (SELECT 'merge' AS kind, x.mask AS a, y.mask AS b, [xy.mask] AS made, xy.bits - x.bits - y.bits AS delta, 100 * i + o AS o FROM tree, e x, e y, e xy WHERE (x.mask >> i) & 1 = 1 AND (y.mask >> j) & 1 = 1 AND x.mask & y.mask = 0 AND xy.mask = x.mask | y.mask "
-            "UNION ALL SELECT 'split', s.mask, s.mask, [x.mask, y.mask], x.bits + y.bits - s.bits, 0 FROM far, e s, e x, e y WHERE (s.mask >> i) & 1 = 1 AND (s.mask >> j) & 1 = 1 AND x.mask = s.mask & far.mask AND y.mask = s.mask & ~far.mask), "
-            "bl AS (SELECT list(bits ORDER BY mask) AS bits FROM e), "
-            f"r AS (SELECT 0 AS turn, 'merge' AS phase, 0 AS step, list_transform(range(0, {d}), lambda i: CAST(1 << i AS BIGINT)) AS cur, [{2**d - 1}::BIGINT] AS nxt, []::BIGINT[] AS res, false AS moved, 0 AS nr UNION ALL "
-            "SELECT CASE WHEN delta IS NULL AND phase = 'split' THEN turn + 1 ELSE turn END, CASE WHEN delta IS NULL THEN CASE phase WHEN 'merge' THEN 'split' ELSE 'merge' END ELSE phase END, CASE WHEN delta IS NULL THEN 0 ELSE step + 1 END, "
-            "CASE WHEN delta IS NOT NULL THEN list_concat(list_filter(cur, lambda x: x <> a AND x <> b), made) WHEN phase = 'merge' THEN nxt ELSE cur END, "
-            "CASE WHEN delta IS NULL AND phase = 'split' THEN res ELSE nxt END, CASE WHEN delta IS NULL AND phase = 'merge' THEN cur ELSE res END, "
-            "CASE WHEN delta IS NOT NULL THEN true WHEN phase = 'split' THEN false ELSE moved END, nr + 1 "
-            "FROM (SELECT r.*, mv.a, mv.b, mv.made, mv.delta FROM r CROSS JOIN bl LEFT JOIN mv ON mv.kind = r.phase AND list_contains(r.cur, mv.a) AND list_contains(r.cur, mv.b) AND mv.delta < -1e-9 * list_sum(list_transform(r.cur, lambda x: bl.bits[x])) QUALIFY row_number() OVER (ORDER BY mv.delta NULLS LAST, mv.o) = 1) "
-            f"WHERE NOT (delta IS NULL AND phase = 'split' AND ({same} OR NOT moved)))"
-        )
-        cost = "round(list_sum(list_transform({of}, lambda x: bl.bits[x])), 3)"
+        head = f"{_sets_sql(dims)}, {_turns_sql(2 * len(dims))}"
         if not last:
-            return f"SELECT {k} AS grp, * FROM ({head} SELECT CAST(turn AS INTEGER) AS round, phase, CAST(step AS INTEGER) AS step, {cost.format(of='cur')} AS cost, {_PARTS.format(parts='cur')} FROM r, bl)"
-        best = f"CASE WHEN {cost.format(of='cur')} < {cost.format(of='res')} OR {same} THEN cur ELSE res END"
-        return f"SELECT {k} AS grp, * FROM ({head} SELECT {_PARTS.format(parts=best)} FROM r, bl ORDER BY nr DESC LIMIT 1)"
+            return f"SELECT {k} AS grp, * FROM ({head} SELECT CAST(turn AS INTEGER) AS round, phase, CAST(step AS INTEGER) AS step, {_TOTAL.format(of='cur')} AS cost, {_PARTS.format(parts='cur')} FROM r, bl)"
+        return f"SELECT {k} AS grp, * FROM ({head} SELECT {_PARTS.format(parts=_BETTER)} FROM r, bl ORDER BY nr DESC LIMIT 1)"
 
     return " UNION ALL ".join(one(k, dims) for k, dims in enumerate(TWICE))
 
@@ -551,6 +565,80 @@ def codebook_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.codebook_lines(_paired_codebook(spark, sf_dir), 4)
 
 
+#: whole designers, over few columns of all vectors: a dimension and a share of another, so that some columns have much in common
+FEW = ((9, 26, 0.0), (9, 26, 0.125), (43, 60, 0.0), (43, 60, 0.25), (60, 60, 0.0))
+FEW_TARGET = 0.02
+FEW_MOST = 7
+
+
+def _design_sql(equal: bool, correct: bool, tree: bool, words: bool) -> str:
+    """Allocation, clusters, search, and codewords or their counts."""
+    d = len(FEW)
+    long = f"WITH RECURSIVE l AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(CAST(embedding[f.dims[i][1]] AS DOUBLE) + CAST(embedding[f.dims[i][2]] AS DOUBLE) * f.share[i] AS FLOAT) AS x FROM embeddings, (SELECT {[[i + 1, j + 1] for i, j, _ in FEW]} AS dims, {[x for *_, x in FEW]}::DOUBLE[] AS share) f, range(1, {d + 1}) r(i)), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)"
+    ks = f"ks AS (SELECT dim, min(k) AS k FROM curve, n WHERE sse <= {FEW_TARGET} / {d} * n GROUP BY dim)"
+    if not equal:
+        bits = f"({TRUE_N}.0 * log2(k) + k * 32)"
+        ks = (
+            f"a1 AS (SELECT dim, k, lag(sse) OVER w - sse AS saved, (lag(sse) OVER w - sse) / ({bits} - lag({bits}) OVER w) AS eff FROM curve WINDOW w AS (PARTITION BY dim ORDER BY k)), "
+            "a2 AS (SELECT *, min(eff) OVER (PARTITION BY dim ORDER BY k ROWS UNBOUNDED PRECEDING) AS worth FROM a1 WHERE k > 1), "
+            "a3 AS (SELECT *, coalesce(sum(saved) OVER (ORDER BY worth DESC, dim DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a2), "
+            f"ks AS (SELECT dim, 1 + count(*) FILTER (WHERE total - before > {FEW_TARGET} * n) AS k FROM a3, (SELECT sum(sse) AS total FROM curve WHERE k = 1), n GROUP BY dim)"
+        )
+    every = " UNION ALL ".join(f"SELECT {k} AS k, dim, m, c FROM d{k}" for k in range(1, FEW_MOST + 1))
+    rest = "d.c + greatest(0.0, f.s2 - a.s2 - (f.s1 - a.s1) * (f.s1 - a.s1) / (f.n - a.n))"
+    search_ = f"{_turns_sql(d)}, ends AS (SELECT {_BETTER} AS parts FROM r, bl ORDER BY nr DESC LIMIT 1)" if tree else f"{_merging_sql(d)}, ends AS (SELECT parts FROM r ORDER BY step DESC LIMIT 1)"
+    members = f"list_filter(range(0, {d}), lambda i: (mask >> i) & 1 = 1)"
+    head = (
+        f"{_curve_sql(FEW_MOST, long)}, {ks}, every_d AS ({every}), "
+        # where each dimension's clusters end, the last first
+        f"ended AS (SELECT dim, k, m AS hi FROM ks JOIN last USING (dim) UNION ALL SELECT dim, k - 1, start FROM (SELECT g.dim, g.k, a.m AS start FROM ended g JOIN z f ON f.dim = g.dim AND f.m = g.hi JOIN every_d d ON d.dim = g.dim AND d.k = g.k - 1 AND d.m < g.hi JOIN z a ON a.dim = d.dim AND a.m = d.m WHERE g.k > 1 QUALIFY row_number() OVER (PARTITION BY g.dim ORDER BY {rest}, a.m) = 1)), "
+        "o AS (SELECT dim, x, row_number() OVER (PARTITION BY dim ORDER BY x) AS m FROM v), "
+        "code AS (SELECT o.dim, o.x, count(ended.hi) AS block FROM o LEFT JOIN ended ON ended.dim = o.dim AND ended.hi < o.m GROUP BY ALL), "
+        "w0 AS (SELECT vec_id, list(CAST(block AS INTEGER) ORDER BY dim) AS codes, list(x ORDER BY dim) AS xs FROM l JOIN code USING (dim, x) GROUP BY vec_id)"
+    )
+    head += f", {_costs_sql(d, correct).replace('FROM v, range', 'FROM w0, range')}, {search_}, "
+    head += f"subs AS (SELECT e.mask, {members} AS dims, CAST(least(pow(2, ceil(log2(clusters) - 1e-9)), blocks) AS INTEGER) AS num FROM ends, e WHERE list_contains(ends.parts, e.mask))"
+    names = "CAST(dims[1] AS INTEGER) AS subspace_id, list_aggregate(list_transform(dims, lambda i: CAST(i AS VARCHAR)), 'string_agg', ' ') AS dims"
+    if not words:
+        return f"{head} SELECT {names}, num AS num_codewords FROM subs"
+    return (
+        f"{head}, b0 AS (SELECT mask, dims, num, key, count(*) AS size, list(xs) AS own FROM (SELECT *, list_transform(dims, lambda i: codes[i + 1]) AS key FROM w0, subs) GROUP BY mask, dims, num, key), "
+        "b AS (SELECT mask, dims, num, key, size, list_transform(dims, lambda i: list_avg(list_transform(own, lambda x: CAST(x[i + 1] AS DOUBLE)))) AS means FROM b0), "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY size DESC, key) - 1 AS code_id FROM b) "
+        f"SELECT {names}, CAST(code_id AS INTEGER) AS code_id, size AS block_size, list_aggregate(list_transform(means, lambda x: printf('%.4f', CAST(CAST(x AS FLOAT) AS DOUBLE))), 'string_agg', ' ') AS codeword FROM k WHERE code_id < num"
+    )
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.element_at("embedding", i + 1).cast("double")
+    return V.read_parquet(spark, sf_dir).select("vec_id", F.array(*[(at(i) + at(j) * F.lit(x)).cast("float") for i, j, x in FEW]).alias("embedding"))
+
+
+def _listed(c: str) -> Column:
+    return F.concat_ws(" ", F.transform(c, lambda x: x.cast("string")))
+
+
+def _shown(codebook_: DataFrame) -> DataFrame:
+    word = F.concat_ws(" ", F.transform("codeword", lambda x: F.format_string("%.4f", x.cast("double"))))
+    return codebook_.select("subspace_id", _listed("dims").alias("dims"), "code_id", "block_size", word.alias("codeword"))
+
+
+@query(_design_sql(equal=True, correct=False, tree=False, words=False))
+def simplified_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipelines.recommend(_few(spark, sf_dir), Params(TRUE_N, FEW_TARGET)).summary
+    return found.select("subspace_id", _listed("dims").alias("dims"), "num_codewords")
+
+
+@query(_design_sql(equal=False, correct=True, tree=False, words=True))
+def hybrid_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(pipelines.fit_allpairs(_few(spark, sf_dir), Params(TRUE_N, FEW_TARGET, correct=True)).codebook)
+
+
+@query(_design_sql(equal=False, correct=False, tree=True, words=True))
+def tree_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(pipelines.fit_tree(_few(spark, sf_dir), Params(TRUE_N, FEW_TARGET, max_degree=-1)).codebook)
+
+
 @query()
 def simplified_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.recommend(V.read_parquet(spark, sf_dir), Params(TRUE_N, TARGET)).summary
