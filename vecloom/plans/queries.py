@@ -41,11 +41,11 @@ _PAIRS = f"{_CUT}, ps AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y, cou
 _BITS = f"({TRUE_N}.0 * log2({{k}}) + {{k}} * {{d}} * 32)"
 
 
-def _curve_sql(most: int, long: str = f"WITH {_LONG}") -> str:
-    """The dynamic program over distinct values, a step at a time."""
+def _curve_sql(most: int, long: str = f"WITH {_LONG}", points: str = "SELECT dim, x AS lo, n, n * x::DOUBLE AS s1, n * (x * x)::DOUBLE AS s2 FROM v") -> str:
+    """The dynamic program over distinct values, or other points, a step at a time."""
     out = [
         f"{long}, v AS (SELECT dim, x, count(*) AS n FROM l GROUP BY ALL)",
-        "p AS (SELECT dim, row_number() OVER w AS m, sum(n) OVER w AS n, sum(n * x::DOUBLE) OVER w AS s1, sum(n * (x * x)::DOUBLE) OVER w AS s2 FROM v WINDOW w AS (PARTITION BY dim ORDER BY x ROWS UNBOUNDED PRECEDING))",
+        f"p AS (SELECT dim, row_number() OVER w AS m, sum(n) OVER w AS n, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2 FROM ({points}) WINDOW w AS (PARTITION BY dim ORDER BY lo ROWS UNBOUNDED PRECEDING))",
         "z AS (SELECT dim, m, n, s1, s2 FROM p UNION ALL SELECT DISTINCT dim, 0, 0, 0.0, 0.0 FROM p)",
         "last AS (SELECT dim, max(m) AS m FROM p GROUP BY dim)",
         "d1 AS (SELECT dim, m, greatest(0.0, s2 - s1 * s1 / n) AS c FROM p)",
@@ -194,6 +194,36 @@ def kmeans_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans1d.penalised_counts(kmeans1d.points(V.read_parquet(spark, sf_dir)), 0.01)
 
 
+#: columns of lineitem that are read as vectors, and as codes
+LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_CODES = ("l_quantity", "l_discount * 100", "l_tax * 100", "l_linenumber", "l_extendedprice / 10000", "l_orderkey % 5")
+BINS = 512
+_LINE_LONG = f"WITH l AS (SELECT CAST(i - 1 AS INTEGER) AS dim, CAST(e[i] AS FLOAT) AS x FROM (SELECT [{', '.join(f'{c}::DOUBLE' for c in LINE)}] AS e FROM lineitem), range(1, {len(LINE) + 1}) r(i)), lh AS (SELECT dim, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high FROM l GROUP BY dim), bins AS (SELECT dim, min(x) AS lo, max(x) AS hi, count(*) AS n, sum(x::DOUBLE) AS s1, sum((x * x)::DOUBLE) AS s2 FROM l JOIN lh USING (dim) GROUP BY dim, CASE WHEN high > low THEN least(floor((x::DOUBLE - low) / (high - low) * {BINS}), {BINS - 1}) ELSE 0 END)"
+
+
+@query(
+    f"{_curve_sql(3, _LINE_LONG, 'SELECT * FROM bins')}, own AS (SELECT dim, sum(CASE WHEN lo < hi THEN greatest(0.0, s2 - s1 * s1 / n) ELSE 0.0 END) AS within FROM bins GROUP BY dim), one AS (SELECT dim, sse AS whole FROM curve WHERE k = 1) "
+    "SELECT dim, k, round(sse / whole, 8) AS share, round(CASE WHEN within > 0 THEN pow(greatest(0.0, sqrt(greatest(0.0, sse - within)) - sqrt(within)), 2) ELSE sse END / whole, 7) AS least FROM curve JOIN own USING (dim) JOIN one USING (dim)"
+)
+def binned_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error curves of lineitem's columns from bins, as shares of the whole error, and what the best clusterings have at least."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(0).alias("vec_id"), F.array(*[F.col(c).cast("double").cast("float") for c in LINE]).alias("embedding"))
+    curve = kmeans1d.curve_of(kmeans1d.binned_points(rows, BINS), 3)
+    whole = F.first_value("sse").over(Window.partitionBy("dim").orderBy("k"))
+    return curve.select("dim", "k", F.round(F.col("sse") / whole, 8).alias("share"), F.round(F.col("least") / whole, 7).alias("least"))
+
+
+@query(
+    f"WITH q AS (SELECT row_number() OVER () AS nr, [{', '.join(f'CAST(floor(round({c}, 6)) AS INTEGER)' for c in LINE_CODES)}] AS e FROM lineitem), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM q), d AS (SELECT nr, i - 1 AS dim, e[i] AS b FROM q, range(1, {len(LINE_CODES) + 1}) r(i)), "
+    "ps AS (SELECT a.dim AS i, c.dim AS j, a.b AS x, c.b AS y, count(*) AS c FROM d a JOIN d c ON a.nr = c.nr AND a.dim < c.dim GROUP BY ALL), h2 AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h FROM ps, n GROUP BY i, j), h1 AS (SELECT dim, -sum(c / n * log2(c / n)) AS h FROM (SELECT dim, b, count(*) AS c FROM d GROUP BY ALL), n GROUP BY dim) "
+    "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(2 * h2.h - a.h - c.h, 6) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j"
+)
+def line_vi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variation of Information between columns of lineitem, of which some have many blocks."""
+    code = [F.floor(F.round(F.expr(c).cast("double"), 6)).cast("int") for c in LINE_CODES]
+    return entropy_graph.all_pairs(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.array(*code).alias("codes"))).select("i", "j", r6("w").alias("w"))
+
+
 @query(
     f"{_curve_sql(6)}, s AS (SELECT dim, k, sse, lag(sse) OVER w - sse AS saved, (lag(sse) OVER w - sse) / ({TRUE_N}.0 * log2(k) + k * 32 - (lag({TRUE_N}.0 * log2(k) + k * 32) OVER w)) AS eff FROM curve WINDOW w AS (PARTITION BY dim ORDER BY k)), t AS (SELECT *, min(eff) OVER (PARTITION BY dim ORDER BY k ROWS UNBOUNDED PRECEDING) AS worth FROM s WHERE k > 1), u AS (SELECT *, coalesce(sum(saved) OVER (ORDER BY worth DESC, dim DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) SELECT dim, CAST(1 + count(*) FILTER (WHERE total - before > {TARGET} * n) AS INTEGER) AS k FROM u, (SELECT sum(sse) AS total FROM curve WHERE k = 1), (SELECT count(*) AS n FROM embeddings) GROUP BY dim"
 )
