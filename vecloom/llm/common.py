@@ -43,7 +43,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables written by table() that nothing will read any more."""
+    for t in tables:
+        remove(t.sparkSession, t.folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

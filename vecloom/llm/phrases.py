@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches, mix, small_batches, table, trim, utf8, word_spans
+from vecloom.llm.common import batches, checkpoint, drop, mix, small_batches, table, trim, utf8, word_spans
 
 BITS = 27
 #: bits of the bitmap of pairs of words that follow each other in a shard's phrases
@@ -347,7 +347,7 @@ def _sums(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """lang, k, phrase, f: exact counts of candidates and of their words; and lang, n: words of each language."""
+    """lang, k, phrase, f, w: exact counts of candidates and of their words, w as a list; and lang, n: words of each language."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
@@ -356,9 +356,10 @@ def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: in
     found = table(candidates(docs, words, sketch(docs, words, least, bits), bits, max(64, min(1 << 16, size >> 21))), "phrases")
     single = found.select("lang", F.lit(1).alias("k"), F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     every = table(found.unionByName(single).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    drop(found)
     shards = -(-every.count() // shard)
     if not shards:
-        none = every.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f"))
+        none = every.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f"), F.split("phrase", " ").alias("w"))
         return none, none.select("lang", F.col("f").alias("n"))
     parts = []
     for k in range(shards):
@@ -369,8 +370,10 @@ def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: in
         met = met.unionAll(p)
     met = table(met, "matches")
     total = met.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sums, "row long, f long")
-    exact = every.join(total, "row").select("lang", "k", "phrase", "f")
-    return exact, met.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    exact = table(every.join(total, "row").select("lang", "k", "phrase", "f", F.split("phrase", " ").alias("w")), "counts")
+    totals = checkpoint(met.where("block is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    drop(every, met)
+    return exact, totals
 
 
 def mine(docs: DataFrame, words: int = 3, least: int = 10, covered: int = 50, top: int = 2000, bits: int = BITS, shard: int = SHARD) -> DataFrame:
@@ -383,7 +386,6 @@ def mine(docs: DataFrame, words: int = 3, least: int = 10, covered: int = 50, to
     piece ends, so their length doesn't matter; a piece itself is held whole.
     """
     exact, totals = counted(docs, words, least, bits, shard)
-    exact = table(exact.withColumn("w", F.split("phrase", " ")), "counts")
     cands = exact.where((F.col("k") > 1) & (F.col("f") >= least))
     f = exact.select("lang", "phrase", "f")
     join = lambda a, n: F.array_join(F.slice("w", a, n), " ")
