@@ -139,7 +139,7 @@ def test_running_sums(spark):
     rows = [(int(g), int(o), k, int(v)) for k, (g, o, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500), rng.integers(0, 9, 500), strict=True))]
     df = spark.createDataFrame(rows, "g int, o int, k int, v long").repartition(7)
     for by in (None, "g"):
-        got = {r.k: r.before for r in ranges.running(df, [F.desc("o"), F.col("k").asc()], F.col("v"), "before", by).collect()}
+        got = {r.k: r.before for r in ranges.running(df, [F.desc("o"), F.col("k").asc()], {"before": F.col("v")}, by).collect()}
         total = {}
         for g, o, k, v in sorted(rows, key=lambda r: (-r[1], r[2])):
             assert got[k] == total.get(g if by else 0, 0)

@@ -27,11 +27,11 @@ BINS = 1 << 16
 
 
 def ranked(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, x, rank and running sums of x and x*x in value order (ties by vec_id)."""
-    order = Window.partitionBy("dim").orderBy("x", "vec_id")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """vec_id, dim, x, rank and running sums of x and x*x in value order (ties by vec_id), over ranges of each dimension."""
     x = F.col("x")
-    return components(vectors).select("vec_id", "dim", "x", F.row_number().over(order).alias("rank"), F.sum(x.cast("double")).over(run).alias("s1"), F.sum((x * x).cast("double")).over(run).alias("s2"))
+    sums = {"rank": F.lit(1), "s1": x.cast("double"), "s2": (x * x).cast("double")}
+    before = running(components(vectors), [x.asc(), F.col("vec_id").asc()], sums, "dim")
+    return before.select("vec_id", "dim", "x", *[(F.col(name) + c).cast("int" if name == "rank" else "double").alias(name) for name, c in sums.items()])
 
 
 def interval_sse(n: Column, s1: Column, s2: Column) -> Column:
@@ -315,7 +315,7 @@ def allocation(curves: DataFrame, budget: float, true_n: int) -> DataFrame:
     steps = curves.withColumn("bits", bits).withColumn("saved", F.lag("sse").over(by) - F.col("sse")).withColumn("extra", F.col("bits") - F.lag("bits").over(by)).where("k > 1")
     steps = steps.withColumn("worth", F.min(F.col("saved") / F.col("extra")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     total = curves.where("k = 1").agg(F.sum("sse").alias("total"))
-    steps = running(steps, [F.desc("worth"), F.desc("dim"), F.col("k").asc()], F.col("saved"), "before")
+    steps = running(steps, [F.desc("worth"), F.desc("dim"), F.col("k").asc()], {"before": F.col("saved")})
     taken = steps.crossJoin(F.broadcast(total)).where(F.col("total") - F.col("before") > budget).groupBy("dim").agg(F.count(F.lit(1)).alias("more"))
     return curves.where("k = 1").join(taken, "dim", "left").select("dim", (F.coalesce("more", F.lit(0)) + 1).cast("int").alias("k"))
 
