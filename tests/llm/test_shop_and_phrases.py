@@ -301,3 +301,76 @@ def test_pipeline_stages_of_odd_tables(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+# ------------------------------------------------------------------ 5
+
+
+def brute_languages(learned, texts):
+    """Codewords, weights and losses byte by byte: language, score and margins of each text."""
+    from vecloom.llm import language_id as L
+
+    mask = (1 << 32) - 1
+
+    def buckets(text):
+        raw = text.encode()
+        c = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+        for i, b in enumerate(c):
+            if b != 32:
+                before, after = c[i - 1] if i else 32, c[i + 1] if i + 1 < len(c) else 32
+                code = (before * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (after * 0xC2B2AE3D & mask)
+                yield ((code ^ (code >> 15)) * 0x2C1B3C6D & mask) >> 18
+
+    counts = {}
+    for text, lang in learned:
+        counts.setdefault(lang, Counter()).update(buckets(text))
+    langs = sorted(counts)
+    codes = L.codewords(len(langs)).tolist()
+    total = {x: sum(counts[x].values()) + L.SMOOTH * L.BUCKETS for x in langs}
+
+    def weight(bucket, bit):
+        share = {1: [], -1: []}
+        for x, code in zip(langs, codes, strict=True):
+            share[code[bit]].append((counts[x][bucket] + L.SMOOTH) / total[x])
+        return math.log(sum(share[1]) / len(share[1])) - math.log(sum(share[-1]) / len(share[-1]))
+
+    out = []
+    for text in texts:
+        own = list(buckets(text or ""))
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        margins = [sum(weight(b, bit) for b in own) / math.sqrt(max(1, len(own))) for bit in range(len(codes[0]))]
+        loss = [sum(math.log1p(math.exp(-c * max(-30, min(30, m)))) for c, m in zip(code, margins, strict=True)) / len(code) for code in codes]
+        odds = [math.exp(-2 * (x - min(loss))) for x in loss]
+        out.append((langs[loss.index(min(loss))], max(odds) / sum(odds)))
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 8])
+def test_language_id_agrees_with_decoding_by_hand(spark, n):
+    """Languages of shared letters, few rows and a text without any; held-out rows teach nothing."""
+    from vecloom.llm.language_id import identify
+
+    rng = random.Random(n)
+    kinds = {f"l{k}": ["".join(rng.choices("aeioubdgklmnrstéü", k=rng.randint(2, 6))) for _ in range(25)] for k in range(n)}
+    docs = [(i, " ".join(rng.choices(kinds[f"l{i % n}"], k=rng.randint(3, 20))), f"l{i % n}") for i in range(20 * n)]
+    docs += [(1000, None, "l0"), (1001, "12 - 3", None), (1002, "ÉÜ Éü", None), (1003, " ".join(kinds["l1"] * 40 + kinds["l2"] * 3), None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    want = brute_languages([(t, lang) for i, t, lang in docs if lang and t is not None and not held(i)], [t for _, t, _ in docs])
+    df = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in docs], "doc_id long, text string, lang string, score int")
+    got = {r.doc_id: r for r in identify(df).collect()}
+    for (i, _, _), (lang, score) in zip(docs, want, strict=True):
+        assert got[i].held_out == held(i) and got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4)
+
+
+def test_margins_of_long_texts_come_in_segments(monkeypatch):
+    from vecloom.llm import language_id as L
+
+    rng = np.random.default_rng(2)
+    model = L.Model(["a", "b", "c"], L.codewords(3), rng.normal(size=(L.BUCKETS, 3)).astype(np.float32), np.full((3, 3), 1 / 3))
+    texts = pa.array(["ab cdé " * 300, "", None, "x", "日本 語 abc" * 50])
+    whole = model.margins(texts)
+    for size in (7, 64, 1001):
+        monkeypatch.setattr(L, "SEGMENT", size)
+        assert np.allclose(model.margins(texts), whole)
