@@ -374,3 +374,21 @@ def test_margins_of_long_texts_come_in_segments(monkeypatch):
     for size in (7, 64, 1001):
         monkeypatch.setattr(L, "SEGMENT", size)
         assert np.allclose(model.margins(texts), whole)
+
+
+# ------------------------------------------------------------------ 9
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from vecloom.llm.bpe import Encoder, tokenizer_path
+
+    with pytest.raises(ValueError):
+        Encoder(tokenizer_path("byte_bpe_50k.json"))
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            Encoder(str(tmp_path / "t.json"))

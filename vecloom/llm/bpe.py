@@ -50,12 +50,28 @@ def newer_lower_case() -> dict[int, str]:
 
 
 class Encoder:
-    """For files of word-level BPE: lower case, white space dropped, an end-of-word suffix."""
+    """For files of word-level BPE: lower case, white space dropped, an end-of-word suffix; others are refused."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        normal = (spec["normalizer"] or {}).get("normalizers", [])
+        before = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = (
+            [(x["type"], x.get("pattern"), x.get("content")) for x in normal] == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and [x["type"] for x in before] == ["Split", "ByteLevel"]
+            and (before[0]["behavior"], before[0]["invert"]) == ("Removed", True)
+            and "Regex" in before[0]["pattern"]
+            and not before[1].get("add_prefix_space")
+            and not before[1].get("use_regex", True)
+            and spec["decoder"] is None
+            and model["type"] == "BPE"
+            and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+            and not any(t[x] for t in spec["added_tokens"] for x in ("lstrip", "rstrip", "single_word", "normalized"))
+        )
+        if not known:
+            raise ValueError("the file must be word-level BPE with lower case, an end-of-word suffix and no decoder")
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -239,7 +255,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a null text is empty.
 
     Every row counts, repeated or not.  An empty table gives an empty result.  Other columns are
-    ignored.  path: the tokenizer's file, at the same place on every executor.
+    ignored.  A task holds one text and its words at a time, some 20 times a text's size.  path: the tokenizer's file, at the same place on every executor.
     """
 
     small_batches(docs.sparkSession)

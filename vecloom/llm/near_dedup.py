@@ -325,7 +325,8 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     and the document with that id is kept.  Without words or text the set is empty and the document
     stands alone, as does a row without doc_id (component_id null); both are kept.  Rows that share a
     doc_id are one document: the set whose digest sorts first decides its links for all of them.
-    An empty table gives an empty result.  Other columns are ignored.  Signatures and distances follow
+    An empty table gives an empty result.  Other columns are ignored.  Texts are hashed in segments of
+    512 KB; a task holds the hashes of one text's words, however many.  Signatures and distances follow
     from percent, 80 at least.
     """
     if percent < 80:

@@ -379,8 +379,8 @@ def pack(docs: DataFrame, path: str, most: int = 2048) -> DataFrame:
 
     A document is its text's ids (null text: none) and an end, id 0; only documents of more than
     ``most`` ids are cut, the first piece being the shorter one.  Every row counts, repeated or not.
-    An empty table gives an empty result.  Other columns are ignored.  path: the tokenizer's file, at
-    the same place on every executor.
+    An empty table gives an empty result.  Other columns are ignored.  Long texts are encoded in parts of
+    4 MB.  path: the tokenizer's file, at the same place on every executor.
     """
     small_batches(docs.sparkSession)
     cut = table(pieces(docs, path, most), "pieces")

@@ -61,6 +61,7 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 128) -> DataFrame:
     fills its shard and then walks on clockwise.  Ranks within an arc are taken in ranges of hashes of
     about RANKED rows, so that such a doc_id doesn't end up in one task, and neither do equal rows,
     whose places among each other are counted per task of the scan.  An empty table gives an empty result.  Other columns are ignored.
+    Of a text only its length and its checksum are used, however long it is.
     """
     spark = docs.sparkSession
     points = ring(shards, replicas)

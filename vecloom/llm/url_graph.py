@@ -112,7 +112,7 @@ def judge(pages: DataFrame, rules: Rules, rounds: int = 16, ratio: int = 1) -> D
     the rules on the targets of its links.
 
     Null or malformed urls have an empty host and path, no rule, no edges and are allowed.  Null
-    html has no links.  Repeated pages are judged each, and add to no edge twice.  An empty table
+    html has no links, and html of any length is searched as a whole.  Repeated pages are judged each, and add to no edge twice.  An empty table
     gives an empty result.  Other columns are ignored.
     """
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.expr("html"))
