@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose perplexity under the model of trusted texts is above their language's quantile.
 
     Null texts are kept, as is everything if no text is trusted.  Repeated rows are judged each;
-    extra columns stay, whatever their names; an empty table stays empty.
+    extra columns stay, whatever their names; an empty table stays empty.  Texts of any length are read
+    whole, in parts.
     """
     return kneser_ney.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -32,7 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those that are surely of another language than they are said to be.
 
     Null and empty texts have no letter.  A null lang is no statement to hold a text against.  Repeated
-    rows are judged each; extra columns stay, whatever their names; an empty table stays empty.
+    rows are judged each; extra columns stay, whatever their names; an empty table stays empty.  Texts of
+    any length are read a segment at a time.
     """
     names = free_names(docs, "lang_pred", "score", "ambiguous")
     seen = language_id.predict(docs, language_id.fit(docs), names)
@@ -46,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row is a document of its own here, also if rows share a doc_id or have none.  Texts without
     words, null ones included, are near to nothing and stay.  Extra columns stay, whatever their names;
-    an empty table stays empty.
+    an empty table stays empty.  Texts of any length count whole: a task holds the hashes of one text's words.
     """
     full, row = numbered(docs, "numbered")
     found = near_dedup.classes(full.select(F.col(row).alias("doc_id"), "text"), LINKED).select(F.col("doc_id").alias(row), F.col("component_id").alias("class"))
@@ -56,7 +58,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences.
+
+    A null text is an end alone; repeated rows are packed each, also if they have no doc_id; extra
+    columns are left out; an empty table gives an empty result.  Long texts are encoded in parts.
+    """
     return packing.pack(docs, tokenizer_path(TOKENIZER))
 
 
