@@ -314,6 +314,9 @@ def test_contingency_of_sparse_and_weighted_codes(spark, monkeypatch):
     for s in sets:
         assert sorted(got[s]) == sorted(np.unique(codes[:, list(s)], axis=0, return_counts=True)[1].tolist())
     assert contingency.entropies(coded.where("n < 0"), [contingency.recipe((0,))], 1).count() == 0
+    for s, own in zip([(2, 0), (1,)], (codes[:, [2, 0]], codes[:, [1]]), strict=True):
+        kinds, n = np.unique(own, axis=0, return_counts=True)
+        assert {(tuple(r.key), r.n) for r in partition.joint_blocks(coded, s).collect()} == set(zip(map(tuple, kinds.tolist()), n.tolist(), strict=True))
 
 
 def test_decomposition_rules():

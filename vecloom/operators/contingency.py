@@ -176,6 +176,27 @@ def block_sizes(coded: DataFrame, recipes: Sequence[Recipe], wanted: Sequence[in
     return met.groupBy("set_id", "lo", "hi").agg(F.sum("n").alias("n"))
 
 
+def blocks(coded: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
+    """set_id, key, n: the blocks of each set of dimensions with their codes, in the order of the set."""
+    plan = [tuple(s) for s in sets]
+    many = F.col("n").cast("long") if "n" in coded.columns else F.lit(1).cast("long")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(rows):
+            for k, dims in enumerate(plan):
+                chunk.make(recipe(dims))
+                which, first = chunk.number(tuple(sorted(dims)))
+                keys = chunk.codes[np.ix_(first, dims)].astype(np.int32)
+                ends = pa.array(np.arange(0, keys.size + 1, len(dims), dtype=np.int32))
+                n = np.rint(np.bincount(which, chunk.weight)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array(n)], ["set_id", "key", "n"])
+                if len(dims) > 1:
+                    chunk.labels.pop(tuple(sorted(dims))), chunk.numbers.pop(tuple(sorted(dims)))
+
+    met = coded.select("codes", many.alias("n")).mapInArrow(run, "set_id int, key array<int>, n long")
+    return met.groupBy("set_id", "key").agg(F.sum("n").alias("n"))
+
+
 def entropies(coded: DataFrame, recipes: Sequence[Recipe], total: float, wanted: Sequence[int] | None = None) -> DataFrame:
     """set_id, h, blocks of the joint partition of each set."""
     sizes = block_sizes(coded, recipes, wanted)

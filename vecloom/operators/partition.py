@@ -39,10 +39,15 @@ def consistent(assigned: DataFrame, sizes: DataFrame, by: Sequence[str] = ()) ->
 
 
 def joint_blocks(coded: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """key, n: blocks of the joint partition of some dimensions, by one aggregation."""
-    if not dims:
+    """key, n: blocks of the joint partition of some dimensions."""
+    return joint_blocks_of(coded, [dims]).select("key", "n")
+
+
+def joint_blocks_of(coded: DataFrame, sets: Sequence[Sequence[int]]) -> DataFrame:
+    """set_id, key, n: blocks of the joint partition of each set of dimensions, from one scan."""
+    if not all(sets):
         raise ValueError("a joint partition needs dimensions")
-    return coded.groupBy(F.array(*[F.element_at("codes", i + 1) for i in dims]).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return contingency.blocks(coded, sets)
 
 
 def block_entropy(sizes: DataFrame) -> DataFrame:

@@ -273,10 +273,16 @@ def partition_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.consistent(kmeans1d.assignments(kmeans1d.codes(v, blocks)), blocks, ["dim"])
 
 
-@query(f"WITH {_CUT}, s AS (SELECT a.b AS x, c.b AS y, e.b AS z, count(*) AS n FROM q a JOIN q c USING (vec_id) JOIN q e USING (vec_id) WHERE a.dim = 5 AND c.dim = 30 AND e.dim = 63 GROUP BY ALL) SELECT x || '-' || y || '-' || z AS key, n FROM s")
+#: how far apart the dimensions of a subset are, in shares of all
+APART = 3
+
+
+@query(f"WITH {_CUT}, w AS (SELECT max(dim) + 1 AS d FROM q), s AS (SELECT a.dim AS i, a.b AS x, c.b AS y, e.b AS z, count(*) AS n FROM q a, w JOIN q c ON c.vec_id = a.vec_id AND c.dim = (a.dim + d // {APART}) % d JOIN q e ON e.vec_id = a.vec_id AND e.dim = (a.dim + 2 * (d // {APART})) % d GROUP BY ALL) SELECT CAST(i AS INTEGER) AS i, x || '-' || y || '-' || z AS key, n FROM s")
 def joint_subset_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, coded, _ = _setup(spark, sf_dir)
-    return partition.joint_blocks(coded, [5, 30, 63]).select(F.concat_ws("-", F.transform("key", lambda x: x.cast("string"))).alias("key"), "n")
+    """Of each dimension, the one a third of all further on, and the one two thirds further on."""
+    _, coded, d = _setup(spark, sf_dir)
+    found = partition.joint_blocks_of(coded, [tuple((i + k * (d // APART)) % d for k in range(APART)) for i in range(d)])
+    return found.select(F.col("set_id").alias("i"), F.concat_ws("-", F.transform("key", lambda x: x.cast("string"))).alias("key"), "n")
 
 
 @query(f"WITH {_PAIRS} SELECT i, j, round(2 * h2.h - a.h - c.h, 6) AS w FROM h2 JOIN h1 a ON a.dim = i JOIN h1 c ON c.dim = j")
