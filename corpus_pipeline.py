@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import kneser_ney, language_id, near_dedup, packing
 from vecloom.llm.bpe import tokenizer_path
-from vecloom.llm.common import columns_of, free_names, numbered, table
+from vecloom.llm.common import columns_of, drop, free_names, numbered, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SURE = 0.9
@@ -71,9 +71,11 @@ STAGES = [("quality", quality), ("language", language), ("near_duplicates", near
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)
+        drop(*before)  # the new table holds all that goes on
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
