@@ -359,7 +359,7 @@ def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: in
     drop(found)
     shards = -(-every.count() // shard)
     if not shards:
-        none = every.select("lang", "k", "phrase", F.lit(0).cast("long").alias("f"), F.split("phrase", " ").alias("w"))
+        none = every.select("lang", "k", "phrase", F.col("row").alias("f"), F.split("phrase", " ").alias("w"))  # no rows
         return none, none.select("lang", F.col("f").alias("n"))
     parts = []
     for k in range(shards):
