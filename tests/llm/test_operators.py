@@ -572,6 +572,40 @@ def test_plan_uses_every_length_once():
     assert (x >= 0).all() and (slope > -1e-6).all() and np.abs(slope[x > 0]).max() < 1e-6
 
 
+def test_patterns_fill_sequences_and_beat_best_fit():
+    """Most sequences come from the fit, those are full, and the whole plan needs no more than best fit alone."""
+    from vecloom.llm import packing
+
+    rng = np.random.default_rng(5)
+    for mean, n in ((400, 20_000), (900, 20_000), (700, 1_000)):
+        counts = np.bincount(np.clip(rng.gamma(2.0, mean / 2, n).astype(int), 1, 2048), minlength=2049)
+        whole = packing.by_patterns(counts, 2048)
+        alone = sum(times for _, times in packing.best_fit(counts, 2048))
+        full = sum(times for lengths, times in whole if sum(lengths) == 2048 and len(lengths) <= packing.DEEP)
+        assert sum(times for _, times in whole) <= alone
+        assert full >= 0.5 * sum(times for _, times in whole)
+    assert packing.plan(np.zeros(2049, np.int64), 2048) == []
+
+
+def test_drawn_lengths_are_those_most_often_there():
+    from itertools import product
+
+    from vecloom.llm.packing import drawn
+
+    rng = np.random.default_rng(6)
+    for kind in ((5, 2), (4, 2, 1), (2, 2, 2, 1), (7,)):
+        left = rng.integers(0, 9, 33) * (rng.random(33) < 0.7)
+        best = 0
+        for lengths in product(*(range(4 * c, 4 * c + 4) for c in kind)):
+            if sum(lengths) == 32:
+                best = max(best, min(left[n] // lengths.count(n) for n in lengths))
+        lengths, times = drawn(kind, left, 4, 32)
+        assert times <= best and (times > 0) == (best > 0)
+        if len(set(kind)) == len(kind):
+            assert times == best
+        assert not times or sum(lengths) == 32 and all(lengths.count(n) * times <= left[n] for n in lengths)
+
+
 def test_bpe_is_exact(spark):
     from vecloom.llm.bpe import Encoder, digests, encoded, tokenizer_path
 

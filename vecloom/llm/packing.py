@@ -1,10 +1,11 @@
 """Sequence packing: length patterns fitted to the histogram by non-negative least squares.
 
-Lengths are sorted into SLOTS classes.  All patterns of one to three classes that fill a sequence
-are columns of a least-squares problem whose rows are the classes; its non-negative solution says how
-often to use each pattern.  Counts are rounded down.  A pattern's first lengths are taken from its
-classes, the last is the best fit to what is left, and what still fits is added.  Lengths that
-patterns leave over are packed by best fit, longest first, each before shorter classes' patterns.
+Lengths are sorted into SLOTS classes.  Patterns are one to four classes whose lengths can fill a
+sequence exactly; they are columns of a least-squares problem whose rows are the classes, and its
+non-negative solution, rounded down, says how often to use each.  A pattern takes lengths of its
+classes that add up to the whole sequence, those first of which most are left.  What rounding and
+missing lengths leave over is fitted again while that places a good part of it.  The residual is
+packed by best fit, longest first; the shortest documents are kept for it, to fill its gaps.
 
 The driver plans with one count per length, whatever the input; documents find their place by their
 rank among those of their length.
@@ -13,7 +14,6 @@ rank among those of their length.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import os
 import re
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import _SPACE, batches, mix, small_batches, table, utf8, word_spans
 
-SLOTS = 128
+SLOTS, DEEP = 64, 4
 CACHE = 1 << 19
-#: shares of the fitted repeats that are tried; what a share leaves is packed as a residual
-SHARES = (1.0, 0.75, 0.5, 0.25, 1 / 8, 1 / 16, 1 / 64, 1 / 256)
+#: the shortest documents, up to this share of all tokens, aren't put into patterns
+RESERVE = 0.01
+#: a fit that places less than this share of what it asks for is the last one
+WORTH = 0.25
 #: wide spaces beside other white space or at the ends of a text: those texts aren't cut at white space
 _WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"[\t-\r ][{_WIDE}]|[{_WIDE}][\t-\r ]|\A[{_WIDE}]|[{_WIDE}]\z"
@@ -253,103 +255,117 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000)
     return x
 
 
-def patterns(present: np.ndarray, full: int) -> list[tuple[int, ...]]:
-    """Classes of one, two or three lengths that sum to ``full`` classes; largest first."""
-    on = set(np.flatnonzero(present).tolist())
-    out = [(full,)] if full in on else []
-    for a in sorted(on, reverse=True):
-        if full - a in on and full - a <= a:
-            out.append((a, full - a))
-        out += [(a, b, full - a - b) for b in sorted(on) if b <= a and 1 <= full - a - b <= b and full - a - b in on]
+def patterns(present: np.ndarray, step: int, most: int) -> list[tuple[int, ...]]:
+    """One to DEEP classes, largest first, some of whose lengths sum to ``most``; class c has step * c and up."""
+    on = np.flatnonzero(present).tolist()
+    there = set(on)
+    out: list[tuple[int, ...]] = []
+
+    def grow(head: tuple[int, ...], rest: int, more: int) -> None:
+        if more == 1:
+            if rest in there and (not head or rest <= head[-1]):
+                out.append((*head, rest))
+            return
+        for c in on:
+            if c > rest or (head and c > head[-1]):
+                break
+            if c * more >= rest:
+                grow((*head, c), rest - c, more - 1)
+
+    for n in range(1, DEEP + 1):
+        for total in range(most // step + 1):
+            above = most - step * total  # what the lengths must have beyond the beginnings of their classes
+            if 0 <= above <= n * (step - 1) and abs(above - n * (step - 1) / 2) <= 0.75 * step:
+                grow((), total, n)
     return out
 
 
-def fitted(counts: np.ndarray, most: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+def drawn(kind: tuple[int, ...], left: np.ndarray, step: int, most: int) -> tuple[list[int], int]:
+    """Lengths of the pattern's classes that sum to ``most``, of those that can be used most often; and how often."""
+    often, ways = np.array([np.iinfo(np.int64).max]), []  # by what the lengths so far have beyond their classes' beginnings
+    for i, c in enumerate(kind):
+        free = left[c * step : (c + 1) * step] // kind[: i + 1].count(c)  # a length may be drawn again
+        more = np.zeros(len(often) + step - 1, np.int64)
+        way = np.zeros(len(more), np.int64)
+        for j, n in enumerate(free.tolist()):
+            if n:
+                times, best = np.minimum(often, n), more[j : j + len(often)]
+                way[j : j + len(often)][times > best] = j
+                np.maximum(best, times, out=best)
+        often, ways = more, [*ways, way]
+    above = most - step * sum(kind)
+    times = int(often[above])
+    lengths = []
+    for c, way in zip(reversed(kind), reversed(ways), strict=True) if times else ():
+        lengths.append(c * step + int(way[above]))
+        above -= int(way[above])
+    return lengths, times
+
+
+def fitted(free: np.ndarray, step: int, most: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
     """Patterns of classes, and how often each is to be used."""
-    step = -(-most // SLOTS)
-    classes = np.bincount(-(-np.arange(most + 1) // step), counts)
-    kinds = patterns(classes > 0, most // step)
-    if not kinds:
-        return [], np.zeros(0)
+    classes = np.bincount(np.arange(most + 1) // step, free)
+    kinds = patterns(classes > 0, step, most)
     a = np.zeros((len(classes), len(kinds)))
     for j, kind in enumerate(kinds):
         for c in kind:
             a[c, j] += 1
-    return kinds, nonnegative_least_squares(a, classes)
+    weight = ((np.arange(len(classes)) + 0.5) / len(classes)) ** 2  # what is long is harder to place later
+    return kinds, nonnegative_least_squares(a * weight[:, None], classes * weight) if kinds else np.zeros(0)
 
 
 def plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) of sequences that hold exactly counts[length] documents of each length.
 
-    Of the shares of the fitted repeats, the one that needs the fewest sequences is taken.
+    Where so few lengths occur that hardly any add up to ``most``, best fit alone may need fewer
+    sequences than patterns and their residual; then it is taken.
     """
-    kinds, x = fitted(counts, most)
-    if not kinds:
-        return packed(counts, most, kinds, x.astype(np.int64))
-    tried = [packed(counts, most, kinds, np.floor(share * x + 1e-6).astype(np.int64)) for share in SHARES]
-    return min(tried, key=lambda p: sum(times for _, times in p))
+    return min(by_patterns(counts, most), best_fit(counts, most), key=lambda p: sum(times for _, times in p))
 
 
-def packed(counts: np.ndarray, most: int, kinds: list[tuple[int, ...]], repeats: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences by patterns as often as ``repeats`` says and lengths allow, and then by best fit."""
-    left = counts.copy()
+def by_patterns(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as the fits say, and the residual by best fit."""
+    step = -(-most // SLOTS)
+    tokens = np.cumsum(counts * np.arange(most + 1))
+    short = int(np.searchsorted(tokens, RESERVE * tokens[-1], "right"))
+    free = np.where(np.arange(most + 1) < short, 0, counts)
     out: list[tuple[tuple[int, ...], int]] = []
+    while True:
+        kinds, x = fitted(free, step, most)
+        placed = 0
+        for kind, asked in zip(kinds, np.floor(x + 1e-6).astype(np.int64).tolist(), strict=True):
+            while asked:
+                lengths, times = drawn(kind, free, step, most)
+                if not times:
+                    break
+                times = min(times, asked)
+                np.subtract.at(free, lengths, times)
+                out.append((tuple(lengths), times))
+                asked, placed = asked - times, placed + times
+        if not placed or placed < WORTH * x.sum():
+            break
+    return out + best_fit(np.where(np.arange(most + 1) < short, counts, free), most)
 
-    def fit(room: int, high: int) -> int:
-        """The largest length still there of at most ``room`` and ``high``, or 0."""
-        at = np.flatnonzero(left[1 : min(room, high) + 1])
-        return int(at[-1]) + 1 if len(at) else 0
 
-    def use(lengths: list[int], times: int) -> int:
-        """Takes as many such sequences as there are documents for, each filled up first."""
-        need: dict[int, int] = {}
-        room = most
-        for n in lengths:
-            need[n] = need.get(n, 0) + 1
-            room -= n
-        while room > 0:
-            while (n := fit(room, most)) and left[n] <= need.get(n, 0):
-                # all of this length are in it already: the next shorter one
-                shorter = fit(n - 1, most)
-                while shorter and left[shorter] <= need.get(shorter, 0):
-                    shorter = fit(shorter - 1, most)
-                n = shorter
-                break
-            if not n:
-                break
-            lengths.append(n)
-            need[n] = need.get(n, 0) + 1
-            room -= n
-        times = min([times, *(int(left[n]) // k for n, k in need.items())])
+def best_fit(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences that begin with the longest document left and take the longest that fits, again and again."""
+    left = counts.copy()
+    out: list[tuple[tuple[int, ...], int]] = []
+    while len(there := np.flatnonzero(left)):
+        lengths, room = [], most
+        while len(there := there[: np.searchsorted(there, room, "right")]):
+            n = int(there[-1])
+            if lengths.count(n) < left[n]:
+                lengths.append(n)
+                room -= n
+            else:
+                there = there[:-1]  # all of this length are in it already
+        need = {n: lengths.count(n) for n in lengths}
+        times = min(int(left[n]) // k for n, k in need.items())
         for n, k in need.items():
             left[n] -= k * times
         out.append((tuple(lengths), times))
-        return times
-
-    step = -(-most // SLOTS)
-    slot = -(-np.arange(most + 1) // step)
-    if kinds:
-        for c, own in itertools.groupby(zip(kinds, repeats.tolist(), strict=True), lambda x: x[0][0]):
-            # longer ones that the patterns leave over are packed before shorter classes use up what could join them
-            while (n := fit(most, most)) > c * step:
-                use([n], int(left[n]))
-            for kind, times in own:
-                while times > 0:
-                    lengths: list[int] = []
-                    for k in kind[:-1] or kind:
-                        n = fit(most, k * step)
-                        while n and left[n] <= lengths.count(n):
-                            n = fit(n - 1, k * step)
-                        if not n or slot[n] != k:
-                            break
-                        lengths.append(n)
-                    else:
-                        times -= use(lengths, times)
-                        continue
-                    break
-    while n := fit(most, most):
-        use([n], int(left[n]))
-    return [x for x in out if x[1]]
+    return out
 
 
 def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
