@@ -232,6 +232,30 @@ def test_nn_descent_keeps_lengths_apart(spark, tasks):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_descent_mends_poor_blocks(spark):
+    """Lists from three trees of small blocks hold few true neighbours; rounds of neighbours of neighbours find the rest."""
+    from vecloom.llm.nn_descent import _blocks, _pack, build
+
+    x = np.random.default_rng(8).standard_normal((3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa_table(x)).select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
+    nodes = df.mapInArrow(_pack, "node long, d int, unit binary").cache()
+    true = {i: set(np.argsort(-np.where(np.arange(3000) == i, -2, x @ x[i]))[:10].tolist()) for i in range(0, 3000, 30)}
+
+    def recall(lists):
+        return sum(r.other in true[r.node] for r in lists.where(F.col("node") % 30 == 0).select("node", "other").distinct().collect()) / 1000
+
+    graph = build(nodes, 20, trees=3, block=64)
+    assert recall(_blocks(nodes, 3, 64, 20, 3000)) < 0.3
+    assert recall(graph) > 0.9
+    assert graph.groupBy("node").count().where("count <> 20").count() == 0 and graph.where("node = other").count() == 0
+    nodes.unpersist()
+
+
+def test_search_from_poor_blocks(spark):
+    assert recall_at_5(spark, 3000, 20, degree=30, trees=3, block=64) >= 0.9
+
+
 def test_nn_descent_widens_until_recall_is_enough(spark):
     # lists and a width far too short, as fixed ones are for a larger table
     assert recall_at_5(spark, 3000, 20, degree=10, back=8, trees=1, width=48) >= 0.9
@@ -593,7 +617,7 @@ def test_drawn_lengths_are_those_most_often_there():
     from vecloom.llm.packing import drawn
 
     rng = np.random.default_rng(6)
-    for kind in ((5, 2), (4, 2, 1), (2, 2, 2, 1), (7,)):
+    for kind in ((5, 2), (4, 2, 1), (2, 2, 2, 1), (8,)):
         left = rng.integers(0, 9, 33) * (rng.random(33) < 0.7)
         best = 0
         for lengths in product(*(range(4 * c, 4 * c + 4) for c in kind)):

@@ -2,7 +2,8 @@
 
 Equal vectors are one node.  The first lists come from random-hyperplane blocks; then rounds of
 NN-descent join each node's neighbours with each other (neighbours of neighbours) and keep every
-node's best, until few entries change.  A query starts at its own node and at a few fixed entries,
+node's best, until few entries change.  Only pairs of which one has come in since the last round are
+looked at: the others were.  A query starts at its own node and at a few fixed entries,
 and expands the best nodes found that it hasn't expanded yet, until none of its best ``width`` is
 left.  Recall is then measured on a sample of queries against all vectors, and all searches go on
 with twice the width until it is high enough.  The graph is built from half-precision unit vectors;
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import checkpoint, table
+from vecloom.llm.common import checkpoint, drop, table
 
 ENTRIES = 16
 #: bytes of a join side, by its counted rows, up to which it is sent to all executors; beyond, both sides are shuffled
 SENT = 32 << 20
 LIST = "node long, other long, near float"
+#: entries of the graph, and whether they came in with the last round
+GRAPH = LIST + ", new boolean"
 #: queries whose true neighbours are looked up, and the recall that they must show, less two standard errors
 SAMPLE, RECALL = 512, 0.9
 
@@ -46,36 +49,36 @@ def _pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(d.astype(np.int32)), pa.array([unit[2 * i : 2 * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "d", "unit"])
 
 
-def _best(node: np.ndarray, other: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each node's k nearest different others."""
-    order = np.lexsort((other, node))
-    node, other, near = node[order], other[order], near[order]
-    if len(node):
-        new = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])
-        node, other, near = node[new], other[new], near[new]
-        order = np.lexsort((other, -near, node))
-        node, other, near = node[order], other[order], near[order]
-        first = np.concatenate([[True], node[1:] != node[:-1]])
-        at = np.arange(len(node))
-        keep = at - np.maximum.accumulate(np.where(first, at, 0)) < k
-        node, other, near = node[keep], other[keep], near[keep]
-    return node, other, near
+def _best(node: np.ndarray, other: np.ndarray, near: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each node's k nearest different others; what was there before isn't new if it is found again."""
+    if not len(node):
+        return node, other, near, new
+    order = np.lexsort((new, other, node))
+    node, other, near, new = node[order], other[order], near[order], new[order]
+    one = np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])])
+    node, other, near, new = node[one], other[one], near[one], new[one]
+    order = np.lexsort((other, -near, node))
+    node, other, near, new = node[order], other[order], near[order], new[order]
+    first = np.concatenate([[True], node[1:] != node[:-1]])
+    at = np.arange(len(node))
+    keep = at - np.maximum.accumulate(np.where(first, at, 0)) < k
+    return node[keep], other[keep], near[keep], new[keep]
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for b in rows:
-            got.append([b.column(i).to_numpy() for i in range(3)])
+            got.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             held += b.num_rows
             if held > 2_000_000:
                 got = [_best(*(np.concatenate(x) for x in zip(*got, strict=True)), k)]
                 held = len(got[0][0])
         if got:
-            node, other, near = _best(*(np.concatenate(x) for x in zip(*got, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(near.astype(np.float32))], ["node", "other", "near"])
+            node, other, near, new = _best(*(np.concatenate(x) for x in zip(*got, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(near.astype(np.float32)), pa.array(new)], ["node", "other", "near", "new"])
 
-    return lists.repartition("node").mapInArrow(merge, LIST)
+    return lists.repartition("node").mapInArrow(merge, GRAPH)
 
 
 def _blocks(nodes: DataFrame, trees: int, block: int, k: int, n: int) -> DataFrame:
@@ -116,26 +119,36 @@ def _blocks(nodes: DataFrame, trees: int, block: int, k: int, n: int) -> DataFra
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, k: int, back: int) -> DataFrame:
-    """Lists of one round: within each node's neighbourhood, pairs that beat the last of a list."""
-    reverse = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near")
+    """Lists of one round: within each node's neighbourhood, pairs that beat the last of a list.
+
+    Of two neighbours at least one is new, or is so to the other's list.  A node itself is among its
+    neighbours, so that it gets into the lists of those that it has.
+    """
+    reverse = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near", "new")
+    # of a node that is in many lists, the nearest that have it
     reverse = reverse.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))).where(F.col("r") <= back).drop("r")
     last = graph.groupBy("node").agg(F.min("near").alias("last"))
-    around = graph.unionByName(reverse).select("node", "other").union(nodes.select("node", F.col("node").alias("other"))).distinct()
+    both = graph.select("node", "other", "new").union(reverse.select("node", "other", "new")).union(nodes.select("node", F.col("node").alias("other"), F.lit(False)))
+    around = both.groupBy("node", "other").agg(F.max("new").alias("new"))
     known = nodes.join(last, "node", "left").select(F.col("node").alias("other"), "d", "unit", F.coalesce("last", F.lit(-2.0)).cast("float").alias("last"))
-    held = around.join(known, "other").select("node", "other", "d", "unit", "last")
+    held = around.join(around.where("new").select("node").distinct(), "node", "left_semi").join(known, "other").select("node", "other", "new", "d", "unit", "last")
 
     def found(t: pa.Table) -> pa.RecordBatch:
         """The better pairs of whole neighbourhoods, all of vectors of one length."""
-        node, ids, last = (t[c].to_numpy() for c in ("node", "other", "last"))
+        node, ids, last, new = (t[c].to_numpy() for c in ("node", "other", "last", "new"))
         x = _matrix(t["unit"], t["d"][0].as_py(), np.float16).astype(np.float32)
         out = []
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         for i, j in zip(starts, [*starts[1:], len(node)], strict=True):
-            s = x[i:j] @ x[i:j].T
-            np.fill_diagonal(s, -2)
-            r, c = np.nonzero(s > last[i:j, None])
-            out.append((ids[i + r], ids[i + c], s[r, c]))
-        a, o, s = _best(*(np.concatenate(v) for v in zip(*out, strict=True)), k)
+            fresh = i + np.flatnonzero(new[i:j])
+            s = x[fresh] @ x[i:j].T
+            s[np.arange(len(fresh)), fresh - i] = -2
+            r, c = np.nonzero(s > last[i:j])
+            out.append((ids[i + c], ids[fresh[r]], s[r, c]))
+            r, c = np.nonzero((s > last[fresh, None]) & ~new[i:j])  # two new ones meet as row and column already
+            out.append((ids[fresh[r]], ids[i + c], s[r, c]))
+        a, o, s = (np.concatenate(v) for v in zip(*out, strict=True))
+        a, o, s, _ = _best(a, o, s, np.ones(len(a), bool), k)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(o), pa.array(s.astype(np.float32))], ["node", "other", "near"])
 
     def joined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +179,20 @@ def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(nodes: DataFrame, k: int = 24, trees: int = 4, block: int = 2048, settled: float = 0.1, back: int = 16) -> DataFrame:
-    """The neighbour graph (node, other, near): k others of each node.  nodes: node, d, unit.
+    """The neighbour graph (node, other, near, new): k others of each node.  nodes: node, d, unit.
 
     Rounds go on until at most the share ``settled`` of the entries is new.
     """
     n = nodes.count()
-    graph = table(_merged(_blocks(nodes, trees, block, k, n), k), "graph")
+    fresh = F.lit(True).alias("new")
+    graph = table(_merged(_blocks(nodes, trees, block, k, n).select("*", fresh), k), "graph")
     while True:
-        last, graph = graph, table(_merged(graph.unionByName(_descend(graph, nodes, k, back)), k), "graph")
-        if graph.join(last, ["node", "other"], "left_anti").count() <= settled * graph.count():
+        last = graph
+        found = _descend(last, nodes, k, back).select("*", fresh)
+        graph = table(_merged(last.withColumn("new", F.lit(False)).unionByName(found), k), "graph")
+        drop(last)
+        came, all_of = graph.agg(F.count_if("new"), F.count(F.lit(1))).first()
+        if came <= settled * all_of:
             return graph
 
 
@@ -220,7 +238,7 @@ def _recall(seen: DataFrame, truth: DataFrame, of: int) -> float:
     return 1.0 if not len(share) else float(share.mean() - 2 * share.std() * np.sqrt(max(0, 1 - len(share) / of) / len(share)))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, back: int = 24, width: int = 96, expand: int = 16, trees: int = 4) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, back: int = 24, width: int = 96, expand: int = 16, trees: int = 4, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest others found, by cosine.
 
     Queries are the rows whose vec_id is divisible by ``every``; ties go to the smaller vec_id.
@@ -236,7 +254,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
     same = table(good.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1), "same")
     first = same.where("r = 1").select(F.col("vec_id").alias("node"), "embedding")
     nodes = table(first.mapInArrow(_pack, "node long, d int, unit binary"), "nodes")
-    graph = build(nodes, degree, trees, back=back)
+    graph = build(nodes, degree, trees, block, back=back)
     n = nodes.count()
     ways = table(graph.select("node", "other").union(graph.select("other", "node")).distinct(), "ways")
     asked = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -253,9 +271,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             q, x = b.column("q"), b.column("embedding")
-            at = q.offsets.to_numpy()
+            at = q.offsets.to_numpy() - q.offsets[0].as_py()
             a, c = q.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
-            s = np.array([cosine(a[i:j], c[i:j]) for i, j in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)])
+            s = np.zeros(b.num_rows)
+            if b.num_rows:
+                over = lambda y: np.add.reduceat(y, at[:-1])  # noqa: E731  sums of each row; no vector is empty
+                s = over(a * c) / np.sqrt(over(a * a) * over(c * c))
             yield pa.RecordBatch.from_arrays([b.column("home"), b.column("node"), pa.array(s, pa.float64())], ["home", "node", "score"])
 
     def scored(pairs: DataFrame, rows: int) -> DataFrame:
@@ -286,7 +307,3 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, degree: int = 40, ba
     members = same.select("vec_id", "embedding").join(first, "embedding").select("node", "vec_id")
     found = asked.select("query_id", "home").join(kept.select("home", "node", "score"), "home").join(members, "node").where("vec_id <> query_id")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b) / float(np.sqrt((a @ a) * (b @ b)))
