@@ -121,8 +121,8 @@ def _blocks(nodes: DataFrame, trees: int, block: int, k: int, n: int) -> DataFra
 def _descend(graph: DataFrame, nodes: DataFrame, k: int, back: int) -> DataFrame:
     """Lists of one round: within each node's neighbourhood, pairs that beat the last of a list.
 
-    Of two neighbours at least one is new, or is so to the other's list.  A node itself is among its
-    neighbours, so that it gets into the lists of those that it has.
+    Of two neighbours that meet at least one is new to the node.  A node itself is among its neighbours,
+    so that it gets into the lists of those that it has.
     """
     reverse = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near", "new")
     # of a node that is in many lists, the nearest that have it
