@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vecloom.functions import cost
 from vecloom.functions.cost import codewords_of, corrected_of
 from vecloom.operators import codebook, contingency, entropy_graph, kmeans1d, partition, ranges, search
 from vecloom.operators.decomposition import Decomposition
@@ -333,6 +334,17 @@ def test_correction_and_codewords():
     assert codewords_of(3.0000000000001, 100) == 8 and codewords_of(3.1, 10) == 10 and codewords_of(0.0, 1) == 1
 
 
+def test_correction_of_more_vectors_than_said(spark):
+    """The same number from columns and from plain numbers on either side of true_n, and a search to its end."""
+    for n in (1, 10, 99, 100, 101, 60_000):
+        column = spark.range(1).select(cost.corrected(F.lit(3.0), F.lit(8.0), n, 100)).first()[0]
+        assert corrected_of(3.0, 8.0, n, 100) == pytest.approx(column)
+    assert corrected_of(3.0, 8.0, 10_000, 100) == pytest.approx(9 / 8)
+    codes = rough(5, 60)
+    found = [search.merge_all_pairs(kind(coded_df(spark, codes), 40, correct=True)) for kind in (Counted, search.Evaluator)]
+    assert found[0][0] == found[1][0] and [c for *_, c in found[0][1]] == pytest.approx([c for *_, c in found[1][1]])
+
+
 def test_correction_uses_numbers_of_blocks(spark):
     """Blocks of 6/2/2 and 8/2 of ten vectors, extrapolated to 100: each dimension alone, and both."""
     codes = [(a, b) for a, b in zip([0] * 6 + [1] * 2 + [2] * 2, [0] * 8 + [1] * 2, strict=True)]
