@@ -90,6 +90,33 @@ def test_enrich_agrees_with_the_rules(spark, seed, split):
     assert key(got) == key(want) and {r[2] for r in want if r[0] == "sale"} >= set(range(1, 9)) and any(r[0] == "change" for r in want)
 
 
+@pytest.mark.parametrize("split", [30, 1000])
+@pytest.mark.parametrize("kind", ["microseconds", "years"])
+def test_enrich_of_close_and_of_far_times(spark, kind, split):
+    """Watermarks that move by less than a millisecond, and in years that nanoseconds don't reach."""
+    from vecloom.llm.sale_enrichment import enrich
+
+    rng = random.Random(len(kind))
+    sales, changes = [], []
+    for i in range(240):
+        k = i % 8
+        if kind == "microseconds":  # all batches of sales have the same millisecond for their largest time
+            base = START + dt.timedelta(days=2)
+            sold = base + dt.timedelta(microseconds=rng.choice([rng.randrange(40 * k + 1, 40 * k + 40), -43_200_000_000 + rng.randrange(400)]))
+            valid = base + dt.timedelta(hours=12 * rng.randrange(-1, 3), microseconds=rng.randrange(400))
+        else:
+            sold = dt.datetime(rng.choice([2, 900, 1000 + rng.randrange(100 * k + 1), 1000 + 100 * k, 1700]) if i % 3 or k > 6 else 1000 + 100 * k, 1, 1 + rng.randrange(28), rng.randrange(24))
+            sold = min(sold, dt.datetime(1000 + 100 * k, 2, 1) if k < 6 else dt.datetime(9990, 1, 1))
+            valid = dt.datetime(rng.choice([1000, 1300, 1600, 1800 + k, 2024, 9000]), 1, 1 + rng.randrange(28), rng.randrange(24))
+        sales.append((i, rng.choice([7, 7, 1, 2]), "open", 1.0, sold, START + dt.timedelta(days=19 * k + 1), 1, "r", "b"))
+        changes.append((i, rng.choice([7, 7, 1, 2]), i, "U", valid, "web", float(i)))
+    for k in range(8):  # later batches of changes too
+        changes.append((1000 + k, 1, 0, "U", START + dt.timedelta(days=19 * k + 1), "web", 1.5))
+    got = enrich(spark.createDataFrame(sales, SALES), spark.createDataFrame([(*c, "x") for c in changes], CHANGES), group=40, split=split).collect()
+    want = brute_enrich(sales, changes)
+    assert key(got) == key(want) and len({r[2] for r in want if r[0] == "sale"}) > 2
+
+
 def test_enrich_of_little(spark):
     """No rows at all; and sales without a single change: nothing is released before the end but what has no time."""
     from vecloom.llm.sale_enrichment import enrich
