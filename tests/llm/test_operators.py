@@ -417,6 +417,17 @@ def test_kneser_ney_agrees_with_counting(spark, monkeypatch, head, flush, meets)
     assert not next(r.quality_kept for r in got if r.doc_id == 900)
 
 
+def test_kneser_ney_counts_half_of_many(spark):
+    """Every second trusted text, also if a language has more than a few thousand; each is counted or sets the limits."""
+    from vecloom.llm import kneser_ney as module
+
+    docs = docs_df(spark, [(i, f"word{i % 7} again{i % 5}", "aa") for i in range(8000)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8000)], "doc_id long, quality int, toxic int")
+    model = module.fit(docs.select("doc_id", "lang", "text"), labels)
+    assert 3700 < model.counted.count() < 4300
+    assert model.values.agg(F.max("n")).first()[0] > 0
+
+
 def test_kneser_ney_of_little(spark):
     from vecloom.llm.kneser_ney import classify
 

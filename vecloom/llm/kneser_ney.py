@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import START, batches, bigrams, bloom, columns_of, mix, numbered, planes, small_batches, table, unplanes
@@ -37,15 +37,6 @@ ASKED = "shard int, slice int, keys binary, m binary, text binary, n binary, row
 ANSWER = "row long, doc_id long, lang string, value long, tokens long"
 
 
-@dataclass(frozen=True)
-class Sample:
-    """Bounds of what is counted: about so many trusted texts of each language, and half of ``total``
-    of all languages together, but no more than every second one.  All others set the thresholds."""
-
-    per_lang: int = 1500
-    total: int = 12000
-
-
 @dataclass(frozen=True)
 class Model:
     """values: key, value, n (times counted) of every n-gram; rows: how many; unknown: log p of an
@@ -87,28 +78,25 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def counted_ids(docs: DataFrame, good: DataFrame, sample: Sample) -> DataFrame:
-    """doc_id of the trusted texts to count, picked by a hash: of each language the share that makes about ``most``."""
-    ids = docs.where("text is not null").groupBy("doc_id").agg(F.min("lang").alias("lang")).join(good, "doc_id", "left_semi")
-    ids = table(ids, "trusted")
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    langs = max(1, sizes.count())
-    most = max(1, min(sample.per_lang, sample.total // (2 * langs)))
-    share = F.least(F.lit(0.5), F.lit(float(most)) / F.col("size"))
-    picked = ids.join(sizes.select(F.col("lang").alias("of"), "size"), F.col("lang").eqNullSafe(F.col("of")))
-    return picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id")
+def _half() -> Column:
+    """Whether a trusted text is counted: every second one by a hash, whatever their number; all others set the limits."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 29)
+
+
+def counted_ids(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """doc_id of the trusted texts to count."""
+    return docs.where(F.col("text").isNotNull() & _half()).select("doc_id").distinct().join(good, "doc_id", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """None if no trusted text was counted.  docs: doc_id, lang, text.
 
     Of rows that share a doc_id, the text that sorts first is counted.  Texts of any length are read whole.
     """
     small_batches(docs.sparkSession)
     good = table(trusted_ids(labels), "good")
-    counted = table(counted_ids(docs, good, sample), "sample")
-    # counted has about half of sample.total rows
-    texts = docs.join(F.broadcast(counted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    counted = table(counted_ids(docs, good), "counted")
+    texts = docs.where(F.col("text").isNotNull() & _half()).join(counted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     c2 = texts.select("text").mapInArrow(_counts, "h long, w long, key long, n long").groupBy("h", "w").agg(F.sum("n").alias("n"), F.first("key").alias("key"))
     c2 = table(c2, "bigrams")
     c1 = table(c2.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "continuations")  # after how many histories
@@ -297,7 +285,7 @@ def limits(held: DataFrame, quantile: float, prior: float) -> DataFrame:
     return table(means.join(found, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "limit", "mean", "docs"), "limits")
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), quantile: float = 0.998, prior: float = 16.0, few: int = 50) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: float = 16.0, few: int = 50) -> DataFrame:
     """row, doc_id, lang, perplexity, quality_score, quality_limit, quality_kept.  docs: row, doc_id, lang, text.
 
     perplexity is the text's own.  The score is that of its mean loss drawn towards the language's
@@ -307,10 +295,10 @@ def judge(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), quantil
     together.  A null text has no tokens and is kept (perplexity null), as is everything without a
     model; an empty text has the end alone.
     """
-    model = fit(docs, labels, sample)
+    model = fit(docs, labels)
     if model is not None:
         lost = losses(docs, model)
-        held = lost.where("tokens > 0").join(model.good, "doc_id", "left_semi").join(F.broadcast(model.counted), "doc_id", "left_anti").select("lang", "loss", "tokens")
+        held = lost.where("tokens > 0").join(model.good, "doc_id", "left_semi").join(model.counted, "doc_id", "left_anti").select("lang", "loss", "tokens")
         bounds = limits(table(held, "held"), quantile, prior)
         pooled = bounds.where("lang is null").first()
     if model is None or pooled is None:
@@ -326,22 +314,22 @@ def judge(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), quantil
     )
 
 
-def keep(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns, whatever their names.
 
     Texts of any length are read whole, in parts.
     """
     full, row = numbered(docs, "quality")
     own = full.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    bad = table(judge(own, labels, sample).where("not quality_kept").select(F.col("row").alias(row)), "rejected")
+    bad = table(judge(own, labels).where("not quality_kept").select(F.col("row").alias(row)), "rejected")
     return full.join(bad, row, "left_anti").select(*columns_of(docs))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, quality_score, quality_limit, quality_kept of every row (see judge).
 
     Repeated rows are judged each.  An empty table gives an empty result.  Other columns are ignored.
     Texts of any length are read whole; beyond a text itself, memory doesn't grow with its length.
     """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")  # numbers are read in one pass alone
-    return judge(own, labels, sample).drop("row")
+    return judge(own, labels).drop("row")
