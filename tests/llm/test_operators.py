@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -428,6 +430,38 @@ def test_kneser_ney_counts_half_of_many(spark):
     assert model.values.agg(F.max("n")).first()[0] > 0
 
 
+def test_tables_leave_nothing_shuffled(spark):
+    from vecloom.llm.common import table
+
+    def left():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = left()
+    table(spark.range(10000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    until = time.time() + 10
+    while left() - before and time.time() < until:  # files are deleted in the background
+        time.sleep(0.1)
+    assert not left() - before
+
+
+def test_kneser_ney_keeps_no_steps(spark):
+    """Of a model only its values stay on disk, and none of them once texts are judged."""
+    from vecloom.llm import kneser_ney as module
+    from vecloom.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    kinds = lambda: Counter(p.name.split("-")[0] for p in folder.iterdir())
+    docs = docs_df(spark, [(i, t, "aa") for i, t in enumerate(prose(80))])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    before = kinds()
+    module.fit(docs.select("doc_id", "lang", "text"), labels)
+    assert set(kinds() - before) == {"good", "counted", "values"}
+    before = kinds()
+    assert module.classify(docs, labels).count() == 80
+    assert set(kinds() - before) == {"good", "counted", "losses", "held", "means", "limits"}
+
+
 def test_kneser_ney_of_little(spark):
     from vecloom.llm.kneser_ney import classify
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import START, batches, bigrams, bloom, columns_of, mix, numbered, planes, small_batches, table, unplanes
+from vecloom.llm.common import START, batches, bigrams, bloom, columns_of, drop, mix, numbered, planes, small_batches, table, unplanes
 
 UNIT = 1 << 24
 #: n-grams that are sent to all executors (16 MB)
@@ -62,7 +62,13 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, int)
             n = np.diff(np.concatenate([new, [len(h)]]))
             h, w = h[new], w[new]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(pair(h, w).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "w", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "w", "n"])
+
+
+def _keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows:
+        key = pair(b.column("h").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(key.view(np.int64)), b.column("n"), b.column("after")], ["h", "key", "n", "after"])
 
 
 def _discounts(table_: DataFrame, column: str) -> tuple[float, float, float]:
@@ -97,8 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     good = table(trusted_ids(labels), "good")
     counted = table(counted_ids(docs, good), "counted")
     texts = docs.where(F.col("text").isNotNull() & _half()).join(counted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    c2 = texts.select("text").mapInArrow(_counts, "h long, w long, key long, n long").groupBy("h", "w").agg(F.sum("n").alias("n"), F.first("key").alias("key"))
-    c2 = table(c2, "bigrams")
+    c2 = table(texts.select("text").mapInArrow(_counts, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "bigrams")
     c1 = table(c2.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "continuations")  # after how many histories
     pairs, words = c2.count(), c1.count()
     if not pairs:
@@ -110,14 +115,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     spared = c1.agg(F.sum(cut("n", e))).first()[0] / pairs
     lowest = spared / (words + 1)  # the rest of the mass is spread evenly, one share for all unknown words
-    p1 = c1.select("w", ((F.col("n") - cut("n", e)) / pairs + lowest).alias("low"))
+    low = lambda n: (F.col(n) - cut(n, e)) / pairs + lowest
     left = c2.groupBy("h").agg(F.sum("n").alias("of"), F.sum(cut("n", d)).alias("spare")).select("h", "of", (F.col("spare") / F.col("of")).alias("gamma"))
+    left = table(left, "histories")
+    # one join at a time, and each table dropped once the next is written: disk holds the pairs three times at most
+    half = c2.join(c1.withColumnRenamed("n", "after"), "w").select("h", "w", "n", "after").mapInArrow(_keyed, "h long, key long, n long, after long")
+    half = table(half, "words")
+    drop(c2)
     unit = lambda log: F.round(log * UNIT).cast("long").alias("value")
-    backed = F.col("gamma") * F.col("low")
-    two = c2.join(left, "h").join(p1, "w").select("key", unit(F.log(((F.col("n") - cut("n", d)) / F.col("of") + backed) / backed)), "n")
-    one = p1.withColumnRenamed("w", "key").join(left.select(F.col("h").alias("key"), "gamma", "of"), "key", "full")  # the start is no word, the end no history
+    backed = F.col("gamma") * low("after")
+    two = half.join(left, "h").select("key", unit(F.log(((F.col("n") - cut("n", d)) / F.col("of") + backed) / backed)), "n")
+    one = c1.select(F.col("w").alias("key"), low("n").alias("low")).join(left.select(F.col("h").alias("key"), "gamma", "of"), "key", "full")  # the start is no word, the end no history
     one = one.select("key", unit(F.log(F.coalesce(F.col("low") / lowest, F.lit(1.0)) * F.coalesce("gamma", F.lit(1.0)))), F.coalesce("of", F.lit(1 << 40)).alias("n"))
     values = table(two.unionByName(one), "values")
+    drop(half, left, c1)
     return Model(values, values.count(), float(np.log(lowest)), good, counted)
 
 
@@ -298,6 +309,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, prior: fl
     model = fit(docs, labels)
     if model is not None:
         lost = losses(docs, model)
+        drop(model.values)
         held = lost.where("tokens > 0").join(model.good, "doc_id", "left_semi").join(model.counted, "doc_id", "left_anti").select("lang", "loss", "tokens")
         bounds = limits(table(held, "held"), quantile, prior)
         pooled = bounds.where("lang is null").first()
