@@ -462,6 +462,20 @@ def test_kneser_ney_keeps_no_steps(spark):
     assert set(kinds() - before) == {"good", "counted", "losses", "held", "means", "limits"}
 
 
+def test_kneser_ney_in_parts(spark, monkeypatch):
+    """Texts are looked up in parts, each once, with the same results."""
+    from vecloom.llm import kneser_ney as module
+
+    docs = docs_df(spark, [(i % 90, t, ["aa", None][i % 2]) for i, t in enumerate([*prose(100), *ODD, "twice", "twice"])])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    digits = [F.round(c, 9) for c in ("perplexity", "quality_score", "quality_limit")]  # the mean's last digit depends on the order of its sum
+    judged = lambda: sorted(map(str, module.classify(docs, labels).select("doc_id", "lang", *digits, "quality_kept").collect()))
+    whole, packets, asked = judged(), [], module._asked
+    monkeypatch.setattr(module, "PART", 1000)
+    monkeypatch.setattr(module, "_asked", lambda *x: packets.append(x) or asked(*x))
+    assert judged() == whole and len(packets) == 4
+
+
 def test_kneser_ney_of_little(spark):
     from vecloom.llm.kneser_ney import classify
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ UNIT = 1 << 24
 HEAD = 1 << 20
 #: n-grams that are packed together; n-grams of a shard; bytes of text that meet one copy of a shard
 FLUSH, SHARD, MEETS = 1 << 20, 1 << 19, 64 << 20
+#: texts are looked up in up to PARTS parts of this many bytes or more, one after the other: disk holds the n-grams of one part
+PARTS, PART = 4, 64 << 20
 ASKED = "shard int, slice int, keys binary, m binary, text binary, n binary, rows binary, row long, doc_id long, lang string, value long, tokens long"
 ANSWER = "row long, doc_id long, lang string, value long, tokens long"
 
@@ -225,9 +228,37 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(33)) * np.uint64(shards)) >> np.uint64(31)
 
 
+def _packed(shards: int):  # noqa: ANN202
+    """The values of one task: a row for each shard, keys in order and as differences."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            cuts = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            keys = [planes(np.diff(key[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)), 8) for s in some]
+            found = [planes(value[cuts[s] : cuts[s + 1]].view(np.uint64), 8) for s in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["shard", "keys", "values"])
+
+        for b in rows:
+            held.append((b.column("key").to_numpy().view(np.uint64), b.column("value").to_numpy()))
+            if sum(len(k) for k, _ in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
 def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
     """Sums per text of one shard, and the texts' own rows."""
-    key, value = values["key"].to_numpy().astype(np.int64).view(np.uint64), values["value"].to_numpy().astype(np.float64)
+    key = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unplanes(x, 8), dtype=np.uint64) for x in values["keys"].to_pylist())])
+    value = np.concatenate([np.zeros(0), *(unplanes(x, 8).view(np.int64).astype(np.float64) for x in values["values"].to_pylist())])
     order = np.argsort(key)
     key, value = key[order], value[order]
     own = asked.filter(asked["row"].is_valid())
@@ -255,14 +286,18 @@ def losses(docs: DataFrame, model: Model) -> DataFrame:
     shards = max(8, -(-model.rows // SHARD))
     slices = max(1, -(-size // (shards * MEETS)))  # copies of the table take a bounded share of the input
     sent = spark.sparkContext.broadcast((bloom(model.values, "key", mixed=True), *_head(model)))  # 32 MB at most
-    asked = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_asked(shards, slices, sent), ASKED)
-    shard = F.shiftright(F.shiftrightunsigned("key", 33) * shards, 31).cast("int")
-    values = model.values.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "key", "value")
-    answers = asked.groupBy("shard", "slice").cogroup(values.groupBy("shard", "slice")).applyInArrow(_answered, ANSWER)
-    found = answers.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
-    found = table(found.select("row", "doc_id", "lang", (-F.col("value") / UNIT - F.col("tokens") * model.unknown).alias("loss"), "tokens"), "losses")
+    values = model.values.select("key", "value").mapInArrow(_packed(shards), "shard int, keys binary, values binary")
+    values = values.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    parts, found = min(PARTS, 1 + size // PART), []
+    for k in range(parts):
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == k)
+        asked = own.mapInArrow(_asked(shards, slices, sent), ASKED)
+        answers = asked.groupBy("shard", "slice").cogroup(values.groupBy("shard", "slice")).applyInArrow(_answered, ANSWER)
+        sums = answers.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
+        found.append(table(sums.select("row", "doc_id", "lang", (-F.col("value") / UNIT - F.col("tokens") * model.unknown).alias("loss"), "tokens"), "losses"))
     sent.destroy()
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def quantiles(rated: DataFrame, quantile: float) -> DataFrame:
