@@ -532,6 +532,18 @@ def near_rows():
     return rows
 
 
+def test_near_dedup_drops_spent_tables(spark):
+    from vecloom.llm import near_dedup
+    from vecloom.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    kinds = lambda: Counter(p.name.split("-")[0] for p in folder.iterdir())
+    before, text = kinds(), prose(1, words=90)[0] + " a b c d e f g"
+    got = near_dedup.classes(docs_df(spark, [(1, text, "aa"), (2, text, "aa"), (3, "of its own", "aa")])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    assert not {"members", "lists"} & set(kinds() - before)
+
+
 def test_near_dedup(spark, monkeypatch):
     from vecloom.llm import near_dedup
 
