@@ -320,6 +320,57 @@ def test_contingency_of_sparse_and_weighted_codes(spark, monkeypatch):
         assert {(tuple(r.key), r.n) for r in partition.joint_blocks(coded, s).collect()} == set(zip(map(tuple, kinds.tolist()), n.tolist(), strict=True))
 
 
+def crowded(kind):
+    """3000 rows of twelve codes: all of few values, half in one block of most dimensions, or also large and negative codes."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 3, (3000, 12))
+    if kind == "hot":
+        codes[::2, :9] = 1
+    if kind == "odd":
+        codes[:, 3] = rng.integers(-2, 3, 3000)
+        codes[:, 7] = rng.integers(0, 2, 3000) * 70000
+    return np.concatenate([codes, codes[:40]])
+
+
+@pytest.mark.parametrize("kind", ["even", "hot", "odd"])
+@pytest.mark.parametrize("cells", [12 * 40, 12 * 700, 1 << 21])
+def test_wide_sets_are_counted_by_cores(spark, monkeypatch, kind, cells):
+    """Blocks that lie within a range, go on in another or fill several: sizes are those of counting."""
+    monkeypatch.setattr(contingency, "CELLS", cells)
+    monkeypatch.setattr(contingency, "CORE", 16)
+    codes = crowded(kind)
+    coded = coded_df(spark, codes).groupBy("codes").agg(F.count(F.lit(1)).alias("n"))
+    bits = search.Evaluator(coded_df(spark, codes), 5000)
+    shape = contingency.Shape(coded.count(), int(codes.min()), int(codes.max()), tuple(bits.entropy((i,)) for i in range(12)))
+    sets = [tuple(range(k)) for k in range(6, 13)] + [tuple(range(k, 12)) for k in range(1, 5)] + [(0, 2, 4, 5, 6, 8, 9, 11)]
+    plan = [contingency.recipe(s) for s in sets] + [contingency.Recipe(tuple(range(2, 12)), (tuple(range(12)),), ((0, 1),))]
+    plan.insert(0, contingency.recipe((0, 1)))
+    wanted = list(range(1, len(plan)))
+    cores = shape.cores([plan[k].dims for k in wanted])
+    assert sorted(k for _, of in cores for k in of) == list(range(len(wanted))) and 1 < len(cores) < len(wanted)
+    assert all(set(core) <= set(plan[wanted[k]].dims) for core, of in cores for k in of)
+    got = {k: {} for k in wanted}
+    rows = contingency.core_sizes(coded, plan, wanted, shape).collect()
+    for r in rows:
+        got[r.set_id][r.n] = got[r.set_id].get(r.n, 0) + r.many
+    for k in wanted:
+        _, n = np.unique(codes[:, list(plan[k].dims)], axis=0, return_counts=True)
+        assert got[k] == dict(zip(*map(np.ndarray.tolist, np.unique(n, return_counts=True)), strict=True))
+
+
+def test_search_hands_on_no_row_for_each_vector_and_set(spark, monkeypatch):
+    """In a table of more than a chunk, sets of many blocks don't go through a shuffle of their blocks."""
+    monkeypatch.setattr(contingency, "CELLS", 12 * 700)
+    asked, plain = [], contingency.block_sizes
+    monkeypatch.setattr(contingency, "block_sizes", lambda coded, recipes, wanted=None: asked.extend(recipes[k].dims for k in (range(len(recipes)) if wanted is None else wanted)) or plain(coded, recipes, wanted))
+    coded = coded_df(spark, crowded("even"))
+    around = [[j for j in (i - 1, i + 1) if 0 <= j < 12] for i in range(12)]
+    trees = [search.search_tree(kind(coded, 5000), around, entropy_graph.edge_list(around)) for kind in (Counted, search.Evaluator)]
+    assert trees[0][0] == trees[1][0] and [x[:3] for x in trees[0][1]] == [x[:3] for x in trees[1][1]]
+    assert [c for *_, c in trees[0][1]] == pytest.approx([c for *_, c in trees[1][1]])
+    assert asked and max(map(len, asked)) < 6
+
+
 def test_decomposition_rules():
     d = Decomposition.singletons(5)
     assert d.merge(4, 2) == 2 and d.dims(2) == [2, 4] and d.together(2, 4)
