@@ -200,6 +200,14 @@ def test_allocation_goldens(repeat, target, ks):
     assert [got[i] for i in range(10)] == ks
 
 
+@pytest.mark.parametrize(("budgets", "target", "drawn"), [(pipelines.shared_budget, 21, [4]), (pipelines.shared_budget, 1e-6, [4, 8, 16]), (pipelines.equal_budgets, 21, [4]), (pipelines.equal_budgets, 1e-6, [4, 8, 16])])
+def test_curves_are_as_long_as_they_are_needed(repeat, monkeypatch, budgets, target, drawn):
+    lengths, plain = [], kmeans1d.curve_of
+    monkeypatch.setattr(kmeans1d, "curve_of", lambda found, most: lengths.append(most) or plain(found, most))
+    ks = budgets(repeat, Params(40000, target))
+    assert lengths == drawn and set(ks.values()) == {2 if target == 21 else 10}
+
+
 @pytest.mark.parametrize("fit", [pipelines.fit_allpairs, pipelines.fit_tree])
 def test_codebook_goldens(repeat, fit):
     m = fit(repeat, Params(40000, 30))
