@@ -258,6 +258,42 @@ def test_search_from_poor_blocks(spark):
     assert recall_at_5(spark, 3000, 20, degree=30, trees=3, block=64) >= 0.9
 
 
+def test_descent_and_search_shuffle_buckets(spark):
+    """What is shuffled has a row for two buckets, however many entries and pairs go from one to the other."""
+    from vecloom.llm import nn_descent as m
+
+    x = np.random.default_rng(5).standard_normal((1500, 8)).astype(np.float32)
+    first = spark.createDataFrame(pa_table(x)).select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(8).alias("d")).cache()
+    nodes = first.mapInArrow(m._pack, "node long, d int, unit binary").cache()
+    vectors = m._vectors(nodes, "unit", np.float16, 3)
+    lists = m.table(m._merged(m._first_lists(nodes, 2, 64, 6, 1500, 3), 6), "lists")
+    found = m._descend(lists, vectors, 6, 8, 3)
+    assert lists.count() == vectors.count() == 3 and found.count() == 9 and m._rows(found).count() > 1500
+    # pairs of the round are those that plain loops find
+    near = {(r.node, r.other): r.near for r in m._rows(lists).collect()}
+    last, around = {}, {i: {i} for i in range(1500)}
+    for (a, b), s in near.items():
+        last[a] = min(s, last.get(a, 2))
+        around[a].add(b)
+        back = sorted((-s, c) for (c, o), s in near.items() if o == a) if len(around[a]) == 2 else []
+        around[a] |= {c for _, c in back[:8]}
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16).astype(np.float32)
+    want = set()
+    for group in around.values():
+        want |= {(a, b) for a in group for b in group if a != b and unit[a] @ unit[b] > last[a] + 1e-6}
+    got = {(r.node, r.other) for r in m._rows(found).collect()}
+    best = {a: sorted((-(unit[a] @ unit[b]), b) for c, b in want if c == a)[:6] for a in range(0, 1500, 25)}
+    assert {(a, b) for a, bs in best.items() for _, b in bs} <= got
+    homes = first.where("node % 10 = 0").select(F.col("node").alias("home"), F.col("embedding").alias("q"))
+    states, reached = m._begin(homes, [(1, 8), (2, 8), (3, 5)], 2)
+    scored = m._scored(states, reached, m._vectors(first, "embedding", np.float64, 3), 3)
+    seen = m._top(m._turn(states, scored, 96, 16, 3).where("source = -1").drop("source"), 9).collect()
+    assert states.count() == 2 and scored.count() <= 12 and len(seen) == 3 * 150
+    y = x.astype(np.float64)
+    assert all(abs(r.score - y[r.home] @ y[r.node] / np.sqrt(y[r.home] @ y[r.home] * (y[r.node] @ y[r.node]))) < 1e-12 for r in seen)
+    first.unpersist(), nodes.unpersist()
+
+
 def test_nn_descent_widens_until_recall_is_enough(spark):
     # lists and a width far too short, as fixed ones are for a larger table
     assert recall_at_5(spark, 3000, 20, degree=10, back=8, trees=1, width=48) >= 0.9
