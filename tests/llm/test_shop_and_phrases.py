@@ -278,6 +278,32 @@ def test_collocations(spark, words, least, shard, bits):
     assert sorted(map(tuple, got)) == sorted(brute_phrases(docs, words, least, 50, 25))
 
 
+def test_phrases_are_counted_in_two_readings(spark):
+    """Texts are not read again for each further automaton of candidates."""
+    from vecloom.llm.phrases import mine
+
+    docs = [(" ".join(f"w{i * j % 60}" for j in range(1, 40)) + ".", "en") for i in range(40)] * 2
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    jobs, rows = [], []
+    for shard in (1 << 21, 25):
+        spark.sparkContext.setJobGroup(f"phrases {shard}", "")
+        rows.append(sorted(map(tuple, mine(df, 3, 2, 50, 10**6, shard=shard).collect())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases {shard}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rows[0]) > 500 and rows[0] == rows[1]
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("bits", [20, 62])
+def test_cells_are_sorted(bits):
+    from vecloom.llm.phrases import _sorted
+
+    cell = np.random.default_rng(bits).integers(0, 1 << 12, 5000).astype(np.uint64) << np.uint64(bits - 12)
+    order, first = _sorted(cell, bits)
+    assert sorted(order.tolist()) == list(range(5000)) and np.array_equal(cell[order], np.sort(cell))
+    assert np.array_equal(cell[order][first], np.unique(cell))
+
+
 def test_collocations_of_nothing(spark):
     from vecloom.llm.phrases import mine
 

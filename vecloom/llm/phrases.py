@@ -1,18 +1,16 @@
 """Collocations: phrases of two and more words that occur together more often than their parts would.
 
-1. A sketch of all phrases: each phrase falls into one cell of each of two tables of counts by its
-   hash, so the smaller of the cells' counts is an upper bound of its own.  Tasks send the cells they
-   met, Spark adds them up by blocks, and what goes on is one bit a cell: whether the bound reaches
-   the least count.  A table has 2**27 cells at most (16 MB of bits); fuller ones let more candidates
-   through, and change no result.
-2. Candidates are the distinct phrases whose cell, and those of the phrases in them, reach it, and
-   their words.
-3. Candidates are dealt to shards of about SHARD by hash.  The phrases of a shard become an
+1. Texts are gathered in chunks of about CHUNK bytes, written once.  A sketch of all phrases: each
+   falls into a cell by its hash, so the cell's count is an upper bound of its own.  Chunks send the
+   cells they met to blocks of cells, which add them up and send one bit a cell back to each chunk
+   that met it: whether the bound reaches the least count.  There are about two cells for each byte of
+   text that could begin a phrase, so that few phrases share one, and nobody holds all of them.
+2. A chunk's candidates are its phrases whose cell, and those of the phrases in them, reach it.
+3. Candidates that a chunk holds once by their hash are counted thereby.  The others become an
    Aho-Corasick automaton (pyahocorasick) over words written as three letters of three separate
-   alphabets, so no match can begin or end within a word; a delimiter stands wherever no phrase of the
-   shard can go on: at ends of pieces, at words that it doesn't have, and between words that don't
-   follow each other in any (a bitmap of pairs, for most).  Every shard's automaton scans all texts,
-   counting overlapping matches; single words are counted as they are looked up.  Counts are added up.
+   alphabets, so no match can begin or end within a word; a delimiter stands wherever no phrase can
+   go on.  It scans its own chunk, counting overlapping matches.  So each text is read twice, however
+   many candidates there are, and counts of chunks are added up by phrase.
 4. Exact counts decide: least count, scores of all cuts in decimals, longer candidates that say the
    same, ranks.  Those are joins and windows on candidates.
 """
@@ -20,25 +18,25 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batches, checkpoint, drop, mix, small_batches, table, trim, utf8, word_spans
+from vecloom.llm.common import batches, drop, mix, small_batches, table, trim, utf8, word_spans
 
-BITS = 27
-#: bits of the bitmap of pairs of words that follow each other in a shard's phrases
-PAIRS = 26
+#: at most: bits of a cell's number, and of its place in a block
+BITS, BLOCK = 40, 22
+#: bytes of a chunk's texts
+CHUNK = 1 << 23
 #: candidates of an automaton, about 100 bytes each
 SHARD = 1 << 21
-#: phrases that a task gathers before it sends their cells on
-GATHER = 1 << 21
-BLOCK = 16
 #: fixed values: what ends a piece; other spaces are the blank and the tab
 ENDS = b".,;:!?\n\v\f\r"
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -46,8 +44,6 @@ _TABLE[65:91] += 32
 _TABLE[np.frombuffer(ENDS, np.uint8)] = 10
 _TABLE[9] = 32
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-#: distinct candidates whose keys a task remembers
-SEEN = 1 << 22
 
 
 def lang_hash(lang: str) -> int:
@@ -72,7 +68,7 @@ class Words:
         self.joined = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1]) if len(h) else np.zeros(0, bool)
 
     def phrases(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For 2 to ``most`` words: how many, where phrases begin, and their keys."""
+        """For 2 to ``most`` words: how many, where phrases begin, and their keys (of all words in a row, phrase or not)."""
         key, whole = self.key, np.ones(len(self.key), bool)
         for k in range(2, most + 1):
             n = max(0, len(self.key) - k + 1)
@@ -97,11 +93,21 @@ class Words:
         return out
 
 
-def words_of(rows: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[Words]:
-    """Words of slices of batches; a long text comes in parts cut where a piece ends."""
+def pieces(rows: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Texts and langs of about ``most`` bytes; a long text comes in parts cut where a piece ends."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[tuple[pa.Array, pa.Array]]:
+        if held:
+            t = pa.Table.from_batches(held).select(["text", "lang"]).combine_chunks()
+            held.clear()
+            yield t["text"].chunk(0), t["lang"].chunk(0)
+
     for b in batches(rows):
         if b.num_rows > 1 or b.nbytes <= most:
-            yield Words(b.column("text"), b.column("lang"))
+            if sum(x.nbytes for x in held) + b.nbytes > most:
+                yield from flush()
+            held.append(b)
             continue
         raw = utf8(b.column("text"))[0]
         at = 0
@@ -113,172 +119,93 @@ def words_of(rows: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[Wo
                     stop += int(more[0]) + 1
                     break
                 stop = min(len(raw), stop + most)
-            yield Words(pa.array([raw[at:stop].tobytes().decode()]), b.column("lang"))
+            yield pa.array([raw[at:stop].tobytes().decode()]), b.column("lang")
             at = stop
+    yield from flush()
+
+
+def words_of(rows: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[Words]:
+    for texts, langs in pieces(rows, most):
+        yield Words(texts, langs)
 
 
-def _cells(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A cell in each table; those of the second are numbered after the first's."""
-    one = np.uint64((1 << bits) - 1)
-    return (key >> np.uint64(64 - bits)).astype(np.uint32), ((key & one) + one + np.uint64(1)).astype(np.uint32)
+def _cells(w: Words, words: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to ``words`` words: how many, where phrases begin, their keys there, and their cells."""
+    yield 1, np.arange(len(w.key)), w.key, w.key >> np.uint64(64 - bits)
+    for k, at, key in w.phrases(words):
+        yield k, at, key[at], key[at] >> np.uint64(64 - bits)
 
 
-def _reached(bit: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bit[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+def _packed(edge: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A row for each part of an array."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def sketch(docs: DataFrame, words: int, least: int, bits: int) -> np.ndarray:
-    """A bit for each cell: whether its count, the upper bound of its phrases', reaches ``least``."""
+def chunked(docs: DataFrame, words: int, bits: int, low: int) -> DataFrame:
+    """Chunks of texts (block -1), and the cells that they met with their counts, by blocks of 2**low cells."""
+    schema = "chunk long, block int, text array<string>, lang array<string>, step0 binary, step1 binary, step2 binary, n binary"
+    names = ["chunk", "block", "text", "lang", "step0", "step1", "step2", "n"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            cell, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            n = np.minimum(n, 255).astype(np.uint8)
-            block = cell >> BLOCK
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            edge = np.append(first, len(cell)).astype(np.int32)
-            step = np.diff(cell, prepend=0)  # from one cell to the next within a block; its upper byte is mostly 0
-            step[first] = cell[first] & 0xFFFF
-            pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edge), pa.py_buffer(x.astype(np.uint8))])
-            out = pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pack(step), pack(step >> 8), pack(n)], ["block", "low", "high", "n"])
-            for k in range(0, len(first), 512):
+        for texts, langs in pieces(rows):
+            chunk = uuid.uuid4().int >> 65
+            row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), row(texts), row(langs), *[pa.nulls(1, pa.binary())] * 4], names)
+            cell, n = np.unique(np.concatenate([c for _, _, _, c in _cells(Words(texts, langs), words, bits)]), return_counts=True)
+            block = (cell >> np.uint64(low)).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)])
+            edge = np.append(first, len(cell))
+            step = np.diff(cell, prepend=np.uint64(0))  # from one cell to the next within a block; upper bytes are mostly 0
+            step[first] = cell[first] & np.uint64((1 << low) - 1)
+            steps = [_packed(edge, (step >> np.uint64(8 * i)).astype(np.uint8)) for i in range(3)]
+            m = len(first)
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(block[first]), pa.nulls(m, row(texts).type), pa.nulls(m, row(langs).type), *steps, _packed(edge, np.minimum(n, 255).astype(np.uint8))], names)
+            for k in range(0, m, 512):
                 yield out.slice(k, 512)
-
-        held: list[np.ndarray] = []
-        for w in words_of(rows):
-            held += [c for _, at, key in w.phrases(words) for c in _cells(key[at], bits)]
-            if sum(map(len, held)) > 2 * GATHER:
-                yield from flush()
-        if sum(map(len, held)):
-            yield from flush()
         trim()
 
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BLOCK, np.int64)
-        for b in parts:
-            for low, high, n in zip(b.column("low"), b.column("high"), b.column("n"), strict=True):
-                step = np.frombuffer(low.as_buffer(), np.uint8) | np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64) << 8
-                total[np.cumsum(step)] += np.frombuffer(n.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["block", "reached"])
-
-    found = docs.mapInArrow(run, "block int, low binary, high binary, n binary").groupBy("block").applyInArrow(add, "block int, reached binary")
-    out = np.zeros((2 << bits) // 8, np.uint8)
-    for r in found.toLocalIterator():  # 2**(bits + 1 - BLOCK) rows of 8 KB at most
-        out[r.block << (BLOCK - 3) : (r.block + 1) << (BLOCK - 3)] = np.frombuffer(bytes(r.reached), np.uint8)
-    return out
+    return docs.mapInArrow(run, schema)
 
 
-def candidates(docs: DataFrame, words: int, reached: np.ndarray, bits: int, parts: int) -> DataFrame:
-    """lang, k, phrase: distinct phrases whose bounds, and those of the phrases in them, reach the least count.
+def reached(chunks: DataFrame, least: int, low: int) -> DataFrame:
+    """chunk, block, reached: a bit for each cell that a chunk met in a block, whether its count reaches ``least``."""
 
-    A task sends a candidate once, in lists by hash, of which there are ``parts``; each list is freed of repeats.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(reached)
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(1 << low, np.int32), []
+        for b in parts:
+            for chunk, n, *steps in zip(*(b.column(c) for c in ("chunk", "n", "step0", "step1", "step2")), strict=True):
+                step = sum(np.frombuffer(x.as_buffer(), np.uint8).astype(np.uint32) << 8 * i for i, x in enumerate(steps))
+                at = np.cumsum(step, dtype=np.uint32)
+                total[at] += np.frombuffer(n.as_buffer(), np.uint8)
+                met.append((chunk.as_py(), at))
+        for k in range(0, len(met), 1024):
+            some = met[k : k + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some]), pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array([np.packbits(total[at] >= least).tobytes() for _, at in some], pa.binary())], ["chunk", "block", "reached"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, seen = shared.value, np.zeros(0, np.uint64)
-        for w in words_of(rows):
-            good = np.ones(len(w.key), bool)
-            firsts, ks, keys = [], [], []
-            for k, at, key in w.phrases(words):
-                if k > 2:
-                    at = at[good[at] & good[at + 1]]
-                one, two = _cells(key[at], bits)
-                hit = at[_reached(bit, one)]
-                hit = hit[_reached(bit, _cells(key[hit], bits)[1])]
-                good = np.zeros(len(w.key), bool)
-                good[hit] = True
-                new, place = np.unique(key[hit], return_index=True)
-                if len(seen):
-                    fresh = seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)] != new
-                    new, place = new[fresh], place[fresh]
-                firsts.append(hit[place])
-                ks.append(np.full(len(place), k))
-                keys.append(new)
-            first, k = np.concatenate(firsts), np.concatenate(ks)
-            seen = np.unique(np.concatenate([seen, *keys] if len(seen) < SEEN else keys))  # forgetting some only sends them again
-            if not len(first):
-                continue
-            part = (np.concatenate(keys) >> np.uint64(20)) % np.uint64(parts)
-            turn = np.argsort(part, kind="stable")
-            part, first, k = part[turn], first[turn], k[turn]
-            head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            edge = pa.array(np.append(head, len(part)).astype(np.int32))
-            langs = pa.DictionaryArray.from_arrays(pa.array(w.of[first].astype(np.int32)), pa.array(w.langs)).dictionary_decode()
-            lists = [pa.ListArray.from_arrays(edge, x) for x in (langs, pa.array(k, pa.int32()), w.texts(first, k).cast(pa.string()))]
-            out = pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), *lists], ["part", "lang", "k", "phrase"])
-            for j in range(0, len(head), 64):
-                yield out.slice(j, 64)
-        trim()
+    return chunks.where("block >= 0").select("chunk", "block", "step0", "step1", "step2", "n").groupBy("block").applyInArrow(add, "chunk long, block int, reached binary")
 
-    def once(key: tuple, lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "k", "phrase"]
-        found = pa.table({"lang": pa.array([], pa.string()), "k": pa.array([], pa.int32()), "phrase": pa.array([], pa.string())})
-        for b in lists:
-            new = pa.table([b.column(c).flatten() for c in names], names)
-            found = pa.concat_tables([found, new]).group_by(names).aggregate([])
-        yield from found.select(names).combine_chunks().to_batches()
 
-    schema = "part int, lang array<string>, k array<int>, phrase array<string>"
-    return docs.mapInArrow(run, schema).groupBy("part").applyInArrow(once, "lang string, k int, phrase string")
+class Automaton:
+    """Phrases as word numbers (from 1 on), one after the other; phrase i has those from at[i] to at[i + 1]."""
 
+    def __init__(self, number: np.ndarray, at: np.ndarray, kinds: int) -> None:
+        import ahocorasick
 
-class Automaton:
-    """A shard's candidates as word numbers; executors compile them, one shard at a time."""
-
-    def __init__(self, name: str, found: pa.Table) -> None:
-        self.name, self.row = name, found["row"].to_numpy()
-        w = Words(found["phrase"].combine_chunks(), found["lang"].combine_chunks())
-        self.keys, number = np.unique(w.key, return_inverse=True)
-        self.number = (number + 1).astype(np.int32)
-        self.at = np.concatenate([[0], np.cumsum(w.count)]).astype(np.int32)
         #: letters of an alphabet, three of which make a word
-        self.base = int(np.ceil((len(self.keys) + 1) ** (1 / 3))) + 1
-        #: candidates of one word by its number, or -1
-        self.single = np.full(len(self.keys) + 1, -1, np.int32)
-        one = np.flatnonzero(w.count == 1)
-        self.single[self.number[self.at[one]]] = one
+        self.base = int(np.ceil((kinds + 1) ** (1 / 3))) + 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text = self.letters(number).astype("<u2").tobytes().decode("utf-16-le")
+        for i, (a, b) in enumerate(itertools.pairwise((3 * at).tolist())):
+            self.automaton.add_word(text[a:b], i)
+        self.automaton.make_automaton()
 
     def letters(self, number: np.ndarray) -> np.ndarray:
         out = np.empty((len(number), 3), np.uint16)
         out[:, 0], out[:, 1], out[:, 2] = number // (self.base * self.base) + 1, number // self.base % self.base + 1 + self.base, number % self.base + 1 + 2 * self.base
         return out
 
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) >> np.uint64(64 - PAIRS)
-
-    def compile(self) -> Automaton:
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text, long = self.letters(self.number).astype("<u2").tobytes().decode("utf-16-le"), np.flatnonzero(np.diff(self.at) > 1)
-        for i, a, b in zip(long.tolist(), (3 * self.at[long]).tolist(), (3 * self.at[long + 1]).tolist(), strict=True):
-            self.automaton.add_word(text[a:b], i)
-        self.automaton.make_automaton()
-        inner = np.ones(len(self.number), bool)
-        inner[self.at[1:] - 1] = False
-        inner = np.flatnonzero(inner)
-        self.pairs = np.zeros(1 << (PAIRS - 3), np.uint8)
-        cell = self._pair(self.number[inner], self.number[inner + 1])
-        np.bitwise_or.at(self.pairs, cell >> np.uint64(3), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
-        return self
-
-    def lookup(self, key: np.ndarray) -> np.ndarray:
-        """The number of each word, 0 for those that the shard doesn't have."""
-        kinds = pa.array(key).dictionary_encode()
-        own = kinds.dictionary.to_numpy()
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        return np.where(self.keys[at] == own, at + 1, 0)[kinds.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
-
-    def matches(self, number: np.ndarray, joined: np.ndarray) -> np.ndarray:
-        """The candidate of each match of more than one word."""
-        near = np.flatnonzero(joined & (number[1:] > 0) & (number[:-1] > 0))
-        cell = self._pair(number[near], number[near + 1])
-        near = near[(self.pairs[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-        if not len(near) or not len(self.automaton):
-            return np.zeros(0, np.int64)
+    def matches(self, number: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The phrase of each match; near: words after which the next may go on a phrase."""
         follows, use = np.zeros(len(number), bool), np.zeros(len(number), bool)
         follows[near + 1] = use[near] = use[near + 1] = True
         own = np.flatnonzero(use)
@@ -290,90 +217,125 @@ class Automaton:
         return np.fromiter(map(itemgetter(1), self.automaton.iter(text)), np.int64)
 
 
-_compiled: dict[str, Automaton] = {}
-
-
-def compiled(shard: Automaton) -> Automaton:
-    """The automaton of a shard; a Python worker holds one."""
-    if shard.name not in _compiled:
-        _compiled.clear()
-        _compiled[shard.name] = shard.compile()
-    return _compiled[shard.name]
-
-
-def scan(docs: DataFrame, shard: Automaton, totals: bool) -> DataFrame:
-    """block, counts: matches of the shard's candidates by task, in arrays over blocks of candidates' row numbers.
-
-    With totals also lang, n: words of each language.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(shard)  # about SHARD candidates
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = compiled(shared.value)
-        count, seen = np.zeros(len(own.row), np.int64), np.zeros(len(own.keys) + 1, np.int64)
-        langs: dict[str, int] = {}
-        for w in words_of(rows):
-            if totals:
-                for lang, n in zip(w.langs, np.bincount(w.of, minlength=len(w.langs)).tolist(), strict=True):
-                    langs[lang] = langs.get(lang, 0) + n
-            number = own.lookup(w.key)
-            seen += np.bincount(number, minlength=len(seen))
-            count += np.bincount(own.matches(number, w.joined), minlength=len(count))
-        some = np.flatnonzero(own.single >= 0)
-        count[own.single[some]] += seen[some]
-        hit = np.flatnonzero(count)
-        hit = hit[np.argsort(own.row[hit], kind="stable")]
-        block = own.row[hit] >> BLOCK
-        for part in np.split(hit, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(hit) else []:
-            cell = own.row[part] & 0xFFFF
-            sums = np.zeros(int(cell[-1]) + 1, "<i8")
-            sums[cell] = count[part]
-            yield pa.RecordBatch.from_arrays([pa.array(own.row[part[:1]] >> BLOCK), pa.array([sums.tobytes()]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], ["block", "counts", "lang", "n"])
-        if langs:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.nulls(len(langs), pa.binary()), pa.array(list(langs)), pa.array(list(langs.values()), pa.int64())], ["block", "counts", "lang", "n"])
-        trim()
-
-    return docs.mapInArrow(run, "block long, counts binary, lang string, n long")
-
-
-def _sums(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BLOCK, np.int64)
-    for b in parts:
-        for c in b.column("counts"):
-            own = np.frombuffer(c.as_buffer(), "<i8")
-            total[: len(own)] += own
-    hit = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array((key[0].as_py() << BLOCK) + hit), pa.array(total[hit])], ["row", "f"])
+def _sorted(cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of cells, and where each other cell begins in it."""
+    wide = len(cell).bit_length()
+    if bits + wide > 64:
+        order = np.argsort(cell)
+        cell = cell[order]
+    else:  # numbers are sorted faster than places
+        both = np.sort(cell << np.uint64(wide) | np.arange(len(cell), dtype=np.uint64))
+        order, cell = (both & np.uint64((1 << wide) - 1)).astype(np.int64), both >> np.uint64(wide)
+    return order, np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+
+
+def _counts(w: Words, words: int, bits: int, low: int, blocks: np.ndarray, marks: list[bytes], shard: int) -> tuple[np.ndarray, ...]:
+    """First word, number of words, key and count of the distinct candidates and frequent words of a chunk."""
+    parts = list(_cells(w, words, bits))
+    cell = np.concatenate([c for _, _, _, c in parts])
+    order, first = _sorted(cell, bits)
+    own, size = np.unique(cell[order[first]] >> np.uint64(low), return_counts=True)
+    turn = np.argsort(blocks)
+    assert np.array_equal(own.astype(np.int64), blocks[turn])
+    met = np.concatenate([np.unpackbits(np.frombuffer(marks[i], np.uint8), count=n) for i, n in zip(turn.tolist(), size.tolist(), strict=True)]).astype(bool)
+    mark = np.empty(len(cell), bool)
+    mark[order] = np.repeat(met, np.diff(np.append(first, len(cell))))
+    edge = np.cumsum([0, *(len(at) for _, at, _, _ in parts)])
+    _, number = np.unique(w.key, return_inverse=True)
+    number = (number + 1).astype(np.int32)
+    firsts, ks, keys, counts, again = [], [], [], [], []
+    near, good = np.zeros(len(w.key), bool), np.ones(len(w.key), bool)
+    for i, (k, at, key, _) in enumerate(parts):
+        hit = mark[edge[i] : edge[i + 1]]
+        if k > 1:
+            hit = hit & good[at] & good[at + 1]
+        at, key = at[hit], key[hit]
+        good = np.zeros(len(w.key), bool)
+        good[at] = True
+        key, place, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        firsts.append(at[place])
+        ks.append(np.full(len(place), k))
+        keys.append(key)
+        counts.append(n)  # of words; of phrases, where it is 1
+        again.append(n > 1 if k > 1 else np.zeros(len(n), bool))
+        for j in range(k - 1):
+            near[at[n[back] > 1] + j] = True
+    first, k, key, count, again = (np.concatenate(x) for x in (firsts, ks, keys, counts, again))
+    near, again = np.flatnonzero(near), np.flatnonzero(again)
+    for a in range(0, len(again), shard):
+        some = again[a : a + shard]
+        at = np.append(0, np.cumsum(k[some]))
+        own = Automaton(number[np.repeat(first[some] - at[:-1], k[some]) + np.arange(at[-1])], at, int(number.max()))
+        count[some] = np.bincount(own.matches(number, near), minlength=len(some))
+    return first, k, key, count
 
 
 def counted(docs: DataFrame, words: int, least: int, bits: int = BITS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """lang, k, phrase, f, w: exact counts of candidates and of their words, w as a list; and lang, n: words of each language."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """lang, k, phrase, f, w: exact counts of phrases, w as a list, and words that occur ``least`` times; and lang, n: words of each language."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(BLOCK, min(bits, int(size // 2).bit_length()))
-    found = table(candidates(docs, words, sketch(docs, words, least, bits), bits, max(64, min(1 << 16, size >> 21))), "phrases")
-    single = found.select("lang", F.lit(1).alias("k"), F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    every = table(found.unionByName(single).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    drop(found)
-    shards = -(-every.count() // shard)
-    if not shards:
-        none = every.select("lang", "k", "phrase", F.col("row").alias("f"), F.split("phrase", " ").alias("w"))  # no rows
-        return none, none.select("lang", F.col("f").alias("n"))
-    parts = []
-    for k in range(shards):
-        own = every.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == k).select("row", "lang", "phrase")
-        parts.append(scan(docs, Automaton(f"{uuid.uuid4().hex}", own.toArrow()), k == 0))
-    met = parts[0]
-    for p in parts[1:]:
-        met = met.unionAll(p)
-    met = table(met, "matches")
-    total = met.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_sums, "row long, f long")
-    exact = table(every.join(total, "row").select("lang", "k", "phrase", "f", F.split("phrase", " ").alias("w")), "counts")
-    totals = checkpoint(met.where("block is null").groupBy("lang").agg(F.sum("n").alias("n")))
-    drop(every, met)
-    return exact, totals
+    bits = max(16, min(bits, int(size // 2).bit_length()))
+    low = max(8, min(BLOCK, bits - 6))
+    parts = max(64, min(1 << 16, size >> 22))
+    chunks = table(chunked(docs, words, bits, low), "chunks")
+
+    def count(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        out = []
+        for texts_of, langs_of in zip(texts["text"], texts["lang"], strict=True):  # one
+            w = Words(texts_of.values, langs_of.values)
+            n = np.bincount(w.of, minlength=len(w.langs))
+            gaps = pa.array([b""] * len(n), pa.binary())
+            out.append(pa.table([pa.array([-1] * len(n), pa.int32()), pa.array(w.langs, pa.string()), gaps, gaps, _packed(np.arange(len(n) + 1), n.astype(np.int64))], names))
+            if not len(w.key):
+                continue
+            first, k, key, f = _counts(w, words, bits, low, marks["block"].to_numpy(), marks["reached"].to_pylist(), shard)
+            part, lang = (key >> np.uint64(20)) % np.uint64(parts), w.of[first]
+            turn = np.lexsort((lang, part))
+            first, k, f, part, lang = first[turn], k[turn], f[turn], part[turn], lang[turn]
+            head = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])])[: len(part)])
+            edge = np.append(head, len(part))
+            phrases = w.texts(first, k)
+            until = np.frombuffer(phrases.buffers()[1], np.int64)[: len(phrases) + 1]
+            data = np.frombuffer(phrases.buffers()[2] or b"", np.uint8)
+            out.append(pa.table([pa.array(part[head].astype(np.int32)), pa.array(w.langs, pa.string()).take(pa.array(lang[head])), _packed(until[edge], data), _packed(edge, np.diff(until).astype(np.int32)), _packed(edge, f.astype(np.int64))], names))
+        trim()
+        return pa.concat_tables(out)
+
+    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, held, many = key[1].as_py(), [], 0
+        total = 0
+        merge = lambda: pa.concat_tables(held).group_by("phrase").aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+        for b in rows:
+            f = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column("f")])
+            if key[0].as_py() < 0:
+                total += int(f.sum())
+                continue
+            size = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in b.column("size")])
+            data = b"".join(b.column("data").to_pylist())
+            held.append(pa.table({"phrase": pa.LargeStringArray.from_buffers(len(f), pa.py_buffer(np.append(0, np.cumsum(size, dtype=np.int64))), pa.py_buffer(data)), "f": pa.array(f)}))
+            many += len(f)
+            if many > 1 << 20:
+                held = [merge()]
+                many = len(held[0])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([total])], ["lang", "k", "phrase", "f"])
+        if held:
+            every = merge()
+            every = every.filter(pc.greater_equal(every["f"], least)).combine_chunks()
+            for b in every.to_batches(1 << 16):
+                phrase = b.column("phrase").cast(pa.string())
+                k = pc.add(pc.count_substring(phrase, " "), pa.scalar(1, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * b.num_rows, pa.string()), k.cast(pa.int32()), phrase, b.column("f")], ["lang", "k", "phrase", "f"])
+
+    names = ["part", "lang", "data", "size", "f"]
+    # a chunk is seconds of work: Spark would make as few tasks of them as their bytes allow
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 24)
+    texts, marks = (x.repartition(tasks, "chunk").groupBy("chunk") for x in (chunks.where("block < 0").select("chunk", "text", "lang"), reached(chunks, least, low)))
+    found = texts.cogroup(marks).applyInArrow(count, "part int, lang string, data binary, size binary, f binary")
+    exact = table(found.groupBy("part", "lang").applyInArrow(add, "lang string, k int, phrase string, f long"), "counts")
+    drop(chunks)
+    return exact.where("k > 0").withColumn("w", F.split("phrase", " ")), exact.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def mine(docs: DataFrame, words: int = 3, least: int = 10, covered: int = 50, top: int = 2000, bits: int = BITS, shard: int = SHARD) -> DataFrame:
